@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import decontam, lines, quality, rules, secrets, tokens
+from lodestream.llm import decontam, jaccard, lines, quality, rules, secrets, tokens
 from lodestream.llm.common import read_table
 
 
@@ -22,6 +22,10 @@ def op6_token_counts(spark, sf_dir):
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.join(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -30,5 +34,5 @@ def op10_decontamination(spark, sf_dir):
     return decontam.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_quality_classifier, op6_token_counts, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_quality_classifier, op6_token_counts, op8_jaccard_join, op9_quality_rules, op10_decontamination)}
 ORACLE_SQL = {"op3_line_dedup": lines.LINES_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import decontam, jaccard, lines, quality, rules, secrets, tokens
+from lodestream.llm import chat, decontam, jaccard, lines, mixing, quality, rules, secrets, tokens
 from lodestream.llm.common import read_table
 
 
@@ -18,10 +18,18 @@ def op4_quality_classifier(spark, sf_dir):
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_tool_call_chats(spark, sf_dir):
+    return chat.link(*chat.from_conversations(read_table(spark, sf_dir, "conversations")), chat.REPLY_SCHEMA)
+
+
 def op6_token_counts(spark, sf_dir):
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark, sf_dir):
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark, sf_dir):
     return jaccard.join(read_table(spark, sf_dir, "documents"))
 
@@ -34,5 +42,5 @@ def op10_decontamination(spark, sf_dir):
     return decontam.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_quality_classifier, op6_token_counts, op8_jaccard_join, op9_quality_rules, op10_decontamination)}
-ORACLE_SQL = {"op3_line_dedup": lines.LINES_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_quality_classifier, op5_tool_call_chats, op6_token_counts, op7_source_mixing, op8_jaccard_join, op9_quality_rules, op10_decontamination)}
+ORACLE_SQL = {"op5_tool_call_chats": chat.REPLY_SQL, "op3_line_dedup": lines.LINES_SQL}

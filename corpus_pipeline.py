@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import decontam, quality, secrets
+from lodestream.llm import decontam, jaccard, mixing, quality, secrets
 from lodestream.llm.common import read_table, written
 
 
@@ -11,6 +11,11 @@ def classify(spark, docs, sf_dir):
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+def one_of_each(spark, docs, sf_dir):
+    """One document, that of least doc_id, of each group of near duplicates."""
+    return jaccard.keep_first(docs)
+
+
 def decontaminate(spark, docs, sf_dir):
     """Documents that hold no benchmark item."""
     return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
@@ -21,7 +26,13 @@ def redact(spark, docs, sf_dir):
     return secrets.redact(docs)
 
 
-STAGES = [("quality_classifier", classify), ("decontamination", decontaminate), ("secret_scan", redact)]
+def mix(spark, docs, sf_dir):
+    """doc_id, source, n_tokens, posteriors, rate and copies of all documents."""
+    return mixing.mix(docs, read_table(spark, sf_dir, "labels"))
+
+
+STAGES = [("quality_classifier", classify), ("jaccard_join", one_of_each), ("decontamination", decontaminate), ("secret_scan", redact), ("source_mixing", mix)]
+#: Classifiers and the least-squares fit have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import chat, decontam, jaccard, lines, mixing, quality, rules, secrets, tokens
+from lodestream.llm import chat, decontam, jaccard, lines, mixing, quality, rules, secrets, suffixes, tokens
 from lodestream.llm.common import read_table
 
 
@@ -10,6 +10,10 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffixes.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return lines.digest(read_table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_decontamination(spark, sf_dir):
     return decontam.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_quality_classifier, op5_tool_call_chats, op6_token_counts, op7_source_mixing, op8_jaccard_join, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_line_dedup, op4_quality_classifier, op5_tool_call_chats, op6_token_counts, op7_source_mixing, op8_jaccard_join, op9_quality_rules, op10_decontamination)}
 ORACLE_SQL = {"op5_tool_call_chats": chat.REPLY_SQL, "op3_line_dedup": lines.LINES_SQL}

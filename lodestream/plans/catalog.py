@@ -1,7 +1,10 @@
-"""Registered queries: name, plan and, where SQL can express it, the equivalent SQL."""
+"""All registered plans. Importing a module of plans registers what it has."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "r2_sparse_search"
+from lodestream.plans import text_plans  # noqa: F401
+from lodestream.plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "t9_keyword_tokens"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

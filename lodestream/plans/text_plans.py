@@ -1,0 +1,292 @@
+"""Text, date and scoring functions over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestream.functions import constants as C
+from lodestream.functions import dates as D
+from lodestream.functions import text as T
+from lodestream.plans.registry import query, table
+
+_STOP = ", ".join(f"'{w}'" for w in C.STOPWORDS)
+TOKENS_SQL = f"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP}))"
+_N = lambda pattern: f"(length(text) - length(regexp_replace(text, '{pattern}', '', 'g')))"
+LETTERS_SQL = "regexp_replace(text, '[^\\p{L}]', '', 'g')"
+RATIO_SQL = f"(length(regexp_replace({LETTERS_SQL}, '[\\x{{0000}}-\\x{{024F}}]', '', 'g')) / greatest(length({LETTERS_SQL}), 1))"
+WORDS_SQL = "list_filter(regexp_split_to_array({x}, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')"
+#: A sentence made from each order: names, keys and dates in several forms.
+ORDER_TEXT_SQL = """(SELECT o_orderkey AS id, o_orderdate, 'Order ORD-' || o_orderkey || ' for Customer Number ' || o_custkey || CASE o_orderkey % 5
+  WHEN 0 THEN ' placed ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN ' placed ' || strftime(o_orderdate, '%d.%m.%Y') WHEN 2 THEN ' placed ' || strftime(o_orderdate, '%B') || ' ' || day(o_orderdate) || ', ' || year(o_orderdate)
+  WHEN 3 THEN ' placed ' || day(o_orderdate) || ' ' || strftime(o_orderdate, '%B') ELSE ' last week in the IBM file' END AS text FROM orders)"""
+
+
+def order_texts(spark, sf_dir):
+    day = F.dayofmonth("o_orderdate").cast("string")
+    k = F.col("o_orderkey") % 5
+    tail = (
+        F.when(k == 0, F.concat(F.lit(" placed "), F.date_format("o_orderdate", "yyyy-MM-dd")))
+        .when(k == 1, F.concat(F.lit(" placed "), F.date_format("o_orderdate", "dd.MM.yyyy")))
+        .when(k == 2, F.concat(F.lit(" placed "), F.date_format("o_orderdate", "MMMM"), F.lit(" "), day, F.lit(", "), F.date_format("o_orderdate", "yyyy")))
+        .when(k == 3, F.concat(F.lit(" placed "), day, F.lit(" "), F.date_format("o_orderdate", "MMMM")))
+        .otherwise(" last week in the IBM file")
+    )
+    head = F.concat(F.lit("Order ORD-"), F.col("o_orderkey").cast("string"), F.lit(" for Customer Number "), F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.concat(head, tail).alias("text"))
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+@query("t1_sentences", r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, len(s)::BIGINT AS n_sentences, s[1] AS first_sentence, md5(array_to_string(s, '|')) AS digest FROM s""")
+def t1(spark, sf_dir):
+    s = documents(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.get("s", F.lit(0)).alias("first_sentence"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+@query("t2_token_estimates", f"""
+SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(length(text) / (2.0 * {RATIO_SQL} + 4.0 * (1.0 - {RATIO_SQL})))) END::BIGINT AS by_script,
+       (floor((length(text) - {_N('[\\x{0400}-\\x{04FF}]')}) / 4) + floor({_N('[\\x{0400}-\\x{04FF}]')} / 2))::BIGINT AS by_cyrillic FROM documents""")
+def t2(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.estimate_tokens_by_script(F.col("text")).alias("by_script"), T.estimate_tokens(F.col("text")).alias("by_cyrillic"))
+
+
+@query("t4_clean_markup", r"""
+SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '!\[[^\]]*\]\([^)]*\)|<[^>]+>|\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM pages""")
+def t4(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_markup(F.col("html"))).alias("digest"))
+
+
+@query("t5_titles", r"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, coalesce(nullif(trim(substr(list_filter(l, lambda x: starts_with(x, '# '))[1], 3)), ''), nullif(trim(substr(l[1], 1, 80)), ''), 'untitled') AS title FROM l""")
+def t5(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.title_of(F.col("text"), F.lit(None).cast("string")).alias("title"))
+
+
+@query("t3_html_text")
+def t3(spark, sf_dir):
+    x = T.html_text(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(x).cast("long").alias("n_chars"), F.md5(x).alias("digest"))
+
+
+@query("t7_shingles", f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL.format(x="lower(text)")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END AS s FROM w)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, md5(array_to_string(s, '|')) AS digest FROM s""")
+def t7(spark, sf_dir):
+    s = documents(spark, sf_dir).select("doc_id", T.shingles(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_shingles"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+@query("t9_keyword_tokens", f"SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents)")
+def t9(spark, sf_dir):
+    t = documents(spark, sf_dir).select("doc_id", T.keyword_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query("t14_ticket_keys", f"SELECT id, array_to_string(list_transform(regexp_extract_all(text, '(?i)\\b[A-Z]{{2,}}-\\d+\\b'), lambda k: upper(k)), ',') AS keys FROM {ORDER_TEXT_SQL}")
+def t14(spark, sf_dir):
+    return order_texts(spark, sf_dir).select("id", F.array_join(T.ticket_keys(F.col("text")), ",").alias("keys"))
+
+
+@query("t15_title_entities", f"""
+SELECT id, array_to_string(list_concat(list_filter(regexp_extract_all(text, '\\b((?:[A-Z][a-z]+\\s+){{1,3}}[A-Z][a-z]+)\\b', 1), lambda x: length(x) > 3),
+       list_filter(regexp_extract_all(text, '\\b([A-Z0-9]{{2,}})\\b', 1), lambda x: x NOT IN ({", ".join(f"'{w}'" for w in C.TITLE_STOP)}) AND NOT regexp_full_match(x, '\\d+'))), ',') AS names FROM {ORDER_TEXT_SQL}""")
+def t15(spark, sf_dir):
+    return order_texts(spark, sf_dir).select("id", F.array_join(T.title_entities(F.col("text")), ",").alias("names"))
+
+
+@query("t16_language", f"SELECT doc_id, CASE WHEN {_N('[\\x{0400}-\\x{04FF}]')} + {_N('[A-Za-z]')} > 0 AND {_N('[\\x{0400}-\\x{04FF}]')} >= 0.3 * ({_N('[\\x{0400}-\\x{04FF}]')} + {_N('[A-Za-z]')}) THEN 'Russian' ELSE 'English' END AS language FROM documents")
+def t16(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.language(F.col("text")).alias("language"))
+
+
+@query("t17_query_profile", f"""
+WITH f AS (SELECT id, regexp_matches(text, '(?i)\\b[A-Z]{{2,}}-\\d+\\b') AS e, regexp_matches(text, '(?i)\\blast week\\b') AS t, regexp_matches(text, '(?i)\\bfile\\b') AS u FROM (SELECT id, replace(text, 'ORD-', CASE WHEN id % 2 = 0 THEN 'ORD ' ELSE 'ORD-' END) AS text FROM {ORDER_TEXT_SQL}))
+SELECT id, CASE WHEN e::INT + t::INT + u::INT = 1 THEN CASE WHEN e THEN 'execution' WHEN t THEN 'temporal' ELSE 'user_file' END END AS profile FROM f""")
+def t17(spark, sf_dir):
+    x = F.when(F.col("id") % 2 == 0, F.replace(F.col("text"), F.lit("ORD-"), F.lit("ORD "))).otherwise(F.col("text"))
+    return order_texts(spark, sf_dir).select("id", T.query_profile(x, D.date_range_in(x, F.lit("2024-02-01").cast("date")).isNotNull()).alias("profile"))
+
+
+_WEIGHTS_VALUES = ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in C.PROFILE_WEIGHTS.items())
+
+
+@query("t18_profile_weights", f"""
+WITH p(profile, {", ".join(C.WEIGHT_NAMES)}) AS (VALUES {_WEIGHTS_VALUES}),
+q AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'execution' WHEN 'view' THEN 'temporal' WHEN 'error' THEN 'documentation' ELSE event_type END AS asked FROM events)
+SELECT event_id, p.profile, p.dense_weight::DOUBLE AS dense_weight, p.graph_weight::DOUBLE AS graph_weight, p.metadata_weight::DOUBLE AS metadata_weight, p.recency_weight::DOUBLE AS recency_weight, p.balance_weight::DOUBLE AS balance_weight, p.blend_weight::DOUBLE AS blend_weight
+FROM q JOIN p ON p.profile = CASE WHEN asked IN (SELECT profile FROM p) THEN asked ELSE 'mixed' END""")
+def t18(spark, sf_dir):
+    presets = spark.createDataFrame([(k, *v) for k, v in C.PROFILE_WEIGHTS.items()], "profile string, " + ", ".join(f"{n} double" for n in C.WEIGHT_NAMES))
+    asked = F.when(F.col("event_type") == "click", "execution").when(F.col("event_type") == "view", "temporal").when(F.col("event_type") == "error", "documentation").otherwise(F.col("event_type"))
+    known = F.when(asked.isin(list(C.PROFILE_WEIGHTS)), asked).otherwise("mixed")
+    return table(spark, sf_dir, "events").select("event_id", known.alias("profile")).join(F.broadcast(presets), "profile")
+
+
+@query("t19_needs_rewrite", f"""
+WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS w FROM conversations)
+SELECT conv_id, turn, (len(w) < 5 OR list_has_any(w, [{", ".join(f"'{w}'" for w in C.PRONOUNS)}])) AS rewrite FROM w""")
+def t19(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.needs_rewrite(F.col("text")).alias("rewrite"))
+
+
+@query("t20_keywords", f"""
+WITH k AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{{2,}}'), lambda w: lower(w)), lambda w: w NOT IN ({", ".join(f"'{w}'" for w in C.KEYWORD_STOP)})) AS k FROM documents),
+f AS (SELECT doc_id, k, list_filter(range(1, len(k) + 1), lambda i: list_position(k, k[i]) = i)[1:5] AS firsts FROM k)
+SELECT doc_id, array_to_string(list_transform(firsts, lambda i: k[i]), ',') AS keywords FROM f""")
+def t20(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.keywords(F.col("text")), ",").alias("keywords"))
+
+
+@query("t21_entity_types", """
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Technology' WHEN p_partkey % 4 = 1 THEN 'Person' WHEN p_partkey % 4 = 2 THEN 'Project' ELSE 'Concept' END AS entity_type FROM part""")
+def t21(spark, sf_dir):
+    raw = F.element_at(F.array(F.lit(" Tool"), F.lit("USER"), F.lit("project"), F.lit("widget")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.entity_type(raw).alias("entity_type"))
+
+
+@query("t22_roles", "SELECT c_custkey, c_custkey % 3 = 0 AS is_role FROM customer")
+def t22(spark, sf_dir):
+    name = F.when(F.col("c_custkey") % 3 == 0, " Team Leads").otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.role_not_person(name, F.lit("Person")).alias("is_role"))
+
+
+@query("p17_entity_names", """
+SELECT p_partkey, (length(trim(p_name)) BETWEEN 2 AND 50 AND len(string_split(trim(p_name), ' ')) < 6) AS valid FROM part""")
+def p17(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.valid_entity_name(F.col("p_name")).alias("valid"))
+
+
+@query("t24_entropy", """
+WITH c AS (SELECT doc_id, unnest(string_split(sha256(text), '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL)
+SELECT doc_id, round(-sum(n / 64.0 * log2(n / 64.0)), 6) AS bits FROM n GROUP BY doc_id""")
+def t24(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.round(T.entropy(F.sha2("text", 256)), 6).alias("bits"))
+
+
+@query("t25_content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def t25(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+@query("t26_row_text", "SELECT n_nationkey, 'Row ' || (n_nationkey + 1) || ': n_nationkey: ' || n_nationkey || ', n_name: ' || n_name || ', n_regionkey: ' || n_regionkey AS line FROM nation")
+def t26(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", T.row_text(n.columns, F.col("n_nationkey") + 1).alias("line"))
+
+
+@query("t27_slugs", r"""
+WITH s AS (SELECT p_partkey, substr(regexp_replace(regexp_replace(trim(p_name), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), 1, 80) AS base, substr(sha1(p_name || p_partkey), 1, 8) AS tail FROM part)
+SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY p_partkey) = 1 THEN base ELSE substr(base, 1, 71) || '-' || tail END AS slug FROM s""")
+def t27(spark, sf_dir):
+    """The first of equal slugs stays bare, the others get a digest of name and key."""
+    s = table(spark, sf_dir, "part").select("p_partkey", T.slug(F.col("p_name")).alias("base"), F.substring(F.sha1(F.concat("p_name", F.col("p_partkey").cast("string"))), 1, 8).alias("tail"))
+    first = s.groupBy("base").agg(F.min("p_partkey").alias("first"))
+    return s.join(first, "base").select("p_partkey", F.when(F.col("p_partkey") == F.col("first"), F.col("base")).otherwise(F.concat_ws("-", F.substring("base", 1, 71), "tail")).alias("slug"))
+
+
+@query("t28_filing_names", "SELECT o_orderkey, 'ACME' || (o_custkey % 7) AS company, strftime(o_orderdate, '%Y') AS fiscal_year, '10K' AS doc_type FROM orders")
+def t28(spark, sf_dir):
+    name = F.concat(F.lit("ACME"), (F.col("o_custkey") % 7).cast("string"), F.lit("_"), F.date_format("o_orderdate", "yyyy"), F.lit("Q2_10k_extra.pdf"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.filing_metadata(name).alias("m")).select("o_orderkey", "m.*")
+
+
+@query("t29_ungrounded_keys", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'ORD-' || o_orderkey END AS ungrounded FROM orders")
+def t29(spark, sf_dir):
+    key = F.concat(F.lit("see ORD-"), F.col("o_orderkey").cast("string"), F.lit(" and ABC-1"))
+    source = F.when(F.col("o_orderkey") % 2 == 0, key).otherwise(F.lit("abc-1"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.ungrounded_keys(key, source), ",").alias("ungrounded"))
+
+
+@query("t30_source_list", "SELECT n_regionkey, string_agg(DISTINCT n_name, '; ' ORDER BY n_name) AS sources FROM nation GROUP BY n_regionkey")
+def t30(spark, sf_dir):
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_set("n_name")), "; ").alias("sources"))
+
+
+@query("t31_redaction", r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9_]{20,}\b|\bgithub_pat_[A-Za-z0-9_]{20,}\b|\bsk-[A-Za-z0-9_-]{20,}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----', '***', 'g'),
+  '(?i)\b(token|password|passwd|secret|api_key)\b(\s*[=:]\s*)\S+', '\1\2***', 'g')) AS digest FROM documents""")
+def t31(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.redacted(F.col("text"))).alias("digest"))
+
+
+@query("q15_truncated_units", "SELECT doc_id, length(substr(text, 1, 4000))::BIGINT AS n_chars, md5(substr(text, 1, 4000)) AS digest FROM documents")
+def q15(spark, sf_dir):
+    x = F.substring("text", 1, 4000)
+    return documents(spark, sf_dir).select("doc_id", F.length(x).cast("long").alias("n_chars"), F.md5(x).alias("digest"))
+
+
+@query("q19_intents", """
+SELECT conv_id, turn, CASE WHEN lower(trim(text))[1] IN ('/', '!') THEN 'command' WHEN regexp_matches(lower(text), 'create|make|file|open|send|post|update|add comment|write|submit|publish') THEN 'action' ELSE 'search' END AS intent FROM conversations""")
+def q19(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
+
+
+@query("q29_doc_labels", "SELECT doc_id, 'ws1:' || source || ':' || doc_id AS label FROM documents")
+def q29(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.doc_label(F.lit("ws1"), F.col("source"), F.col("doc_id").cast("string")).alias("label"))
+
+
+@query("p15_unsafe_content", """
+SELECT doc_id, (regexp_matches(text, '(?i)\\b(?:api[ _-]?key|access[ _-]?token|authorization|bearer|token|password|passwd|secret|client[ _-]?secret|private[ _-]?key)\\b\\s*(?:=|:|\\bis\\b)\\s*(?:bearer\\s+)?\\S+')
+  OR regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b')) AS labelled FROM documents""")
+def p15(spark, sf_dir):
+    x = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", (x.rlike(C.LABELLED_CREDENTIAL) | x.rlike(r"\bAKIA[0-9A-Z]{16}\b")).alias("labelled"))
+
+
+@query("p15_safety_predicate")
+def p15_full(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.unsafe(F.col("text")).alias("unsafe"))
+
+
+@query("p16_candidate_gate")
+def p16(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.candidate_status(F.col("text"), F.col("turn") % 2 == 0).alias("status"))
+
+
+@query("d1_dates_in_text", f"SELECT id, CASE WHEN id % 5 = 3 THEN '2024' || strftime(o_orderdate, '-%m-%d') WHEN id % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS found FROM {ORDER_TEXT_SQL}")
+def d1(spark, sf_dir):
+    return order_texts(spark, sf_dir).select("id", D.date_in(F.col("text"), 2024).alias("found"))
+
+
+@query("d2_date_ranges", """
+SELECT event_id, (CASE event_id % 6 WHEN 0 THEN date_trunc('week', ts) WHEN 1 THEN date_trunc('week', ts) - INTERVAL 7 DAY WHEN 2 THEN date_trunc('month', ts) WHEN 3 THEN date_trunc('month', ts) - INTERVAL 1 MONTH WHEN 4 THEN ts::DATE - INTERVAL 7 DAY ELSE ts::DATE - INTERVAL 1 DAY END)::DATE AS start,
+  (CASE event_id % 6 WHEN 0 THEN date_trunc('week', ts) + INTERVAL 6 DAY WHEN 1 THEN date_trunc('week', ts) - INTERVAL 1 DAY WHEN 2 THEN last_day(ts::DATE) WHEN 3 THEN date_trunc('month', ts) - INTERVAL 1 DAY WHEN 4 THEN ts::DATE ELSE ts::DATE - INTERVAL 1 DAY END)::DATE AS "end" FROM events""")
+def d2(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, ["what happened this week", "Last week?", "the current month", "last month", "в последние 7 дней", "yesterday"])), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", D.date_range_in(said, F.to_date("ts")).alias("r")).select("event_id", "r.start", "r.end")
+
+
+@query("d3_dates_between", "SELECT o_orderkey, unnest(generate_series(o_orderdate::DATE, o_orderdate::DATE + INTERVAL 3 DAY, INTERVAL 1 DAY))::DATE AS day FROM orders WHERE o_orderkey <= 4000")
+def d3(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").where("o_orderkey <= 4000").select("o_orderkey", F.explode(D.dates_between(day, F.date_add(day, 3))).alias("day"))
+
+
+@query("d4_document_dates", f"SELECT id, CASE WHEN id % 5 = 3 THEN '2024' || strftime(o_orderdate, '-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS doc_date FROM {ORDER_TEXT_SQL}")
+def d4(spark, sf_dir):
+    return order_texts(spark, sf_dir).select("id", D.document_date(F.lit("no date"), F.col("text"), F.col("o_orderdate"), F.lit(None).cast("timestamp"), 2024).alias("doc_date"))
+
+
+@query("d5_explicit_ranges", """
+SELECT o_orderkey, (o_orderdate::DATE) AS start, (o_orderdate::DATE + INTERVAL (o_orderkey % 9) DAY)::DATE AS "end" FROM orders""")
+def d5(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    said = F.concat(F.lit("between "), day.cast("string"), F.lit(" .. "), F.date_add(day, (F.col("o_orderkey") % 9).cast("int")).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.explicit_range(said, F.lit("2024-02-01").cast("date"), 2024).alias("r")).select("o_orderkey", "r.start", "r.end")
+
+
+@query("d6_recency", "SELECT event_id, round(exp(-ln(2.0) / 30.0 * greatest(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts), 0) / 86400e6), 6) AS recency FROM events")
+def d6(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(D.recency(F.col("ts").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")), 6).alias("recency"))
+
+
+@query("d8_days", "SELECT event_id, ts::DATE AS day FROM events")
+def d8(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))

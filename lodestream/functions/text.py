@@ -74,7 +74,7 @@ def shingles(text: Column, size: int = 3) -> Column:
     """Lower-cased word windows; a shorter text is one shingle, a blank one none."""
 
     def of(w: Column) -> Column:
-        long_ = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        long_ = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(size)]))
         return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(long_)
 
     return let(words(F.lower(text)), of)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestream.plans import text_plans  # noqa: F401
+from lodestream.plans import retrieval_plans, text_plans  # noqa: F401
 from lodestream.plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "t9_keyword_tokens"
+FLAGSHIP = "r2_sparse_search"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

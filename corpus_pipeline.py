@@ -28,7 +28,7 @@ def redact(spark, docs, sf_dir):
 
 def mix(spark, docs, sf_dir):
     """doc_id, source, n_tokens, posteriors, rate and copies of all documents."""
-    return mixing.mix(docs, read_table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, read_table(spark, sf_dir, "labels"), targets={"low": 0.0, "good": 0.98, "toxic": 0.02})
 
 
 STAGES = [("quality_classifier", classify), ("jaccard_join", one_of_each), ("decontamination", decontaminate), ("secret_scan", redact), ("source_mixing", mix)]

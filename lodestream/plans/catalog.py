@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.plans import ingest_plans, retrieval_plans, text_plans  # noqa: F401
+from lodestream.plans import ingest_plans, memory_plans, retrieval_plans, text_plans  # noqa: F401
 from lodestream.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "r2_sparse_search"

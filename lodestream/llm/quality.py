@@ -87,14 +87,14 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sampl
     return fit(documents.select("doc_id", "text").join(own, F.col("doc_id") == F.col("id_")), "y_")
 
 
-def scoring_kernel(model: Discriminant, threshold: float = THRESHOLD, name: str = "score"):
+def scoring_kernel(model: Discriminant, threshold: float = THRESHOLD, score_name: str = "score", verdict_name: str = "predicted"):
     def kernel(texts):
         if model.classes == [0, 1]:
             z = model.log_density(features(texts))
             s = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -600, 600)))
         else:
             s = np.full(texts.n, 0.5)
-        return {name: s, "predicted_": (s >= threshold).astype(np.int32)}
+        return {score_name: s, verdict_name: (s >= threshold).astype(np.int32)}
 
     return kernel
 
@@ -102,14 +102,14 @@ def scoring_kernel(model: Discriminant, threshold: float = THRESHOLD, name: str
 def score(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of documents."""
     model = train(documents, labels)
-    out = with_kernel(documents.select("doc_id", "text"), "text", scoring_kernel(model, threshold, "score"), "score double, predicted_ int", keep=["doc_id"])
-    return out.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", F.col("predicted_").alias("predicted"))
+    out = with_kernel(documents.select("doc_id", "text"), "text", scoring_kernel(model, threshold), "score double, predicted int", keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents without those that the classifier rejects; columns as they were."""
     model = train(documents, labels)
-    kernel = scoring_kernel(model, threshold, "lodestream_score_")
-    out = with_kernel(documents, "text", kernel, "lodestream_score_ double, predicted_ int")
-    return out.where("predicted_ = 1").select(*documents.columns)
+    kernel = scoring_kernel(model, threshold, "lodestream_score_", "lodestream_verdict_")
+    out = with_kernel(documents, "text", kernel, "lodestream_score_ double, lodestream_verdict_ int")
+    return out.where("lodestream_verdict_ = 1").select(*documents.columns)
 

@@ -125,8 +125,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of a secret replaced by [kind]; overlapping spans become one. Other rows are as they were."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = scan(docs.withColumn("was_null_", F.col("text").isNull()), keys=(*others, "was_null_"))
+    found = scan(docs.select(F.struct("*").alias("row_"), "text"), keys=("row_",))
     merged = F.aggregate(
         "spans",
         F.array().cast(_SPANS),
@@ -145,8 +144,7 @@ def redact(docs: DataFrame) -> DataFrame:
         lambda a, s: F.struct(s["stop"].alias("at"), F.concat(a["out"], F.substring(F.col("text_"), a["at"] + 1, s["start"] - a["at"]), kind(s)).alias("out")),
         lambda a: F.concat(a["out"], F.substring(F.col("text_"), a["at"] + 1, F.length("text_"))),
     )
-    text = F.when(F.col("was_null_"), F.lit(None)).when(F.size("spans") == 0, F.col("text_")).otherwise(clean)
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    text = F.when(F.col("row_.text").isNull(), F.lit(None)).when(F.size("spans") == 0, F.col("text_")).otherwise(clean)
+    out = found.select("row_", text.alias("clean_"))
+    new = {"text": F.col("clean_"), "n_chars": F.when(F.col("clean_") == F.col("row_.text"), F.col("row_")["n_chars"]).otherwise(F.length("clean_")) if "n_chars" in docs.columns else None}
+    return out.select(*[(new[c] if c in new else F.col("row_")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

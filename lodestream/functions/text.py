@@ -15,6 +15,10 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _in(x: Column, words) -> Column:
     return x.isin(list(words))
 
@@ -56,7 +60,7 @@ def estimate_tokens(text: Column) -> Column:
 def clean_markup(text: Column) -> Column:
     """Without images and tags, links as their text, three newlines or more as two."""
     x = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)|<[^>]+>|\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.trim(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
 def title_of(markdown: Column, body: Column, default: str = "untitled") -> Column:
@@ -229,4 +233,4 @@ def html_text(html: Column) -> Column:
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(char))
     x = F.regexp_replace(x, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(x, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))

@@ -55,7 +55,7 @@ def t2(spark, sf_dir):
 
 
 @query("t4_clean_markup", r"""
-SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '!\[[^\]]*\]\([^)]*\)|<[^>]+>|\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM pages""")
+SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '!\[[^\]]*\]\([^)]*\)|<[^>]+>|\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM pages""")
 def t4(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_markup(F.col("html"))).alias("digest"))
 

@@ -331,7 +331,7 @@ def _first_pass(documents: DataFrame, length: int) -> DataFrame:
 def _filter(keys: DataFrame, column: str):
     """A broadcast bit filter of the hashes in a column, about 32 bits for each: (bits, array)."""
     bits = min(max((32 * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
-    spread = F.shiftrightunsigned(column, 64 - bits) + 1
+    spread = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1  # anchors are least hashes: only their low bits are even
     rows = keys.groupBy(F.bitmap_bucket_number(spread).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spread)).alias("v")).toLocalIterator()
     out = np.zeros((1 << bits) // 8 + 4096, dtype=np.uint8)
     for r in rows:
@@ -340,7 +340,7 @@ def _filter(keys: DataFrame, column: str):
 
 
 def _passes(filter_: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    at = hashes.view(np.uint64) & np.uint64((1 << bits) - 1)
     return (filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 

@@ -5,10 +5,12 @@
 2. Sets are ordered by (frequent, hash), frequent meaning that the shingle's sketch counter
    is beyond a limit. Two sets that link share an element of their first n - ceil(3n/4) + 1:
    classes are posted under these, and classes posted under one key are candidates.
-3. Candidates are verified in a trie of their ordered sets: a probe walks it, branches share
+3. Each class has a bit signature of 2 to 4 bits a shingle, which bounds its overlap with any
+   other from above; candidates whose bound is too low go before any set is read again.
+4. The others are verified in a trie of their ordered sets: a probe walks it, branches share
    the overlap of their common prefix, and a branch is left as soon as what remains of it and
    of the probe cannot reach the overlap that a link needs.
-4. First each class meets the least class of its lists. Lists whose classes are then still
+5. First each class meets the least class of its lists. Lists whose classes are then still
    in different components are joined in full; so are keys with very many classes, in blocks.
    Pairs that are in one component already need no check, so no group is expanded into pairs.
 
@@ -30,8 +32,8 @@ from lodestream.llm.components import components
 
 #: Counters of the sketch: a power of two between these, about one for 64 shingles.
 LEAST_BITS, MOST_BITS = 14, 24
-#: A shingle is frequent if its counter is beyond this, or beyond 4 times the mean counter.
-LEAST_FREQUENT = 64
+#: A shingle is frequent if its counter is beyond this, or beyond what counters reach by chance: 5 deviations above their mean.
+LEAST_FREQUENT = 32
 #: Bits of the filter that candidates' sets are read through (8 MB).
 FILTER_BITS = 26
 _BLOCK = 1 << 14
@@ -57,8 +59,30 @@ def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Which of 2 to 4 times len(s) buckets, a power of two, the elements fall in by their low bits."""
+    size = 1 << max(6, (2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) brought to fewer buckets."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] | words[:, half:]
+    return words
+
+
+def overlap_bound(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of rows: shared buckets, and the elements that share a bucket with another of their own set."""
+    both = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64)
+    return both + np.minimum(na - np.bitwise_count(a).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b).sum(axis=1, dtype=np.int64))
+
+
 def _first_pass(documents: DataFrame, bits: int) -> DataFrame:
-    """Rows (doc_id, n, id) of documents, and rows (block, counts) of each task's sketch."""
+    """Rows (doc_id, n, id, and where a task's slice has the set first its signature) of documents, and rows (block, counts) of each task's sketch."""
 
     def run(batches):
         sketch = np.zeros(1 << bits, dtype=np.uint32)
@@ -67,21 +91,24 @@ def _first_pass(documents: DataFrame, bits: int) -> DataFrame:
             for first, texts in texts_of(batch.column("text")):
                 sets = ordered_sets(texts)
                 own = np.array([set_id(s) for s in sets], dtype=np.int64)
+                signs = [None] * len(sets)
                 for k in np.unique(own, return_index=True)[1]:
+                    signs[k] = signature(sets[k]) if len(sets[k]) else None
                     sketch[sets[k] >> np.uint64(64 - bits)] += np.uint32(1)  # a set meets a counter twice seldom; such a double counts once
                 n = texts.n
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(own), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "id", "block", "counts"]
+                    [ids.slice(first, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(own), pa.array(signs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    names=["doc_id", "n", "id", "sign", "block", "counts"],
                 )
         for b in range(0, 1 << bits, _BLOCK):
             if sketch[b : b + _BLOCK].any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([b // _BLOCK], pa.int32()), pa.array([sketch[b : b + _BLOCK].tobytes()], pa.binary())],
-                    names=["doc_id", "n", "id", "block", "counts"],
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b // _BLOCK], pa.int32()), pa.array([sketch[b : b + _BLOCK].tobytes()], pa.binary())],
+                    names=["doc_id", "n", "id", "sign", "block", "counts"],
                 )
 
     ship(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, id long, block int, counts binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, id long, sign binary, block int, counts binary")
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
@@ -274,15 +301,87 @@ def trie_links(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, root
     return found
 
 
-def _verify(slots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) within groups g of slots (g, id, probe, root)."""
+def _words(signs: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in signs]
+
+
+def _bounded_pairs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Of pairs (a, id) those that their signatures (id, n, sign) let link."""
+    other = signs.select(F.col("id").alias("a"), F.col("n").alias("n0"), F.col("sign").alias("sign0"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = _words(batch.column("sign0")), _words(batch.column("sign"))
+            nx, ny = batch.column("n0").to_numpy(), batch.column("n").to_numpy()
+            width = np.array([min(len(p), len(q)) for p, q in zip(x, y)], dtype=np.int64)
+            keep = np.zeros(len(x), dtype=bool)
+            for w in np.unique(width):
+                k = np.flatnonzero(width == w)
+                p, q = (np.vstack([_folded(v[i][None, :], w) for i in k]) for v in (x, y))
+                keep[k] = 7 * overlap_bound(p, nx[k], q, ny[k]) >= 3 * (nx[k] + ny[k])
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("id").take(at)], names=["a", "id"])
+
+    return pairs.join(signs, "id").join(other, "a").select("a", "id", "n0", "sign0", "n", "sign").mapInArrow(run, "a long, id long")
+
+
+def close_pairs(ids: np.ndarray, n: np.ndarray, words: list[np.ndarray], probes: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a probe and another, of different roots, that lengths and signatures let link; least id first."""
+    widths = np.array([len(w) for w in words])
+    rows = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
+    folded: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(w: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of width w brought to a width, and how many elements share a bucket with another of their set."""
+        if (w, to) not in folded:
+            x = _folded(np.vstack([words[k] for k in rows[w]]), to)
+            folded[w, to] = x, n[rows[w]] - np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        return folded[w, to]
+
+    found = []
+    for w, own in rows.items():
+        asked = np.flatnonzero(probes[own])
+        for v, other in rows.items():
+            if max(w, v) > 2 * min(w, v):
+                continue  # sizes of sets that link differ by a third at most, so their widths by a factor of 2
+            (x, over), (y, more) = of(w, min(w, v)), of(v, min(w, v))
+            block = max(1, (1 << 21) // max(1, y.size))
+            for at in range(0, len(asked), block):
+                q = asked[at : at + block]
+                nq, nk = n[own[q]][:, None], n[other][None, :]
+                bound = np.bitwise_count(x[q][:, None, :] & y[None, :, :]).sum(axis=2, dtype=np.int64) + np.minimum(over[q][:, None], more[None, :])
+                fits = (7 * bound >= 3 * (nq + nk)) & (4 * np.minimum(nq, nk) >= 3 * np.maximum(nq, nk)) & (roots[own[q]][:, None] != roots[other][None, :])
+                i, j = np.nonzero(fits)
+                found.append(np.sort(np.column_stack([ids[own[q[i]]], ids[other[j]]]), axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return [(int(a), int(b)) for a, b in pairs]
+
+
+def _open_pairs(slots: DataFrame, signs: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, id) within groups g of slots (g, id, probe, root)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = close_pairs(*(table.column(c).to_numpy() for c in ("id", "n")), _words(table.column("sign")), table.column("probe").to_numpy(), table.column("root").to_numpy())
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "id": pa.array([y for _, y in found], pa.int64())})
+
+    return slots.join(signs, "id").select("g", "id", "probe", "root", "n", "sign").groupBy("g").applyInArrow(run, "a long, id long").distinct()
+
+
+def _verify(documents: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) among pairs (a, id): the partners of a fill tries of about limit sets, which a then walks."""
+    sets = written(_candidate_sets(documents, pairs.select("id").unionByName(pairs.select(F.col("a").alias("id"))).distinct()))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+    met = pairs.join(parts, "a").select(F.struct("a", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("g"), "id")
+    slots = met.select("g", "id", F.lit(False).alias("probe")).unionByName(met.select("g").distinct().select("g", F.col("g.a").alias("id"), F.lit(True).alias("probe")))
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        found = trie_links(ids, [np.asarray(x.values.to_numpy()).view(np.uint64) for x in table.column("items")], table.column("probe").to_numpy(), table.column("root").to_numpy())
+        found = trie_links(ids, [np.asarray(x.values.to_numpy()).view(np.uint64) for x in table.column("items")], table.column("probe").to_numpy(), ids)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return slots.join(sets, "id").select("g", "id", "probe", "root", "items").groupBy("g").applyInArrow(run, "a long, b long")
+    links = written(slots.join(sets, "id").select("g", "id", "probe", "items").groupBy("g").applyInArrow(run, "a long, b long"))
+    discard(sets)
+    return links
 
 
 def _candidate_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -313,14 +412,19 @@ def _candidate_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
-def join(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of documents."""
+def join(documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of documents.
+
+    limit: classes that a key may have before its shingle is frequent and the key goes in blocks;
+    it divides the work and changes no result. By default it follows from the size of the corpus.
+    """
     chars = documents.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     bits = min(max(int(chars // 400).bit_length(), LEAST_BITS), MOST_BITS)
     first = written(_first_pass(documents, bits))
     rows = first.where("block is null")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    limit = max(LEAST_FREQUENT, 4 * total >> bits)
+    mean = total / (1 << bits)
+    limit = limit or max(LEAST_FREQUENT, int(mean + 5 * mean**0.5))
     flags = frequent_bits(first, bits, limit)
     found = written(_lists(_postings(documents, bits, flags), limit))
     lists = written(found.where("ids is not null").select("ids", "ns").distinct().select(F.xxhash64("ids").alias("g"), "ids", "ns"))
@@ -328,28 +432,24 @@ def join(documents: DataFrame) -> DataFrame:
     fits = 4 * F.least("n0", "n") >= 3 * F.greatest("n0", "n")
     pairs = lists.select(F.col("ids")[0].alias("a"), F.col("ns")[0].alias("n0"), F.explode(F.arrays_zip("ids", "ns")).alias("x"))
     pairs = pairs.select("a", "n0", F.col("x.ids").alias("id"), F.col("x.ns").alias("n")).where((F.col("id") != F.col("a")) & fits).select("a", "id").distinct()
-    pairs = written(pairs)
-    wanted = lists.select(F.explode("ids").alias("id")).unionByName(over.select("id")).distinct()
-    sets = written(_candidate_sets(documents, wanted))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
-    met = pairs.join(parts, "a").select("a", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-    slots = met.select(F.struct("a", "part").alias("g"), "id", F.lit(False).alias("probe"))
-    slots = slots.unionByName(met.select("a", "part").distinct().select(F.struct("a", "part").alias("g"), F.col("a").alias("id"), F.lit(True).alias("probe")))
-    links = written(_verify(slots.withColumn("root", F.col("id")), sets))
+    signs = rows.where("sign is not null").groupBy("id").agg(F.max("n").alias("n"), F.max("sign").alias("sign"))
+    signs = written(signs.join(lists.select(F.explode("ids").alias("id")).unionByName(over.select("id")).distinct(), "id", "left_semi"))
+    close = written(_bounded_pairs(pairs, signs))
+    links = _verify(documents, close, limit)
     known = components(links)
-    more = written(_rest(lists, over, known, sets, limit))
-    if not more.isEmpty():
-        known = components(links.unionByName(more))
+    open_ = written(_rest(lists, over, known, signs, limit))
+    if not open_.isEmpty():
+        known = components(links.unionByName(_verify(documents, open_, limit)))
     least = rows.groupBy("id").agg(F.min("doc_id").alias("least")).join(known.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = least.join(of_root, "root").select("id", "component_id")
     out = rows.join(of_class, "id").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    discard(found, pairs)
+    discard(found, lists, signs, close, open_)
     return out
 
 
-def _rest(lists: DataFrame, over: DataFrame, known: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """Links that lists and large keys still hide: only between classes in different components."""
+def _rest(lists: DataFrame, over: DataFrame, known: DataFrame, signs: DataFrame, limit: int) -> DataFrame:
+    """Candidate pairs that lists and large keys still hide: only between classes in different components."""
     at = known.withColumnRenamed("node", "id")
     own = lists.select("g", F.explode("ids").alias("id")).join(at, "id", "left").select("g", "id", F.coalesce("root", "id").alias("root"))
     open_ = own.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
@@ -364,7 +464,7 @@ def _rest(lists: DataFrame, over: DataFrame, known: DataFrame, sets: DataFrame,
     others = tied.select("key", "id", "root", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("probe"))
     both = probes.unionByName(others).groupBy("key", "i", "j", "id", "root").agg(F.max("probe").alias("probe"))
     large = both.select(F.struct(F.col("key").alias("g"), "i", "j").alias("g"), "id", "probe", "root")
-    return _verify(small.unionByName(large), sets)
+    return _open_pairs(small.unionByName(large), signs)
 
 
 def keep_first(documents: DataFrame) -> DataFrame:

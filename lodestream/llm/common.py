@@ -116,6 +116,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
+        self._words = self._hashes = None
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, positions, side="right") - 1
@@ -139,7 +140,14 @@ class Texts:
         return np.flatnonzero(member & ~before), np.flatnonzero(member & ~after) + 1
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.runs(~_SPACE[self.data])
+        if self._words is None:
+            self._words = self.runs(~_SPACE[self.data])
+        return self._words
+
+    def word_hashes(self) -> np.ndarray:
+        if self._hashes is None:
+            self._hashes = self.span_hashes(*self.words())
+        return self._hashes
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
@@ -176,8 +184,8 @@ def shingles(texts: Texts, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.n
 
     A text of fewer words than width, but at least one, gives one hash of its whole sequence.
     """
-    starts, ends = texts.words()
-    h = texts.span_hashes(starts, ends)
+    starts, _ = texts.words()
+    h = texts.word_hashes()
     doc = texts.doc_of(starts)
     counts = np.bincount(doc, minlength=texts.n) if len(doc) else np.zeros(texts.n, np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])

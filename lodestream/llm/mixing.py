@@ -39,9 +39,10 @@ STEPS, TOLERANCE = 60, 1e-4
 def _buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Owner and bucket of each distinct (text, bucket) pair of its words."""
     lower = texts.lowered()
-    starts, ends = lower.words()
-    own = (lower.doc_of(starts).astype(np.int64) << BUCKET_BITS) | (lower.span_hashes(starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    own = np.unique(own)
+    starts, _ = lower.words()
+    own = (lower.doc_of(starts).astype(np.int64) << BUCKET_BITS) | (lower.word_hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    own = np.sort(own)
+    own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
     return own >> BUCKET_BITS, own & ((1 << BUCKET_BITS) - 1)
 
 

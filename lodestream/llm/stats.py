@@ -26,8 +26,10 @@ _POINT = np.array([b & 0xC0 != 0x80 for b in range(256)])
 
 def per_text(texts: Texts, member: np.ndarray) -> np.ndarray:
     """How many bytes of each text are members."""
-    total = np.concatenate([[0], np.cumsum(member, dtype=np.int64)])
-    return total[texts.offsets[1:]] - total[texts.offsets[:-1]]
+    padded = np.concatenate([member.view(np.uint8), np.zeros(1, np.uint8)])
+    out = np.add.reduceat(padded, texts.offsets[:-1], dtype=np.int64)
+    out[texts.offsets[1:] == texts.offsets[:-1]] = 0
+    return out
 
 
 def repeated(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -55,10 +57,10 @@ def later_copies(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
 def rule_counts(texts: Texts) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
     nonspace = ~_SPACE[texts.data]
-    starts, ends = texts.runs(nonspace)
+    starts, _ = texts.words()
     owner = texts.doc_of(starts)
     counts = np.bincount(owner, minlength=texts.n).astype(np.int64) if len(owner) else np.zeros(texts.n, np.int64)
-    h = texts.span_hashes(starts, ends)
+    h = texts.word_hashes()
     lines_at, lines_to = texts.runs(texts.data != 10)
     with_word = np.concatenate([[0], np.cumsum(nonspace)])
     kept = with_word[lines_to] > with_word[lines_at]
@@ -88,9 +90,9 @@ FEATURES = ["words", "word_length", "symbols", "upper", "digits", "marks", "shou
 def features(texts: Texts) -> np.ndarray:
     """len(texts) x len(FEATURES) transformed statistics; an empty text has the statistics of no words."""
     base = rule_counts(texts)
-    starts, ends = texts.words()
+    starts, _ = texts.words()
     owner = texts.doc_of(starts)
-    h = texts.span_hashes(starts, ends)
+    h = texts.word_hashes()
     words = np.maximum(base["n_words"], 1)
     points = np.maximum(per_text(texts, _POINT[texts.data]), 1)
     share = lambda x, of: np.log(x / of + 0.002)

@@ -36,45 +36,45 @@ def default_vocabulary_path() -> str:
 
 
 class Automaton:
+    """rows[node] maps a byte to a child; link is where to go on when none fits, popped how many pieces are complete then."""
+
     def __init__(self, pieces: list[bytes]):
-        step: dict[int, int] = {}
-        final, made = [False], 1
+        leaf: dict[int, int] = {}
+        rows, final = [{}], [False]
         for piece in {*pieces, *(bytes([b]) for b in range(256))} - {b""}:
             at = 0
             for b in piece:
-                key = at << 8 | b
-                nxt = step.get(key)
+                if rows[at] is leaf:
+                    rows[at] = {}
+                nxt = rows[at].get(b)
                 if nxt is None:
-                    nxt = step[key] = made
+                    nxt = rows[at][b] = len(rows)
+                    rows.append(leaf)
                     final.append(False)
-                    made += 1
                 at = nxt
             final[at] = True
-        children: list[list[tuple[int, int]]] = [[] for _ in range(made)]
-        for key, nxt in step.items():
-            children[key >> 8].append((key & 255, nxt))
-        link, popped = [0] * made, [0] * made
+        link, popped = [0] * len(rows), [0] * len(rows)
         level = [0]
         while level:
             below = []
             for u in level:
-                for b, v in children[u]:
+                for b, v in rows[u].items():
                     below.append(v)
                     if final[v]:
                         popped[v] = 1
                         continue
                     z, n = link[u], popped[u]
-                    while (nxt := step.get(z << 8 | b)) is None:
+                    while (nxt := rows[z].get(b)) is None:
                         n += popped[z]
                         z = link[z]
                     link[v], popped[v] = nxt, n
             level = below
-        self.step, self.link, self.popped = step, link, popped
+        self.rows, self.link, self.popped = rows, link, popped
 
     def count(self, word: bytes) -> int:
-        step, link, popped, at, n = self.step, self.link, self.popped, 0, 0
+        rows, link, popped, at, n = self.rows, self.link, self.popped, 0, 0
         for b in word:
-            while (nxt := step.get(at << 8 | b)) is None:
+            while (nxt := rows[at].get(b)) is None:
                 n += popped[at]
                 at = link[at]
             at = nxt

@@ -62,17 +62,15 @@ def levels(calls: DataFrame) -> DataFrame:
     nodes = calls.select("conv_id", "call_id").where("call_id is not null").distinct()
     edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("on")).distinct()
     edges = written(edges.join(nodes.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi"))
-    open_, done, k = written(nodes), None, 0
+    nodes, done, k = written(nodes), None, 0
     while True:
         waiting = edges if done is None else edges.join(done.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti")
-        ready = open_.join(waiting, ["conv_id", "call_id"], "left_anti")
-        new = written(ready.withColumn("level", F.lit(k)))
+        open_ = nodes if done is None else nodes.join(done, ["conv_id", "call_id"], "left_anti")
+        new = written(open_.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(k)))
         if new.isEmpty():
-            break
-        done = new if done is None else done.unionByName(new)
-        open_, k = written(open_.join(new, ["conv_id", "call_id"], "left_anti")), k + 1
-    left = open_.withColumn("level", F.lit(None).cast("int"))
-    return left if done is None else done.unionByName(left)
+            left = open_.withColumn("level", F.lit(None).cast("int"))
+            return left if done is None else done.unionByName(left)
+        done, k = new if done is None else done.unionByName(new), k + 1
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:

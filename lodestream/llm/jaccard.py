@@ -5,7 +5,7 @@
 2. Sets are ordered by (frequent, hash), frequent meaning that the shingle's sketch counter
    is beyond a limit. Two sets that link share an element of their first n - ceil(3n/4) + 1:
    classes are posted under these, and classes posted under one key are candidates.
-3. Each class has a bit signature of 2 to 4 bits a shingle, which bounds its overlap with any
+3. Each class has a bit signature of 8 to 16 bits a shingle, which bounds its overlap with any
    other from above; candidates whose bound is too low go before any set is read again.
 4. The others are verified in a trie of their ordered sets: a probe walks it, branches share
    the overlap of their common prefix, and a branch is left as soon as what remains of it and
@@ -60,8 +60,8 @@ def prefix_length(n: int) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Which of 2 to 4 times len(s) buckets, a power of two, the elements fall in by their low bits."""
-    size = 1 << max(6, (2 * len(s) - 1).bit_length())
+    """Which of 8 to 16 times len(s) buckets, a power of two, the elements fall in by their low bits."""
+    size = 1 << max(6, (8 * len(s) - 1).bit_length())
     bits = np.zeros(size, dtype=bool)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -451,7 +451,9 @@ def join(documents: DataFrame, limit: int | None = None) -> DataFrame:
 def _rest(lists: DataFrame, over: DataFrame, known: DataFrame, signs: DataFrame, limit: int) -> DataFrame:
     """Candidate pairs that lists and large keys still hide: only between classes in different components."""
     at = known.withColumnRenamed("node", "id")
-    own = lists.select("g", F.explode("ids").alias("id")).join(at, "id", "left").select("g", "id", F.coalesce("root", "id").alias("root"))
+    met = F.slice("ids", 2, F.size("ids") - 1)  # all have met the first one already
+    others = lists.where(F.size("ids") > 2).select(met.alias("ids")).distinct().select(F.xxhash64("ids").alias("g"), "ids")
+    own = others.select("g", F.explode("ids").alias("id")).join(at, "id", "left").select("g", "id", F.coalesce("root", "id").alias("root"))
     open_ = own.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
     small = own.join(open_, "g", "left_semi").select(F.struct("g", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("g"), "id", F.lit(True).alias("probe"), "root")
     held = over.join(at, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))

@@ -361,3 +361,27 @@ def test_decontamination_finds_items(spark, sf, texts):
     whole = {(d, r.item_id) for r in items.collect() for d, t in texts if len(r.text.split()) >= 10 and r.text in t}
     got = {(r.doc_id, r.item_id) for r in decontam.overlaps(read_table(spark, sf, "documents"), items).collect()}
     assert whole <= got
+
+
+def test_decontamination_runs_short_items_and_null_ids(spark):
+    """Passages of long items, short items with and without a substituted word, rows without an id."""
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    own = {i: rng.choices(vocabulary, k=n) for i, n in enumerate([130, 8, 5, 2, 40, 300])}
+    items = [(i, " ".join(w)) for i, w in own.items()] + [(None, " ".join(rng.choices(vocabulary, k=30)))]
+    few = [*own[1]]
+    few[3] = "changed"
+    many = own[5][100:130]
+    for k in range(4, 30, 5):
+        many[k] = "changed"
+    planted = {0: own[0][20:80], 1: few, 2: own[2], 3: own[3], None: own[4], 5: many, 6: items[-1][1].split(), 7: own[2][:4] + ["changed"], 8: own[0][20:32]}
+    texts = {}
+    for d, w in planted.items():
+        texts[d] = rng.choices(vocabulary, k=90)
+        texts[d][40:40] = w
+    rows = [(d, " ".join(w)) for d, w in texts.items()] + [(None, " ".join(rng.choices(vocabulary, k=90))), (None, None)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, benchmark).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2), (3, 3), (None, 4), (5, 5), (6, None)}
+    kept = [(r.doc_id, r.text) for r in decontam.clean(docs, benchmark).collect()]
+    assert sorted(kept, key=str) == sorted([x for x in rows if x[0] in (7, 8)] + rows[-2:], key=str)

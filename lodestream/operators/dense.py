@@ -11,6 +11,8 @@ from lodestream.operators.ranking import top_k
 
 #: Bytes of query vectors that are sent to the executors at once; more queries go in further blocks.
 BLOCK_BYTES = 64 << 20
+#: Query vectors that are multiplied with a batch of rows at once.
+QUERIES_AT_ONCE = 512
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -54,9 +56,11 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
                 if not len(batch):
                     continue
                 own = batch.column("id").to_numpy()
-                score = np.round(matrix @ _unit(_rows(batch.column("vector"))).T, 9)
+                rows = _unit(_rows(batch.column("vector"))).T
                 for q in range(len(ids)):
-                    s, i = score[q], own
+                    if q % QUERIES_AT_ONCE == 0:
+                        score = np.round(matrix[q : q + QUERIES_AT_ONCE] @ rows, 9)
+                    s, i = score[q % QUERIES_AT_ONCE], own
                     mask = np.ones(len(s), dtype=bool) if least is None else s >= least
                     if exclude_self:
                         mask &= i != ids[q]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import analytics, lifecycle, memory
 from lodestream.plans.registry import query, table
-from lodestream.plans.retrieval_plans import DENSE_SQL, dense_hits, vectors
+from lodestream.plans.retrieval_plans import DENSE_SQL, dense_hits, every_hit, vectors
 
 NOW = "2024-02-01"
 # Events stand for memory records; their columns follow from the event id, in words that both dialects have.
@@ -310,6 +310,21 @@ def f2(spark, sf_dir):
     return lifecycle.reconcile(hits).withColumn("score", F.round("score", 6))
 
 
+@query("f1_linker_whole")
+def f1_whole(spark, sf_dir):
+    """Every record is searched for, so an evidence count of 0 means that nothing is near."""
+    hits = every_hit(spark, sf_dir, 21).withColumn("score", F.col("score") + 0.5)
+    out, _ = lifecycle.link(vectors(spark, sf_dir).select("id"), hits)
+    return out.select("id", "evidence_count")
+
+
+@query("f2_j13_reconciler_whole")
+def f2_whole(spark, sf_dir):
+    """The best duplicate of every record."""
+    hits = every_hit(spark, sf_dir, 11).withColumn("score", F.col("score") + 0.6)
+    return lifecycle.reconcile(hits).withColumn("score", F.round("score", 6))
+
+
 @mem("f3_monitor", """
 SELECT id, CASE WHEN valid_until <= TIMESTAMP '2024-02-01' THEN 'archived' WHEN superseded_by IS NOT NULL THEN 'superseded' WHEN updated_at <= TIMESTAMP '2024-01-02' THEN 'stale' ELSE status END AS status,
   CASE WHEN valid_until <= TIMESTAMP '2024-02-01' THEN 0.0 WHEN superseded_by IS NOT NULL THEN 0.1 WHEN updated_at <= TIMESTAMP '2024-01-02' THEN 0.25 ELSE 0.5 END::DOUBLE AS freshness_score FROM mem""")

@@ -269,6 +269,13 @@ def d3(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderkey <= 4000").select("o_orderkey", F.explode(D.dates_between(day, F.date_add(day, 3))).alias("day"))
 
 
+@query("d3_dates_between_whole")
+def d3_whole(spark, sf_dir):
+    """The days of all orders."""
+    day = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(D.dates_between(day, F.date_add(day, 3))).alias("day"))
+
+
 @query("d4_document_dates", f"SELECT id, CASE WHEN id % 5 = 3 THEN '2024' || strftime(o_orderdate, '-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS doc_date FROM {ORDER_TEXT_SQL}")
 def d4(spark, sf_dir):
     return order_texts(spark, sf_dir).select("id", D.document_date(F.lit("no date"), F.col("text"), F.col("o_orderdate"), F.lit(None).cast("timestamp"), 2024).alias("doc_date"))

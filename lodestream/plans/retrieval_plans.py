@@ -58,6 +58,14 @@ def hybrid_lists(spark, sf_dir, k=30):
     return words.unionByName(dense_hits(spark, sf_dir, k).select("query_id", F.lit("dense").alias("channel"), "id", "score"))
 
 
+def whole_hybrid_lists(spark, sf_dir, k=30):
+    """Both legs over all their rows: documents without a vector and vectors without a document too."""
+    docs = table(spark, sf_dir, "documents")
+    asked = sparse.query_terms(docs.where("doc_id % 100 = 0"), "doc_id", "text")
+    words = sparse.search(asked, corpus_postings(spark, sf_dir), k).select("query_id", F.lit("sparse").alias("channel"), "id", "score")
+    return words.unionByName(dense_hits(spark, sf_dir, k).select("query_id", F.lit("dense").alias("channel"), "id", "score"))
+
+
 @query("t10_term_weights", f"WITH {POSTINGS_SQL} SELECT id, term, round(weight, 6) AS weight FROM post")
 def t10(spark, sf_dir):
     return corpus_postings(spark, sf_dir).select("id", "term", F.round("weight", 6).alias("weight"))
@@ -103,10 +111,20 @@ def r3(spark, sf_dir):
     return fusion.reciprocal_rank(hybrid_lists(spark, sf_dir), top=10).withColumn("score", F.round("score", 6))
 
 
+@query("r3_hybrid_search_whole")
+def r3_whole(spark, sf_dir):
+    return fusion.reciprocal_rank(whole_hybrid_lists(spark, sf_dir), top=10).withColumn("score", F.round("score", 6))
+
+
 _OVERLAP_SQL = """, o AS (SELECT query_id, count(*) FILTER (n = 2) / count(*)::DOUBLE AS overlap FROM (SELECT query_id, id, count(*) AS n FROM lists GROUP BY ALL) GROUP BY query_id),
 k AS (SELECT query_id, overlap, CASE WHEN overlap >= 0.7 THEN 20 WHEN overlap <= 0.2 THEN 80 ELSE round_even(80 - (overlap - 0.2) / 0.5 * 60, 0) END::INT AS k FROM o)"""
 
 
+@query("u6_m3_overlap_and_k_whole")
+def u6_whole(spark, sf_dir):
+    return overlaps(whole_hybrid_lists(spark, sf_dir)).select("query_id", F.round("overlap", 6).alias("overlap"), "k")
+
+
 @query("u6_m3_overlap_and_k", f"WITH {HYBRID_SQL} {_OVERLAP_SQL} SELECT query_id, round(overlap, 6) AS overlap, k FROM k")
 def u6(spark, sf_dir):
     return overlaps(hybrid_lists(spark, sf_dir)).select("query_id", F.round("overlap", 6).alias("overlap"), "k")
@@ -122,7 +140,15 @@ def overlaps(lists):
 @query("r4_adaptive_hybrid", f"""WITH {HYBRID_SQL} {_OVERLAP_SQL}, f AS (SELECT query_id, id, round(sum(1.0 / (k + place)), 9) AS score FROM placed JOIN k USING (query_id) GROUP BY ALL)
 SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10""")
 def r4(spark, sf_dir):
-    lists = hybrid_lists(spark, sf_dir)
+    return adaptive(hybrid_lists(spark, sf_dir))
+
+
+@query("r4_adaptive_hybrid_whole")
+def r4_whole(spark, sf_dir):
+    return adaptive(whole_hybrid_lists(spark, sf_dir))
+
+
+def adaptive(lists):
     return fusion.reciprocal_rank(lists.join(overlaps(lists).select("query_id", "k"), "query_id"), F.col("k"), 10).withColumn("score", F.round("score", 6))
 
 
@@ -149,6 +175,24 @@ def channel_hits(spark, sf_dir):
     return near.unionByName(meta).unionByName(exact)
 
 
+def whole_channel_hits(spark, sf_dir):
+    """All four channels of every query against all rows: label, label and parity, neighbouring ids."""
+    v = vectors(spark, sf_dir).select("id", "label")
+    a = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label")
+    near = dense_hits(spark, sf_dir, 30).select("query_id", F.lit("dense").alias("channel"), "id", "score")
+    alike = a.join(v, "label")
+    meta = alike.select("query_id", F.lit("metadata").alias("channel"), "id", F.lit(0.5).alias("score"))
+    exact = alike.where("query_id % 2 = id % 2").select("query_id", F.lit("exact").alias("channel"), "id", F.lit(1.0).alias("score"))
+    beside = a.select("query_id", F.explode(F.array(F.col("query_id") - 1, F.col("query_id") + 1)).alias("id")).join(v.select("id"), "id", "left_semi")
+    graph = beside.select("query_id", F.lit("graph").alias("channel"), "id", F.lit(0.8).alias("score"))
+    return near.unionByName(meta).unionByName(exact).unionByName(graph)
+
+
+@query("r10_channel_merge_whole")
+def r10_whole(spark, sf_dir):
+    return fusion.merge_channels(whole_channel_hits(spark, sf_dir)).withColumn("dense", F.round("dense", 6))
+
+
 @query("r10_channel_merge", f"WITH {CHANNEL_SQL} SELECT query_id, id, round(dense, 6) AS dense, exact::DOUBLE AS exact, metadata::DOUBLE AS metadata, graph::DOUBLE AS graph, best_channel FROM merged")
 def r10(spark, sf_dir):
     return fusion.merge_channels(channel_hits(spark, sf_dir)).withColumn("dense", F.round("dense", 6))
@@ -162,12 +206,12 @@ s AS (SELECT x.query_id, x.id, (0.1 * exp(-ln(2.0) / 30 * (epoch_us(TIMESTAMP '2
   / (0.15 + CASE WHEN d THEN 0.35 ELSE 0 END + CASE WHEN g THEN 0.15 ELSE 0 END + CASE WHEN act.m THEN 0.2 ELSE 0 END) AS signal, greatest(0, 1 - share / 0.4) AS balance FROM x JOIN act USING (query_id))"""
 
 
-def scored(spark, sf_dir):
+def scored(spark, sf_dir, channels=channel_hits):
     from pyspark.sql import Window
 
     from lodestream.functions.dates import recency
 
-    hits = channel_hits(spark, sf_dir)
+    hits = channels(spark, sf_dir)
     active = hits.groupBy("query_id").agg(*[F.max(F.col("channel") == c).alias(f"on_{c}") for c in fusion.CHANNELS])
     label = vectors(spark, sf_dir).select("id", "label")
     when = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts")
@@ -185,13 +229,27 @@ def m5(spark, sf_dir):
     return scored(spark, sf_dir).select("query_id", "id", F.round("signal", 6).alias("signal"), F.round("balance", 6).alias("balance"))
 
 
+@query("m4_m5_signal_scores_whole")
+def m5_whole(spark, sf_dir):
+    return scored(spark, sf_dir, whole_channel_hits).select("query_id", "id", F.round("signal", 6).alias("signal"), F.round("balance", 6).alias("balance"))
+
+
+@query("m6_k6_final_ranking_whole")
+def m6_whole(spark, sf_dir):
+    return final_ranking(scored(spark, sf_dir, whole_channel_hits))
+
+
 @query("m6_k6_final_ranking", f"""WITH {SCORED_SQL}, pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(signal, 9) DESC, id) AS r FROM s) WHERE r <= 35),
 rr AS (SELECT *, ((id * 37) % 101) / 100.0 AS raw FROM pool), nn AS (SELECT *, (raw - min(raw) OVER w) / nullif(max(raw) OVER w - min(raw) OVER w, 0) AS n FROM rr WINDOW w AS (PARTITION BY query_id)),
 ff AS (SELECT query_id, id, round(0.3 * round(signal, 9) + 0.7 * coalesce(n, 1), 9) AS final FROM nn)
 SELECT query_id, id, round(final, 6) AS final, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS rank FROM ff) WHERE rank <= 10""")
 def m6(spark, sf_dir):
+    return final_ranking(scored(spark, sf_dir))
+
+
+def final_ranking(s):
     """Signal score at least 0 (P11), a pool of 35, rerank scores from outside, min-max scaled, blended; the best ten."""
-    s = scored(spark, sf_dir).withColumn("signal", F.round("signal", 9)).where("signal >= 0")
+    s = s.withColumn("signal", F.round("signal", 9)).where("signal >= 0")
     pool = ranking.top_k(s, ["query_id"], "signal", "id", 35).drop("rank")
     raw = pool.withColumn("raw", ((F.col("id") * 37) % 101) / 100.0)
     final = raw.withColumn("final", F.round(fusion.final_score(F.col("signal"), ranking.min_max(F.col("raw"), ["query_id"])), 9))

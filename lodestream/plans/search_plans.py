@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import chunking, context, dense, entities, ranking, search, sparse
 from lodestream.plans.registry import query, table
-from lodestream.plans.retrieval_plans import DENSE_SQL, SPARSE_SQL, channel_hits, corpus_postings, dense_hits, vectors
+from lodestream.plans.retrieval_plans import DENSE_SQL, SPARSE_SQL, channel_hits, corpus_postings, dense_hits, vectors, whole_channel_hits
 
 
 @query("r5_supplied_vectors", f"WITH {DENSE_SQL}, c AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(list_transform(a.v, lambda x: -x), b.v), 9) AS score FROM e a, e b WHERE a.id % 100 = 0) SELECT query_id, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c) WHERE rank <= 10")
@@ -25,12 +25,18 @@ def r11(spark, sf_dir):
     return search.fast(dense_hits(spark, sf_dir, 30), meta, 20).withColumn("score", F.round("score", 6))
 
 
+@query("r11_fast_search_whole")
+def r11_whole(spark, sf_dir):
+    meta = whole_channel_hits(spark, sf_dir).where("channel = 'metadata'").select("query_id", "id", "score")
+    return search.fast(dense_hits(spark, sf_dir, 30), meta, 20).withColumn("score", F.round("score", 6))
+
+
 @query("r12_full_search")
 def r12(spark, sf_dir):
     """Channels, freshness, signal and rerank scores, token budget: the whole chain, with a rerank score from outside."""
     payload = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_type"), F.when(F.col("doc_id") % 9 == 0, "archived").alias("status"), "text")
     weights = {"dense_weight": 0.35, "graph_weight": 0.15, "metadata_weight": 0.2, "recency_weight": 0.1, "balance_weight": 0.05}
-    out = search.full(channel_hits(spark, sf_dir), payload, weights, 10, rerank=lambda p: p.withColumn("rerank_score", (F.col("id") * 37 % 101) / 100.0))
+    out = search.full(whole_channel_hits(spark, sf_dir), payload, weights, 10, rerank=lambda p: p.withColumn("rerank_score", (F.col("id") * 37 % 101) / 100.0))
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank", F.length("text").alias("n_chars"))
 
 

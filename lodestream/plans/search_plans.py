@@ -80,6 +80,13 @@ def t32(spark, sf_dir):
     return whole.where("n = 1 and n_chars <= 4000").select("doc_id", "n_chars")
 
 
+@query("t32_split_texts_whole")
+def t32_whole(spark, sf_dir):
+    """Every piece of every text."""
+    parts = context.split_long(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 4000)
+    return parts.select("doc_id", "part", F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("digest"))
+
+
 @query("g8_t23_entity_resolution")
 def g8(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"), F.lit(None).cast("array<double>").alias("vector"))

@@ -17,14 +17,26 @@ BASE_KINDS = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 KINDS = ["assign", "access", "hex", "entropy"]
-#: What may stand in a candidate string; it holds a digit and starts where no such character precedes.
+#: What may stand in a candidate string; it starts where no such character precedes.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
+LEAST_LENGTH = 16
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+"
 #: Character classes of candidates: name, pattern of the whole string, window, least entropy in bits.
+#: The first that fits counts. One case with digits between letters is told from words by these digits;
+#: with fewer digits, or none, only by its entropy, which is close to that of words run together.
 CLASSES = [
-    ("hex", r"^(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 20, 3.0),
-    ("alnum", r"^(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", 20, 3.6),
-    ("base64", r"^(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/_=-]+$", 24, 3.9),
+    ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 20, 3.0),
+    ("alnum", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", 20, 3.6),
+    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/_=-]+$", 24, 3.9),
+    ("base32", r"^(?=.*[2-7][A-Z]+[2-7])[A-Z2-7]+=*$", 16, 3.2),
+    ("lower", r"^(?=.*[0-9][a-z]+[0-9])[0-9a-z]+$", 20, 3.4),
+    ("upper", r"^(?=.*[0-9][A-Z]+[0-9])[0-9A-Z]+$", 20, 3.4),
+    ("lower_symbols", r"^(?=.*[0-9][a-z]+[0-9])[0-9a-z+/_=-]+$", 24, 3.85),
+    ("upper_symbols", r"^(?=.*[0-9][A-Z]+[0-9])[0-9A-Z+/_=-]+$", 24, 3.85),
+    ("lower_letters", r"^(?=.*[a-z])[0-9a-z]+$", 24, 3.9),
+    ("upper_letters", r"^(?=.*[A-Z])[0-9A-Z]+$", 24, 3.9),
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", 24, 4.1),
+    ("letters_symbols", r"^(?=.*[A-Za-z])[0-9A-Za-z+/_=-]+$", 24, 4.25),
 ]
 #: Strings that look random and are no secrets: UUIDs, integrity digests, samples.
 ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^sha(1|256|384|512)-|example|x{6}|(.)\2{7}"
@@ -86,13 +98,13 @@ def _is_random(token: Column) -> Column:
     for _, pattern, w, bits in reversed(CLASSES):
         window = F.when(token.rlike(pattern), F.lit(w)).otherwise(window)
         least = F.when(token.rlike(pattern), F.lit(bits)).otherwise(least)
-    return F.coalesce((F.length(token) >= window) & ~token.rlike(ALLOWED) & (_best_window(token, window) >= least), F.lit(False))
+    return F.when(F.coalesce(F.length(token) >= window, F.lit(False)), ~token.rlike(ALLOWED) & (_best_window(token, window) >= least)).otherwise(F.lit(False))
 
 
-def find_spans(text: Column, least_length: int = 20) -> tuple[Column, Column]:
+def find_spans(text: Column, least_length: int = LEAST_LENGTH) -> tuple[Column, Column]:
     """(base spans, text-derived candidate spans), both array<struct<start,kind,stop>> in order of start, kind."""
     base = F.concat(*[_matches(text, p, g, n, k) for k, (_, p, g, n) in enumerate(BASE_KINDS)])
-    return F.array_sort(base), _matches(text, CANDIDATE, 0, least_length, KINDS.index("entropy"))
+    return F.array_sort(base), _matches(text, CANDIDATE % least_length, 0, least_length, KINDS.index("entropy"))
 
 
 def scan(docs: DataFrame, text_column: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

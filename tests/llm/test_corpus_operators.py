@@ -385,3 +385,21 @@ def test_decontamination_runs_short_items_and_null_ids(spark):
     assert found == {(0, 0), (1, 1), (2, 2), (3, 3), (None, 4), (5, 5), (6, None)}
     kept = [(r.doc_id, r.text) for r in decontam.clean(docs, benchmark).collect()]
     assert sorted(kept, key=str) == sorted([x for x in rows if x[0] in (7, 8)] + rows[-2:], key=str)
+
+
+def test_secrets_of_every_class(spark):
+    """One random string of each class is found and redacted; words, slugs and rules are left alone."""
+    planted = {
+        "alnum": "aZ3kQ9xV7bN2mL5pR8tW1yU4cD6", "base64": "q7Rt/9Lm+2Xc_Vb4Nh8Zk-W1pJs6Y", "base32": "JBSWY3DPEHPK3PXP", "lower": "k3v9x0q7zt2m8w1ynb5r", "upper": "K3V9X0Q7ZT2M8W1YNB5R",
+        "lower_symbols": "live_k3v9x0q7zt2m8w1ynb5rj6", "upper_symbols": "LIVE-K3V9X0Q7ZT2M8W1YNB5RJ6", "lower_letters": "qzjxkvbwmfpygchtrnlduosaieqz", "upper_letters": "QZJXKVBWMFPYGCHTRNLDUOSAIEQZ",
+        "letters": "qZjXkVbWmFpYgChTrNlDuOsAiE", "letters_symbols": "qZjX/kVbWm+FpYgChTr_NlDuOsAiE",
+    }
+    plain = ["verylongplainwordwithoutdigits1", "keitstlichschenverpflichtung", "my-post-about-the-long-winter-2024-11-28", "donaudampfschifffahrtsgesellschaft", "=" * 60, "THEINTERNATIONALORGANISATION"]
+    rows = [(i, f"see {s} here", name) for i, (name, s) in enumerate(planted.items())] + [(100 + i, f"see {s} here", None) for i, s in enumerate(plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    spans = {r.doc_id: r.spans for r in secrets.digest(df).collect()}
+    assert {n: spans[i] for i, _, n in rows if n} == {n: f"entropy:4:{4 + len(planted[n])}" for n in planted}
+    assert {s: spans[100 + i] for i, s in enumerate(plain)} == {s: "" for s in plain}
+    assert {r.text for r in secrets.redact(df).where("name is not null").collect()} == {"see [entropy] here"}
+    first = {n: next(c for c, p, _, _ in secrets.CLASSES if re.search(p, s)) for n, s in planted.items()}
+    assert first == {n: n for n in planted}

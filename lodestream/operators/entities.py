@@ -31,19 +31,48 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.greatest(ratio(a, b), ratio(F.array_join(F.array_sort(words(a)), " "), F.array_join(F.array_sort(words(b)), " ")), F.when(inside, 100.0).otherwise(0.0))
 
 
+def _segments(name: Column) -> Column:
+    """array<struct<n, i, s>>: a known name of n characters in one piece more than edits that FUZZY allows, which is a ninth of n at most."""
+    n = F.length(name)
+    pieces = F.floor(n / 9).cast("int") + 1
+    start = lambda i: F.floor(i * n / pieces).cast("int")
+    return F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(n.alias("n"), i.alias("i"), F.substring(name, start(i) + 1, start(i + 1) - start(i)).alias("s")))
+
+
+def _probes(name: Column) -> Column:
+    """array<struct<n, i, s>>: what stands in a new name where pieces of known names of n characters may be.
+
+    Edits leave one piece whole, and move it by as many places as there are edits at most: every
+    name within FUZZY percent shares a piece.
+    """
+    own = F.length(name)
+
+    def of_piece(n: Column, i: Column) -> Column:
+        pieces, edits = F.floor(n / 9).cast("int") + 1, F.floor(F.greatest(n, own) / 10).cast("int")
+        start, stop = F.floor(i * n / pieces).cast("int"), F.floor((i + 1) * n / pieces).cast("int")
+        places = F.filter(F.sequence(start - edits, start + edits), lambda at: (at >= 0) & (at + stop - start <= own))
+        return F.transform(places, lambda at: F.struct(n.alias("n"), i.alias("i"), F.substring(name, at + 1, stop - start).alias("s")))
+
+    lengths = F.sequence(own - F.floor(own / 10).cast("int"), F.floor(own * 10 / 9).cast("int"))
+    return F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / 9).cast("int")), lambda i: of_piece(n, i)))))
+
+
 def resolve(new: DataFrame, known: DataFrame) -> DataFrame:
     """(id, match, how) of new entities (id, name, type, vector) among known ones (name, type, vector).
 
     The same name without case wins; then the most similar name from 90 percent on; then, where a
     type has no more than 50 known entities, the closest meaning from 0.88 on. A person of one
-    word matches only the same name. Candidates share a type, and names a word or their first
-    three letters.
+    word matches only the same name. Candidates share a type, and names a word or, as they are or
+    with their words sorted, a piece that the edits of 90 percent must leave whole.
     """
     a = new.select("id", "type", tidy(F.col("name")).alias("x"), F.col("vector").alias("v"))
     b = known.select("type", F.col("name").alias("match"), tidy(F.col("name")).alias("y"), F.col("vector").alias("u"))
     exact = a.join(b, (a["type"] == b["type"]) & (F.col("x") == F.col("y"))).select("id", "match", F.lit(0).alias("tier"), F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
-    keys = lambda c: F.array_distinct(F.concat(words(c), F.array(F.substring(c, 1, 3))))
-    ka, kb = a.withColumn("k", F.explode(keys(F.col("x")))), b.withColumn("k", F.explode(keys(F.col("y"))))
+    ordered = lambda c: F.array_join(F.array_sort(words(c)), " ")
+    by_word = lambda c: F.transform(words(c), lambda w: F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("i"), w.alias("s")))
+    tagged = lambda c, k: F.transform(c, lambda x: F.struct(F.lit(k).alias("form"), x["n"].alias("n"), x["i"].alias("i"), x["s"].alias("s")))
+    keys = lambda c, pieces: F.array_distinct(F.concat(tagged(by_word(c), 0), tagged(pieces(c), 1), tagged(pieces(ordered(c)), 2)))
+    ka, kb = a.withColumn("k", F.explode(keys(F.col("x"), _probes))), b.withColumn("k", F.explode(keys(F.col("y"), _segments)))
     near = ka.join(kb, ["type", "k"]).where(~((F.col("type") == "Person") & (F.size(words(F.col("x"))) == 1))).select("id", "match", "x", "y").distinct()
     fuzzy = near.withColumn("score", name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= FUZZY).select("id", "match", F.lit(1).alias("tier"), "score", F.lit("fuzzy").alias("how"))
     few = b.join(b.groupBy("type").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_CANDIDATES).select("type"), "type", "left_semi")

@@ -89,8 +89,11 @@ def t32_whole(spark, sf_dir):
 
 @query("g8_t23_entity_resolution")
 def g8(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"), F.lit(None).cast("array<double>").alias("vector"))
-    return entities.resolve(p.where("id % 2 = 1"), p.where("id % 2 = 0").dropDuplicates(["type", "name"]))
+    """Parts with odd keys among those with even ones; two neighbours have one vector."""
+    v = vectors(spark, sf_dir).select(F.col("id").alias("at"), F.col("vector").cast("array<double>").alias("vector"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"), F.floor(F.col("p_partkey") / 2).alias("at")).join(v, "at", "left").drop("at")
+    known = p.where("id % 2 = 0").groupBy("type", "name").agg(F.min_by("vector", "id").alias("vector"))
+    return entities.resolve(p.where("id % 2 = 1"), known)
 
 
 @query("j21_alias_tiers", "SELECT c_custkey AS query_id, CASE WHEN c_custkey % 10 = 0 THEN -1 ELSE c_custkey END AS person FROM customer")

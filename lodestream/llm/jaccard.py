@@ -1,30 +1,33 @@
 """N-gram Jaccard join: a prefix-tree join of word-shingle sets, and the groups that its links make.
 
 1. One pass over the texts gives each document the size and digest of its set of shingles;
-   documents of equal sets are one class. The same pass counts shingles in a sketch.
-2. Sets are ordered by (frequent, hash), frequent meaning that the shingle's sketch counter
-   is beyond a limit. Two sets that link share an element of their first n - ceil(3n/4) + 1:
-   classes are posted under these, and classes posted under one key are candidates.
-3. Each class has a bit signature of 8 to 16 bits a shingle, which bounds its overlap with any
-   other from above; candidates whose bound is too low go before any set is read again.
-4. The others are verified in a trie of their ordered sets: a probe walks it, branches share
-   the overlap of their common prefix, and a branch is left as soon as what remains of it and
-   of the probe cannot reach the overlap that a link needs.
-5. First each class meets the least class of its lists. Lists whose classes are then still
-   in different components are joined in full; so are keys with very many classes, in blocks.
-   Pairs that are in one component already need no check, so no group is expanded into pairs.
-
-All steps are exact up to collisions of 64-bit hashes. Defined results: null and empty texts
-have empty sets and link with nothing; rows with equal sets are in one component; a null
-doc_id takes its component from the others, or null.
+   documents of equal sets are one class. The same pass counts shingles in a sketch, which
+   tells the few that very many classes may have.
+2. A second pass deals the shingles out by ranges of their hashes, packed by class, and each
+   range finds those that two classes or more have, and how many: the global order of shingles
+   is (magnitude of that number, hash). Shingles of very many classes come last without being
+   gathered; they are dealt out by class.
+3. A set of n can only link if ceil(3n/4) of its shingles are in other sets too, which leaves
+   few classes. These are posted under their rarest shared shingles, as many as two sets that
+   link must have one in common of; all classes that meet the same least class under any of
+   its shingles are one group.
+4. Each group is joined in a prefix tree of its sets, frequent shingles first: a probe walks it
+   level by level, branches share the overlap of their common prefix, and a branch is left
+   as soon as what remains of it and of the probe cannot reach the overlap that a link needs.
+   Only links between different components leave a group, fewer than it has members.
+5. A group of too many shingles for one task first meets its least class, in blocks; then
+   those that are not in its component meet all members, block by block.
+
+All steps are exact up to collisions of 64-bit hashes (at least 53 bits where overlaps are
+counted). Defined results: null and empty texts have empty sets and link with nothing; rows
+with equal sets are in one component; a null doc_id takes its component from the others, or null.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import Texts, discard, mix, ship, shingles, texts_of, written
@@ -32,11 +35,16 @@ from lodestream.llm.components import components
 
 #: Counters of the sketch: a power of two between these, about one for 64 shingles.
 LEAST_BITS, MOST_BITS = 14, 24
-#: A shingle is frequent if its counter is beyond this, or beyond what counters reach by chance: 5 deviations above their mean.
-LEAST_FREQUENT = 32
-#: Bits of the filter that candidates' sets are read through (8 MB).
-FILTER_BITS = 26
+#: Shingles are frequent beyond what counters reach by chance, 5 deviations above their mean, and this at least.
+LEAST_FREQUENT = 1024
+#: Shingles of a hash range, and of a group that one task joins. Both bound memory, not results.
+RANGE_SHINGLES = GROUP_SHINGLES = 1 << 21
+#: Shingles that a task of the second pass packs at once.
+_PACK = 1 << 21
 _BLOCK = 1 << 14
+_LOW = np.uint64((1 << 48) - 1)
+#: Order of the frequent shingles: behind all magnitudes.
+_LAST = 100
 
 
 def ordered_sets(texts: Texts) -> list[np.ndarray]:
@@ -55,60 +63,33 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([total & (2**64 - 1)], dtype=np.uint64)).view(np.int64)[0])
 
 
-def prefix_length(n: int) -> int:
-    return n - (3 * n + 3) // 4 + 1
-
-
-def signature(s: np.ndarray) -> bytes:
-    """Which of 8 to 16 times len(s) buckets, a power of two, the elements fall in by their low bits."""
-    size = 1 << max(6, (8 * len(s) - 1).bit_length())
-    bits = np.zeros(size, dtype=bool)
-    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def _folded(words: np.ndarray, width: int) -> np.ndarray:
-    """Signatures (rows of 64-bit words) brought to fewer buckets."""
-    while words.shape[1] > width:
-        half = words.shape[1] // 2
-        words = words[:, :half] | words[:, half:]
-    return words
-
-
-def overlap_bound(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlaps of rows: shared buckets, and the elements that share a bucket with another of their own set."""
-    both = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64)
-    return both + np.minimum(na - np.bitwise_count(a).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b).sum(axis=1, dtype=np.int64))
+def _own(text: Column) -> Column:
+    """A hash that tells texts apart, null from empty too."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
 def _first_pass(documents: DataFrame, bits: int) -> DataFrame:
-    """Rows (doc_id, n, id, and where a task's slice has the set first its signature) of documents, and rows (block, counts) of each task's sketch."""
+    """Rows (doc_id, own, n, id) of documents, own being a hash of the text, and rows (block, counts) of each task's sketch."""
+    names = ["doc_id", "own", "n", "id", "block", "counts"]
 
     def run(batches):
         sketch = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
-            ids = batch.column("doc_id")
+            doc_ids, own = batch.column("doc_id"), batch.column("own")
             for first, texts in texts_of(batch.column("text")):
-                sets = ordered_sets(texts)
-                own = np.array([set_id(s) for s in sets], dtype=np.int64)
-                signs = [None] * len(sets)
-                for k in np.unique(own, return_index=True)[1]:
-                    signs[k] = signature(sets[k]) if len(sets[k]) else None
+                sets, n = ordered_sets(texts), texts.n
+                ids = np.array([set_id(s) for s in sets], dtype=np.int64)
+                for k in np.unique(ids, return_index=True)[1]:
                     sketch[sets[k] >> np.uint64(64 - bits)] += np.uint32(1)  # a set meets a counter twice seldom; such a double counts once
-                n = texts.n
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(own), pa.array(signs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    names=["doc_id", "n", "id", "sign", "block", "counts"],
+                    [doc_ids.slice(first, n), own.slice(first, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
                 )
         for b in range(0, 1 << bits, _BLOCK):
             if sketch[b : b + _BLOCK].any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([b // _BLOCK], pa.int32()), pa.array([sketch[b : b + _BLOCK].tobytes()], pa.binary())],
-                    names=["doc_id", "n", "id", "sign", "block", "counts"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([b // _BLOCK], pa.int32()), pa.array([sketch[b : b + _BLOCK].tobytes()], pa.binary())], names=names)
 
-    ship(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, id long, sign binary, block int, counts binary")
+    read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _own(F.col("text")).alias("own"), "text")
+    return read.mapInArrow(run, "doc_id long, own long, n long, id long, block int, counts binary")
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
@@ -139,338 +120,312 @@ def frequent_bits(first: DataFrame, bits: int, limit: int) -> np.ndarray:
     return out
 
 
-def _postings(documents: DataFrame, bits: int, flags: np.ndarray) -> DataFrame:
-    """(key, id, n, lead) for the prefix of every class; lead marks the first frequent key of a class."""
+def key_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """What is left of hashes that 2 ** bits ranges deal out: the range and 48 bits."""
+    return h >> np.uint64(max(0, 16 - bits))
+
+
+def _packed(sets: list[np.ndarray], ids: np.ndarray, hot: np.ndarray, sketch_bits: int, bits: int) -> pa.RecordBatch:
+    """Rows (part, ids, ns, counts, keys) of classes: what each range gets of them; frequent shingles go to parts of their own, by class."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    h, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    often = hot[h >> np.uint64(64 - sketch_bits)]
+    part = (h >> np.uint64(64 - bits)).astype(np.int64)
+    part[often] = (1 << bits) + (ids.view(np.uint64)[own[often]] >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part.astype(np.uint16) if bits < 15 else part, kind="stable")
+    h, own, part = key_of(h[order], bits), own[order], part[order]
+    new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (own[1:] != own[:-1])]))
+    counts = np.diff(np.concatenate([new, [len(h)]])).astype(np.int32)
+    classes, numbers = ids[own[new]], sizes[own[new]].astype(np.int32)
+    at = np.flatnonzero(np.concatenate([[True], part[new][1:] != part[new][:-1]]))
+    to = np.concatenate([at[1:], [len(new)]])
+    edge = np.concatenate([new, [len(h)]])
+    low = np.ascontiguousarray(h & _LOW).view(np.uint8).reshape(-1, 8)[:, :6]
+    columns = [[] for _ in range(5)]
+    for a, b in zip(at, to):
+        x, y, p = edge[a], edge[b], int(part[edge[a]])
+        keys = low[x:y] if p < 1 << bits else h[x:y]
+        for c, v in zip(columns, (p, classes[a:b].tobytes(), numbers[a:b].tobytes(), counts[a:b].tobytes(), np.ascontiguousarray(keys).tobytes())):
+            c.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["part", "ids", "ns", "counts", "keys"])
+
+
+def shared_shingles(documents: DataFrame, sketch_bits: int, flags: np.ndarray, bits: int) -> DataFrame:
+    """(id, n, key, place) of the shingles that two classes or more have, once for each class; place comes first in their order, then key."""
     shared = documents.sparkSession.sparkContext.broadcast(np.packbits(flags))
 
-    def run(batches):
-        hot = np.unpackbits(shared.value)[: 1 << bits].astype(bool)
+    def pack(batches):
+        hot = np.unpackbits(shared.value)[: 1 << sketch_bits].astype(bool)
+        sets, ids, n = {}, [], 0
         for batch in batches:
             for _, texts in texts_of(batch.column("text")):
-                sets = ordered_sets(texts)
-                own = np.array([set_id(s) for s in sets], dtype=np.int64)
-                keys, ids, ns, leads = [], [], [], []
-                for k in np.unique(own, return_index=True)[1]:
-                    s = sets[k]
-                    if not len(s):
-                        continue
-                    p = prefix_length(len(s))
-                    f = hot[s >> np.uint64(64 - bits)]
-                    cold = s[~f][:p]
-                    more = s[f][: p - len(cold)]
-                    lead = np.zeros(p, dtype=bool)
-                    lead[len(cold) : len(cold) + 1] = True
-                    keys += [cold, more]
-                    leads.append(lead)
-                    ids.append(np.full(p, own[k]))
-                    ns.append(np.full(p, len(s)))
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns).astype(np.int32)), pa.array(np.concatenate(leads))], names=["key", "id", "n", "lead"]
-                    )
-
-    return documents.select("text").mapInArrow(run, "key long, id long, n int, lead boolean")
-
-
-def _lists(postings: DataFrame, limit: int) -> DataFrame:
-    """Of keys with 2 to limit classes: ids, ns. Of keys with more: rows (key, id, n), and lists of the key's least class with limit of those that it leads."""
-
-    def run(batches):
-        carry, over, leader, last = None, None, None, None
-
-        def table(lists, rows):
-            k = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-            i = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-            m = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
-            a, b = len(lists), len(k)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array([x[0] for x in lists], pa.list_(pa.int64())), pa.nulls(b, pa.list_(pa.int64()))]),
-                    pa.concat_arrays([pa.array([x[1] for x in lists], pa.list_(pa.int32())), pa.nulls(b, pa.list_(pa.int32()))]),
-                    pa.array(np.concatenate([np.zeros(a, np.int64), k]), mask=np.arange(a + b) < a),
-                    pa.array(np.concatenate([np.zeros(a, np.int64), i]), mask=np.arange(a + b) < a),
-                    pa.array(np.concatenate([np.zeros(a, np.int32), m]), mask=np.arange(a + b) < a),
-                ],
-                names=["ids", "ns", "key", "id", "n"],
-            )
-
-        def large(k, i, m, f, lists, rows):
-            rows.append((k, i, m))
-            own = np.flatnonzero(f & (i != leader[0]))
-            for a in range(0, len(own), limit):
-                part = own[a : a + limit]
-                lists.append((np.concatenate([[leader[0]], i[part]]), np.concatenate([[leader[1]], m[part]]).astype(np.int32)))
-
-        for batch in batches:
-            k, i, m, f = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("key", "id", "n", "lead"))
-            if carry is not None:
-                k, i, m, f = (np.concatenate([x, y]) for x, y in zip(carry, (k, i, m, f)))
-                carry = None
-            if not len(k):
-                continue
-            new = np.ones(len(k), dtype=bool)
-            new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
-            new[0] = last != (k[0], i[0])
-            last = None
-            k, i, m, f = k[new], i[new], m[new], f[new]
-            if not len(k):
+                for s in ordered_sets(texts):
+                    if len(s) and (own := set_id(s)) not in sets:
+                        sets[own] = s
+                        n += len(s)
+                if n >= _PACK:
+                    yield _packed(list(sets.values()), np.array(list(sets), dtype=np.int64), hot, sketch_bits, bits)
+                    sets, n = {}, 0
+        if sets:
+            yield _packed(list(sets.values()), np.array(list(sets), dtype=np.int64), hot, sketch_bits, bits)
+
+    def meet(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        column = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t)
+        ids, ns = column("ids", np.int64), column("ns", np.int32)
+        own = np.repeat(np.arange(len(ids)), column("counts", np.int32))
+        if part < 1 << bits:
+            keys = np.zeros((len(own), 8), dtype=np.uint8)
+            keys[:, :6] = column("keys", np.uint8).reshape(-1, 6)
+            keys = keys.view(np.uint64).ravel() | np.uint64(part << (64 - bits - max(0, 16 - bits)))
+            order = np.argsort(keys)
+            keys, own = keys[order], own[order]
+            same = keys[1:] == keys[:-1]
+            some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            keys, own = keys[some], own[some]
+        else:
+            keys = column("keys", np.uint64)
+        order = np.lexsort((ids[own], keys))
+        keys, own = keys[order], own[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[own[1:]] != ids[own[:-1]])]) if len(keys) else np.zeros(0, bool)
+        keys, own = keys[new], own[new]
+        if part < 1 << bits:
+            _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+            some = n[at] > 1
+            keys, own, place = keys[some], own[some], np.log2(n[at][some]).astype(np.int8)
+        else:
+            place = np.full(len(keys), _LAST, dtype=np.int8)
+        return pa.table({"id": ids[own], "n": ns[own], "key": keys.view(np.int64), "place": place})
+
+    packed = documents.select("text").mapInArrow(pack, "part long, ids binary, ns binary, counts binary, keys binary")
+    return packed.groupBy("part").applyInArrow(meet, "id long, n int, key long, place byte")
+
+
+def _needed(n: Column) -> Column:
+    return F.ceil(3 * n / 4).cast("int")
+
+
+def linkable(rows: DataFrame) -> DataFrame:
+    """(id, n, keys) of the classes that have enough shared shingles to link; keys are these, in their order."""
+    of_class = Window.partitionBy("id")
+    some = rows.withColumn("m", F.count("*").over(of_class)).where(F.col("m") >= _needed(F.col("n")))
+    one = some.groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("place", "key"))).alias("keys"))
+    return one.select("id", "n", F.col("keys.key").alias("keys"))
+
+
+class PrefixTree:
+    """A radix tree of ordered sets: each node has a run of items, and the least and most of what its leaves have."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        codes = [s.astype(">u4").tobytes() for s in sets]
+        order = sorted(range(len(sets)), key=codes.__getitem__)
+        self.items = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        begin = np.cumsum([0, *map(len, sets)])
+        depth, first, leaf, parent = [0], [order[0]], [-1], [-1]
+        stack = [0]
+        for at, k in enumerate(order):
+            common = 0
+            if at:
+                x, y = sets[order[at - 1]], sets[k]
+                n = min(len(x), len(y))
+                differ = np.flatnonzero(x[:n] != y[:n])
+                common = int(differ[0]) if len(differ) else n
+            while depth[stack[-1]] > common:
+                last = stack.pop()
+                if depth[stack[-1]] < common:
+                    depth.append(common)
+                    first.append(first[last])
+                    leaf.append(-1)
+                    parent.append(-1)
+                    stack.append(len(depth) - 1)
+                parent[last] = stack[-1]
+            depth.append(len(sets[k]) + 1)  # a leaf ends in a mark of its own, so none is inside another
+            first.append(k)
+            leaf.append(k)
+            parent.append(-1)
+            stack.append(len(depth) - 1)
+        while len(stack) > 1:
+            last = stack.pop()
+            parent[last] = stack[-1]
+        self.leaf, self.parent, deep = np.array(leaf), np.array(parent), np.array(depth)
+        first = np.array(first)
+        self.depth = np.where(self.leaf >= 0, deep - 1, deep)
+        self.start, self.stop = begin[first] + self.depth[self.parent], begin[first] + self.depth
+        self.start[0] = self.stop[0] = 0
+        up = np.argsort(deep, kind="stable")
+        lengths = np.array([len(s) for s in sets])
+        self.longest, self.least, self.most = (np.where(self.leaf >= 0, v[self.leaf], w) for v, w in ((lengths, 0), (sizes, np.iinfo(np.int64).max), (sizes, 0)))
+        level = np.zeros(len(deep), dtype=np.int64)
+        for v in up[::-1]:
+            p = self.parent[v]
+            if p >= 0:
+                self.longest[p], self.least[p], self.most[p] = max(self.longest[p], self.longest[v]), min(self.least[p], self.least[v]), max(self.most[p], self.most[v])
+        for v in up:
+            if self.parent[v] >= 0:
+                level[v] = level[self.parent[v]] + 1
+        by = np.argsort(level, kind="stable")
+        self.levels = np.split(by, np.flatnonzero(np.diff(level[by])) + 1)[1:]
+
+    def reach(self, probe: np.ndarray, size: int, n_items: int) -> np.ndarray:
+        """The sets whose overlap with the probe makes a link: 7 * overlap >= 3 * (both sizes)."""
+        member = np.zeros(n_items, dtype=np.int64)
+        member[probe] = 1
+        rank = np.concatenate([[0], np.cumsum(member)])
+        overlap, live, found = np.zeros(len(self.leaf), dtype=np.int64), np.zeros(len(self.leaf), dtype=bool), []
+        live[0] = True
+        for nodes in self.levels:
+            at = nodes[live[self.parent[nodes]]]
+            at = at[(4 * self.most[at] >= 3 * size) & (3 * self.least[at] <= 4 * size)]
+            if not len(at):
                 continue
-            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            to = np.concatenate([at[1:], [len(k)]])
-            lists, rows = [], []
-            picked = np.flatnonzero((to - at >= 2) | (np.arange(len(at)) == len(at) - 1) | (k[at] == over if over is not None else False))
-            for r in picked:
-                a, b = at[r], to[r]
-                part = k[a:b], i[a:b], m[a:b], f[a:b]
-                if over is not None and k[a] == over:
-                    large(*part, lists, rows)
-                elif b - a > limit:
-                    over, leader = int(k[a]), (i[a], m[a])
-                    large(*part, lists, rows)
-                elif r == len(at) - 1:
-                    carry = part
-                elif b - a >= 2:
-                    lists.append((i[a:b], m[a:b]))
-            if carry is None:
-                last = (k[-1], i[-1])
-            if lists or rows:
-                yield table(lists, rows)
-        if carry is not None and len(carry[0]) >= 2:
-            yield table([(carry[1], carry[2])], [])
-
-    dealt = postings.repartition(F.col("key")).sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(run, "ids array<long>, ns array<int>, key long, id long, n int")
-
-
-def trie_links(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
-    """Links between probes and members in different components; one link joins two components for the rest of the call.
-
-    The sets stand in the order of a trie's leaves, with the length of each one's common
-    prefix with its predecessor, so a walk over them is a walk over the trie.
+            n = self.stop[at] - self.start[at]
+            edge = np.concatenate([[0], np.cumsum(n)])
+            run = self.items[np.repeat(self.start[at] - edge[:-1], n) + np.arange(edge[-1])]
+            total = np.concatenate([[0], np.cumsum(member[run])])
+            overlap[at] = overlap[self.parent[at]] + total[edge[1:]] - total[edge[:-1]]
+            last = np.where(self.stop[at] > self.start[at], self.items[np.maximum(self.stop[at], 1) - 1] + 1, 0)
+            left = np.minimum(len(probe) - rank[last], self.longest[at] - self.depth[at])
+            at = at[7 * (overlap[at] + left) >= 3 * (size + self.least[at])]
+            live[at] = True
+            found.append(at[self.leaf[at] >= 0])
+        return self.leaf[np.concatenate(found)] if found else np.zeros(0, np.int64)
+
+
+def tree_links(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the components of all members that probes link with; roots are components known before.
+
+    Where all members are probes, those of the largest component need not ask: a pair of two
+    components has one at least that is not in it.
     """
-    items, code = np.unique(np.concatenate(sets), return_inverse=True)
-    cut = np.cumsum([0, *map(len, sets)])
-    coded = [code[a:b] for a, b in zip(cut[:-1], cut[1:])]
-    order = sorted(range(len(sets)), key=lambda k: coded[k].astype(">i8").tobytes())
-    shared = [0]
-    for x, y in zip(order[:-1], order[1:]):
-        n = min(len(coded[x]), len(coded[y]))
-        differ = np.flatnonzero(coded[x][:n] != coded[y][:n])
-        shared.append(int(differ[0]) if len(differ) else n)
-    parent: dict[int, int] = {}
-
-    def root(r):
-        while parent.get(r, r) != r:
-            r = parent[r]
-        return r
-
-    found = []
-    for q in np.flatnonzero(probes):
-        size = len(coded[q])
-        member = np.zeros(len(items), dtype=np.int64)
-        member[coded[q]] = 1
-        rank = np.cumsum(member)
-        own = root(int(roots[q]))
-        overlap, walked, dead = np.zeros(1, dtype=np.int64), 0, None
-        for k, common in zip(order, shared):
-            walked = min(walked, common)
-            if dead is not None:
-                if common >= dead:
-                    continue
-                dead = None
-            s = coded[k]
-            n = len(s)
-            if k == q or 4 * min(n, size) < 3 * max(n, size) or root(int(roots[k])) == own:
-                continue
-            tail = s[walked:]
-            overlap = np.concatenate([overlap[: walked + 1], overlap[walked] + np.cumsum(member[tail])])
-            left = size - rank[tail]
-            depth = np.arange(walked + 1, n + 1)
-            over = 7 * (overlap[walked + 1 :] + left) < 3 * (size + depth + left)
-            stop = int(np.argmax(over)) if over.any() else -1
-            if stop >= 0:
-                walked += stop + 1
-                overlap = overlap[: walked + 1]
-                dead = walked
-                continue
-            walked = n
-            if 7 * overlap[n] >= 3 * (size + n):
+    flat = np.concatenate(sets)
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(count), dtype=np.int64)
+    place[order] = np.arange(len(count))
+    met = int((count > 1).sum())  # what one member alone has is in no overlap
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    code = place[code]
+    own, code = own[code < met], code[code < met]
+    code = code[np.lexsort((code, own))]
+    ordered = np.split(code, np.cumsum(np.bincount(own, minlength=len(sets)))[:-1])
+    tree = PrefixTree(ordered, sizes)
+    _, root = np.unique(roots, return_inverse=True)
+    asked, every, found = np.zeros(len(sets), dtype=bool), bool(probes.all()), []
+    while True:
+        open_ = probes & ~asked
+        if every:
+            open_ &= root != np.argmax(np.bincount(root))
+            if not asked.any():
+                open_[0] = True
+        if not open_.any() or not (root != root[0]).any():
+            return found
+        q = int(np.argmax(open_))
+        asked[q] = True
+        hits = tree.reach(ordered[q], int(sizes[q]), max(met, 1))
+        for k in hits[root[hits] != root[q]]:
+            if root[k] != root[q]:
                 found.append((int(ids[q]), int(ids[k])))
-                parent[own] = root(int(roots[k]))
-                own = root(own)
-    return found
-
+                root[root == root[k]] = root[q]
 
-def _words(signs: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in signs]
 
-
-def _bounded_pairs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Of pairs (a, id) those that their signatures (id, n, sign) let link."""
-    other = signs.select(F.col("id").alias("a"), F.col("n").alias("n0"), F.col("sign").alias("sign0"))
-
-    def run(batches):
-        for batch in batches:
-            x, y = _words(batch.column("sign0")), _words(batch.column("sign"))
-            nx, ny = batch.column("n0").to_numpy(), batch.column("n").to_numpy()
-            width = np.array([min(len(p), len(q)) for p, q in zip(x, y)], dtype=np.int64)
-            keep = np.zeros(len(x), dtype=bool)
-            for w in np.unique(width):
-                k = np.flatnonzero(width == w)
-                p, q = (np.vstack([_folded(v[i][None, :], w) for i in k]) for v in (x, y))
-                keep[k] = 7 * overlap_bound(p, nx[k], q, ny[k]) >= 3 * (nx[k] + ny[k])
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("id").take(at)], names=["a", "id"])
-
-    return pairs.join(signs, "id").join(other, "a").select("a", "id", "n0", "sign0", "n", "sign").mapInArrow(run, "a long, id long")
-
-
-def close_pairs(ids: np.ndarray, n: np.ndarray, words: list[np.ndarray], probes: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a probe and another, of different roots, that lengths and signatures let link; least id first."""
-    widths = np.array([len(w) for w in words])
-    rows = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
-    folded: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def of(w: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of width w brought to a width, and how many elements share a bucket with another of their set."""
-        if (w, to) not in folded:
-            x = _folded(np.vstack([words[k] for k in rows[w]]), to)
-            folded[w, to] = x, n[rows[w]] - np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-        return folded[w, to]
-
-    found = []
-    for w, own in rows.items():
-        asked = np.flatnonzero(probes[own])
-        for v, other in rows.items():
-            if max(w, v) > 2 * min(w, v):
-                continue  # sizes of sets that link differ by a third at most, so their widths by a factor of 2
-            (x, over), (y, more) = of(w, min(w, v)), of(v, min(w, v))
-            block = max(1, (1 << 21) // max(1, y.size))
-            for at in range(0, len(asked), block):
-                q = asked[at : at + block]
-                nq, nk = n[own[q]][:, None], n[other][None, :]
-                bound = np.bitwise_count(x[q][:, None, :] & y[None, :, :]).sum(axis=2, dtype=np.int64) + np.minimum(over[q][:, None], more[None, :])
-                fits = (7 * bound >= 3 * (nq + nk)) & (4 * np.minimum(nq, nk) >= 3 * np.maximum(nq, nk)) & (roots[own[q]][:, None] != roots[other][None, :])
-                i, j = np.nonzero(fits)
-                found.append(np.sort(np.column_stack([ids[own[q[i]]], ids[other[j]]]), axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return [(int(a), int(b)) for a, b in pairs]
-
-
-def _open_pairs(slots: DataFrame, signs: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, id) within groups g of slots (g, id, probe, root)."""
+def _joined(slots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) within groups g of slots (g, id, probe, root)."""
 
     def run(table: pa.Table) -> pa.Table:
-        found = close_pairs(*(table.column(c).to_numpy() for c in ("id", "n")), _words(table.column("sign")), table.column("probe").to_numpy(), table.column("root").to_numpy())
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "id": pa.array([y for _, y in found], pa.int64())})
-
-    return slots.join(signs, "id").select("g", "id", "probe", "root", "n", "sign").groupBy("g").applyInArrow(run, "a long, id long").distinct()
-
-
-def _verify(documents: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-    """Links (a, b) among pairs (a, id): the partners of a fill tries of about limit sets, which a then walks."""
-    sets = written(_candidate_sets(documents, pairs.select("id").unionByName(pairs.select(F.col("a").alias("id"))).distinct()))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
-    met = pairs.join(parts, "a").select(F.struct("a", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("g"), "id")
-    slots = met.select("g", "id", F.lit(False).alias("probe")).unionByName(met.select("g").distinct().select("g", F.col("g.a").alias("id"), F.lit(True).alias("probe")))
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        found = trie_links(ids, [np.asarray(x.values.to_numpy()).view(np.uint64) for x in table.column("items")], table.column("probe").to_numpy(), ids)
+        table = table.combine_chunks().sort_by("id")
+        ids, sizes, roots = (table.column(c).to_numpy() for c in ("id", "n", "root"))
+        items = table.column("keys").combine_chunks()
+        flat, at = items.flatten().to_numpy(zero_copy_only=False), items.offsets.to_numpy() - items.offsets[0].as_py()
+        probes = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+        found = tree_links(ids, sizes.astype(np.int64), [flat[a:b] for a, b in zip(at[:-1], at[1:])], probes, roots)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    links = written(slots.join(sets, "id").select("g", "id", "probe", "items").groupBy("g").applyInArrow(run, "a long, b long"))
-    discard(sets)
-    return links
-
-
-def _candidate_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, items) of the classes in wanted, read through a bit filter of fixed size."""
-    spread = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS) + 1  # bit numbers of the bitmap functions start at 1
-    rows = wanted.groupBy(F.bitmap_bucket_number(spread).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spread)).alias("bits")).collect()
-    bits = np.zeros((1 << FILTER_BITS) // 8 + 4096, dtype=np.uint8)
-    for r in rows:
-        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, dtype=np.uint8)
-    shared = documents.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches):
-        have = shared.value
-        for batch in batches:
-            for _, texts in texts_of(batch.column("text")):
-                sets = ordered_sets(texts)
-                own = np.array([set_id(s) for s in sets], dtype=np.int64)
-                ids, items = [], []
-                for k in np.unique(own, return_index=True)[1]:
-                    at = xxhash.xxh64_intdigest(int(own[k]).to_bytes(8, "little", signed=True), 42) >> (64 - FILTER_BITS)
-                    if have[at >> 3] >> (at & 7) & 1:
-                        ids.append(own[k])
-                        items.append(sets[k].view(np.int64))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["id", "items"])
-
-    found = documents.select("text").mapInArrow(run, "id long, items array<long>")
-    return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-
-
-def join(documents: DataFrame, limit: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of documents.
-
-    limit: classes that a key may have before its shingle is frequent and the key goes in blocks;
-    it divides the work and changes no result. By default it follows from the size of the corpus.
-    """
+    return slots.join(sets, "id").select("g", "id", "n", "keys", "probe", "root").groupBy("g").applyInArrow(run, "a long, b long")
+
+
+def _groups(sets: DataFrame) -> DataFrame:
+    """(a, id): the classes that meet the least class a under one of its keys, a itself included."""
+    posted = sets.select("id", F.explode(F.slice("keys", 1, F.size("keys") - _needed(F.col("n")) + 1)).alias("key"))
+    least = posted.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
+    return posted.join(least, "key").select("a", "id").distinct()
+
+
+def find_links(sets: DataFrame, limit: int) -> list[DataFrame]:
+    """Tables of links (a, b) that join the components of linkable classes (id, n, keys)."""
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    weight = F.size("keys").cast("long").alias("w")
+    met = written(_groups(sets).join(sets.select("id", weight), "id"))
+    sums = met.groupBy("a").agg(F.sum("w").alias("all")).withColumn("js", F.ceil(F.col("all") / limit).cast("int"))
+    slots = met.join(sums, "a")
+    group = lambda i, j: F.struct("a", i.cast("int").alias("i"), j.cast("int").alias("j")).alias("g")
+    zero = F.lit(0)
+    small = slots.where("js = 1").select(group(zero, zero), "id", F.lit(True).alias("probe"), F.col("id").alias("root"))
+    large = slots.where("js > 1")
+    others = large.where("id <> a").select(group(zero, block("js")), "id", F.lit(False).alias("probe"), F.col("id").alias("root"))
+    heads = sums.where("js > 1").select("a", F.explode(F.sequence(zero, F.col("js") - 1)).alias("j"))
+    heads = heads.select(group(zero, F.col("j")), F.col("a").alias("id"), F.lit(True).alias("probe"), F.col("a").alias("root"))
+    links = written(_joined(small.unionByName(others).unionByName(heads), sets))
+    if large.isEmpty():
+        discard(met)
+        return [links]
+    known = components(links)
+    held = large.join(known.withColumnRenamed("node", "id"), "id", "left").select("a", "id", "w", "js", F.coalesce("root", "id").alias("root"))
+    lead = held.where("a = id").select("a", F.col("root").alias("lead"))
+    out = held.join(lead, "a").where("root <> lead")
+    out = out.join(out.groupBy("a").agg(F.ceil(F.sum("w") / limit).cast("int").alias("is")), "a")
+    asking = out.select("a", "id", "root", block("is").alias("i"), F.explode(F.sequence(zero, F.col("js") - 1)).alias("j"), F.lit(True).alias("probe"))
+    asked = held.join(out.select("a", "is").distinct(), "a").select("a", "id", "root", F.explode(F.sequence(zero, F.col("is") - 1)).alias("i"), block("js").alias("j"), F.lit(False).alias("probe"))
+    both = asking.unionByName(asked).groupBy("a", "i", "j", "id", "root").agg(F.max("probe").alias("probe"))
+    rest = written(_joined(both.select(group(F.col("i"), F.col("j")), "id", "probe", "root"), sets))
+    discard(met)
+    return [links, rest]
+
+
+def _classified(documents: DataFrame, limit: int = GROUP_SHINGLES, often: int | None = None) -> DataFrame:
+    """(doc_id, own, n, id, root, component_id) for each row of documents; own is a hash of its text."""
+    ship(documents.sparkSession)
     chars = documents.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    bits = min(max(int(chars // 400).bit_length(), LEAST_BITS), MOST_BITS)
-    first = written(_first_pass(documents, bits))
-    rows = first.where("block is null")
+    sketch_bits = min(max(int(chars // 400).bit_length(), LEAST_BITS), MOST_BITS)
+    first = written(_first_pass(documents, sketch_bits))
+    rows = first.where("block is null").select("doc_id", "own", "n", "id")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    mean = total / (1 << bits)
-    limit = limit or max(LEAST_FREQUENT, int(mean + 5 * mean**0.5))
-    flags = frequent_bits(first, bits, limit)
-    found = written(_lists(_postings(documents, bits, flags), limit))
-    lists = written(found.where("ids is not null").select("ids", "ns").distinct().select(F.xxhash64("ids").alias("g"), "ids", "ns"))
-    over = found.where("key is not null").select("key", "id", "n")
-    fits = 4 * F.least("n0", "n") >= 3 * F.greatest("n0", "n")
-    pairs = lists.select(F.col("ids")[0].alias("a"), F.col("ns")[0].alias("n0"), F.explode(F.arrays_zip("ids", "ns")).alias("x"))
-    pairs = pairs.select("a", "n0", F.col("x.ids").alias("id"), F.col("x.ns").alias("n")).where((F.col("id") != F.col("a")) & fits).select("a", "id").distinct()
-    signs = rows.where("sign is not null").groupBy("id").agg(F.max("n").alias("n"), F.max("sign").alias("sign"))
-    signs = written(signs.join(lists.select(F.explode("ids").alias("id")).unionByName(over.select("id")).distinct(), "id", "left_semi"))
-    close = written(_bounded_pairs(pairs, signs))
-    links = _verify(documents, close, limit)
-    known = components(links)
-    open_ = written(_rest(lists, over, known, signs, limit))
-    if not open_.isEmpty():
-        known = components(links.unionByName(_verify(documents, open_, limit)))
+    mean = total / (1 << sketch_bits)
+    flags = frequent_bits(first, sketch_bits, often or max(LEAST_FREQUENT, int(mean + 5 * mean**0.5)))
+    bits = min(max(int(total // RANGE_SHINGLES).bit_length(), 4), 31)
+    sets = written(linkable(shared_shingles(documents, sketch_bits, flags, bits)))
+    links = find_links(sets, limit)
+    both = links[0]
+    for more in links[1:]:
+        both = both.unionByName(more)
+    known = components(both)
     least = rows.groupBy("id").agg(F.min("doc_id").alias("least")).join(known.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = least.join(of_root, "root").select("id", "component_id")
-    out = rows.join(of_class, "id").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    discard(found, lists, signs, close, open_)
-    return out
+    of_class = written(least.join(of_root, "root").select("id", "root", "component_id"))
+    discard(sets, *links)
+    return rows.join(of_class, "id").select("doc_id", "own", "n", "id", "root", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _rest(lists: DataFrame, over: DataFrame, known: DataFrame, signs: DataFrame, limit: int) -> DataFrame:
-    """Candidate pairs that lists and large keys still hide: only between classes in different components."""
-    at = known.withColumnRenamed("node", "id")
-    met = F.slice("ids", 2, F.size("ids") - 1)  # all have met the first one already
-    others = lists.where(F.size("ids") > 2).select(met.alias("ids")).distinct().select(F.xxhash64("ids").alias("g"), "ids")
-    own = others.select("g", F.explode("ids").alias("id")).join(at, "id", "left").select("g", "id", F.coalesce("root", "id").alias("root"))
-    open_ = own.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-    small = own.join(open_, "g", "left_semi").select(F.struct("g", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("g"), "id", F.lit(True).alias("probe"), "root")
-    held = over.join(at, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("all"), F.count("*").alias("roots"), F.max("n").alias("most"))
-    major = major.where("roots > 1").select("key", "major", F.ceil((F.col("all") - F.col("most")) / limit).cast("int").alias("is"), F.ceil(F.col("all") / limit).cast("int").alias("js"))
-    tied = held.join(major, "key")
-    i, j = F.pmod(F.xxhash64("id"), F.col("is")).cast("int"), F.pmod(F.xxhash64("id"), F.col("js")).cast("int")
-    probes = tied.where("root <> major").select("key", "id", "root", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), F.lit(True).alias("probe"))
-    others = tied.select("key", "id", "root", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("probe"))
-    both = probes.unionByName(others).groupBy("key", "i", "j", "id", "root").agg(F.max("probe").alias("probe"))
-    large = both.select(F.struct(F.col("key").alias("g"), "i", "j").alias("g"), "id", "probe", "root")
-    return _open_pairs(small.unionByName(large), signs)
+def join(documents: DataFrame, limit: int = GROUP_SHINGLES, often: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of documents.
+
+    limit: shingles of a group that one task joins. often: classes beyond which a shingle counts
+    as frequent; by default it follows from the size of the corpus. Both divide the work and
+    change no result.
+    """
+    return _classified(documents, limit, often).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """The document of least doc_id of each component, once where its row is repeated; columns as they were. Rows without a doc_id stay."""
-    kept = join(documents.where("doc_id is not null")).where("doc_id = component_id").select(F.col("doc_id").alias("lodestream_id_")).distinct()
-    out = documents.join(kept, F.col("doc_id") == F.col("lodestream_id_"), "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(documents.where("doc_id is null"))
+    """The document of least doc_id of each component, once where its row is repeated; columns as they were. Rows without a doc_id stay.
+
+    Of different texts under one doc_id each is a document; in one component the least hash of them stays.
+    """
+    found = _classified(documents.where("doc_id is not null"))
+    per_row = found.groupBy("doc_id", "own").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min("root").alias("root"))
+    best = per_row.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "own", "copies")).alias("x")).select("x.*")
+    kept = best.unionByName(per_row.where("n = 0").select("doc_id", "own", "copies")).toDF("lodestream_id_", "lodestream_own_", "lodestream_copies_")
+    row = (F.col("doc_id") == F.col("lodestream_id_")) & (_own(F.col("text")) == F.col("lodestream_own_"))
+    kept = written(kept)
+    once = documents.join(kept.where("lodestream_copies_ = 1"), row, "left_semi")
+    again = documents.join(kept.where("lodestream_copies_ > 1"), row).dropDuplicates(["lodestream_id_", "lodestream_own_"]).select(*documents.columns)
+    return once.unionByName(again).unionByName(documents.where("doc_id is null"))

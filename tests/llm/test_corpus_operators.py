@@ -258,8 +258,8 @@ def brute_components(rows):
     return sorted((str(d), len(sets[i]), str(least.get(root(i)) if sets[i] else d)) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("limit", [None, 3])
-def test_jaccard(spark, limit):
+@pytest.mark.parametrize("limits", [{}, {"often": 3}, {"limit": 1500, "often": 20}])
+def test_jaccard(spark, limits):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     base, shared = rng.choices(vocabulary, k=120), rng.choices(vocabulary, k=40)
@@ -273,7 +273,7 @@ def test_jaccard(spark, limit):
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b\n"), (None, " ".join(base)), (5, " ".join(texts[5]))]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(df, limit).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(df, **limits).collect())
     assert got == brute_components(rows)
 
 
@@ -284,15 +284,16 @@ def test_jaccard_keeps_one(spark, awkward):
     assert jaccard.join(awkward.limit(0)).count() == 0
 
 
-def test_overlap_bound_is_never_low():
+def test_prefix_tree_reaches_all_links():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        n = rng.integers(1, 300)
-        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.7], rng.integers(0, 2**63, rng.integers(1, 200), dtype=np.uint64)]))
-        x, y = (np.frombuffer(jaccard.signature(s), dtype=np.uint64)[None, :] for s in (a, b))
-        to = min(x.shape[1], y.shape[1])
-        assert jaccard.overlap_bound(jaccard._folded(x, to), len(a), jaccard._folded(y, to), len(b))[0] >= len(np.intersect1d(a, b))
+    for _ in range(60):
+        base = rng.choice(400, 60, replace=False)
+        sets = [np.unique(np.concatenate([base[rng.random(60) < rng.choice([0.7, 0.9, 1.0])], rng.integers(0, 400, rng.integers(0, 12))])) for _ in range(rng.integers(2, 25))]
+        sizes = np.array([len(s) for s in sets])
+        tree = jaccard.PrefixTree(sets, sizes)
+        for s in sets:
+            want = {k for k, t in enumerate(sets) if 7 * len(np.intersect1d(s, t)) >= 3 * (len(s) + len(t))}
+            assert set(tree.reach(s, len(s), 400).tolist()) == want
 
 
 def rule_counts(text):

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import Texts, discard, mix, ship, shingles, texts_of, written
 from lodestream.llm.components import components
 
-#: Counters of the sketch: a power of two between these, about one for 64 shingles.
-LEAST_BITS, MOST_BITS = 14, 24
+#: Counters of the sketch: a power of two between these, about one for 500 shingles. Each task sends as many, so they have a bound.
+LEAST_BITS, MOST_BITS = 14, 20
 #: Shingles are frequent beyond what counters reach by chance, 5 deviations above their mean, and this at least.
 LEAST_FREQUENT = 1024
 #: Shingles of a hash range, and of a group that one task joins. Both bound memory, not results.
@@ -385,7 +385,7 @@ def _classified(documents: DataFrame, limit: int = GROUP_SHINGLES, often: int |
     """(doc_id, own, n, id, root, component_id) for each row of documents; own is a hash of its text."""
     ship(documents.sparkSession)
     chars = documents.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    sketch_bits = min(max(int(chars // 400).bit_length(), LEAST_BITS), MOST_BITS)
+    sketch_bits = min(max(int(chars // 4000).bit_length(), LEAST_BITS), MOST_BITS)
     first = written(_first_pass(documents, sketch_bits))
     rows = first.where("block is null").select("doc_id", "own", "n", "id")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n

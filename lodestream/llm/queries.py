@@ -23,7 +23,8 @@ def op4_quality_classifier(spark, sf_dir):
 
 
 def op5_tool_call_chats(spark, sf_dir):
-    return chat.link(*chat.from_conversations(read_table(spark, sf_dir, "conversations")), chat.REPLY_SCHEMA)
+    calls, results, others = chat.from_conversations(read_table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.REPLY_SCHEMA, others)
 
 
 def op6_token_counts(spark, sf_dir):

@@ -136,19 +136,43 @@ def test_suffix_array():
         assert suffixes.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-def test_lines_equal_sql(spark, sf, docs):
+def equals_sql(got, sql, **views):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    got = lines.digest(docs)
-    own = c.execute(lines.LINES_SQL)
+    for name, path in views.items():
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    own = c.execute(sql)
     at = [[d[0] for d in own.description].index(x) for x in got.columns]
-    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in own.fetchall())
+    return sorted(map(str, map(tuple, got.collect()))) == sorted(str(tuple(r[i] for i in at)) for r in own.fetchall())
+
+
+def test_lines_equal_sql(sf, docs):
+    assert equals_sql(lines.digest(docs), lines.LINES_SQL, documents=f"{sf}/documents.parquet")
 
 
 def test_lines_awkward(awkward):
     out = lines.dedup(awkward)
     assert out.columns == awkward.columns and out.count() == len(AWKWARD)
-    assert {r.text for r in out.where("doc_id = 7").collect()} == {"line of seven words that comes again\n\n\n"}
+    assert {r.text for r in out.where("doc_id = 7").collect()} == {"line of seven words that comes again\n" * 3}
+    assert lines.digest(awkward).where("n_units = 0 and n_removed = 0 and doc_id in (1, 2, 3)").count() == 3
+    assert lines.digest(awkward.limit(0)).count() == 0
+
+
+def test_lines_cut_passages(spark, tmp_path):
+    """A passage inside longer lines goes but for its first occurrence; common lines, phrases and repeated words stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    text = lambda n: " ".join(word() + ("." if k % 7 == 6 else "") for k in range(n))
+    passage, common = text(49), "A common line of eight words stands here."
+    rows = [(k, f"{text(35)} {passage if k % 2 else text(20)} {text(30)}\n{common}\n{'yes! ' * 50}") for k in range(12)]
+    rows += [(3, rows[3][1]), (3, passage + " other"), (None, "é " + passage.upper()), (20, " \n " + passage + "\n" + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents")
+    assert equals_sql(lines.digest(df), lines.LINES_SQL, documents=f"{tmp_path}/documents/*.parquet")
+    out = collections.Counter((r.doc_id, r.text) for r in lines.dedup(df).collect())
+    later = passage[passage.index(".") + 2 :]  # the null doc_id ranks first, but its first sentence is another
+    gone = {k: t.replace(later if k == 1 else passage, "") if k % 2 else t for k, t in rows[:12]}
+    assert all(out[k, t] == (2 if k == 3 else 1) for k, t in gone.items())
+    assert out[3, " other"] == out[None, rows[14][1]] == out[20, " \n "] == 1
 
 
 def test_quality_held_out(docs, labels):
@@ -178,13 +202,30 @@ def test_quality_density():
         assert model.log_density(at)[:, k] == pytest.approx(expected)
 
 
-def test_chat_equals_sql(spark, sf):
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
-    got = chat.link(*chat.from_conversations(read_table(spark, sf, "conversations")), chat.REPLY_SCHEMA)
-    own = c.execute(chat.REPLY_SQL)
-    at = [[d[0] for d in own.description].index(x) for x in got.columns]
-    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(tuple(r[i] for i in at)) for r in own.fetchall())
+def test_chat_equals_sql(spark, sf, tmp_path):
+    talks = read_table(spark, sf, "conversations")
+    awkward = [(None, 0, "user", "a"), (1, None, "user", "b"), (1, 0, "tool", "c"), (1, 1, None, None), (None, None, None, None), (900, 0, "user", None), (900, 0, "user", "x"), (901, 0, "user", None), (901, 1, "assistant", None), (901, 1, "assistant", "y")]
+    both = talks.unionByName(spark.createDataFrame(awkward, talks.schema)).withColumn("call_id", F.lit("own"))
+    both.write.parquet(f"{tmp_path}/conversations")
+    calls, results, others = chat.from_conversations(both)
+    got = chat.link(calls, results, chat.REPLY_SCHEMA, others)
+    assert equals_sql(got, chat.REPLY_SQL, conversations=f"{tmp_path}/conversations/*.parquet")
+    assert got.agg(F.sum(F.col("n_copies") + F.col("n_results"))).first()[0] == both.count()
+    none = both.limit(0)
+    assert chat.link(*chat.from_conversations(none)[:2], chat.REPLY_SCHEMA, chat.from_conversations(none)[2]).count() == 0
+
+
+def test_chat_levels_in_rounds(spark):
+    """The rounds of joins give what one task gives: chains, ladders, cycles and what hangs on them, unknown and repeated ids."""
+    rng = random.Random(3)
+    rows = [(1, f"c{k}", [f"c{k - 1}"]) for k in range(2_000)]
+    rows += [(2, f"d{k}", [f"d{j}" for j in rng.sample(range(k), min(k, rng.randint(0, 3)))] + ["gone", None]) for k in range(40)]
+    rows += [(3, "x", ["y"]), (3, "y", ["x"]), (3, "z", ["x", "w"]), (3, "w", None), (3, "w", ["v"]), (3, "v", []), (3, "s", ["s"]), (None, "x", []), (3, None, ["w"])]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    one, many = (sorted(map(str, chat.levels(calls, limit).collect())) for limit in (10**6, 5))
+    assert one == many
+    level = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls).collect()}
+    assert level[1, "c1999"] == 1999 and level[3, "w"] == 1 and level[3, "v"] == 0 and all(level[3, c] is None for c in "xyzs") and len(level) == 2_000 + 40 + 6
 
 
 def test_chat_links(spark):

@@ -1,11 +1,12 @@
 """Word lists, patterns and tables that results depend on."""
 
 # Words that the keyword tokenizer drops.
-STOPWORDS = (
-    "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would could should may might must shall can "
-    "this that these those it its i me my we our you your he him his she her they them their what which who whom when where why how all each every both few more most "
-    "other some such no nor not only own same so than too very just also now here there then once"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "be", "been", "being", "have", "has", "had",
+    "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "this", "that", "these", "those", "it", "its", "i", "me", "my", "we", "our",
+    "you", "your", "he", "him", "his", "she", "her", "they", "them", "their", "what", "which", "who", "whom", "when", "where", "why", "how", "all", "each", "every", "both", "few",
+    "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "also", "now", "here", "there", "then", "once",
+]
 
 # Weights of the query profiles, in the order dense, graph, metadata, recency, balance, blend.
 PROFILE_WEIGHTS = {
@@ -57,16 +58,18 @@ SMALLTALK = ["how are you", "как дела", "что нового", "what's up
 ACTIONS = ["create", "make", "file", "open", "send", "post", "update", "add comment", "write", "submit", "publish", "создай", "создать", "заведи", "завести", "добавь", "добавить", "отправь", "отправить", "напиши", "написать", "обнови", "обновить", "прокомментируй", "опубликуй", "опубликовать"]
 
 # Upper-case words that are no names in a title.
-TITLE_STOP = (
-    "FY USD FY2017 FY2018 FY2019 FY2020 FY2021 FY2022 FY2023 FY2024 YOY PP Q1 Q2 Q3 Q4 CEO CFO CTO SEC US UK EU IT AI ML OR IF IS AS AT BY TO OF IN ON AN AND THE FOR NOT "
-    "GDP IPO ROE ROA PE GAAP NON EBITDA CAPEX OPEX"
-).split()
+TITLE_STOP = [
+    "FY", "USD", "FY2017", "FY2018", "FY2019", "FY2020", "FY2021", "FY2022", "FY2023", "FY2024", "YOY", "PP", "Q1", "Q2", "Q3", "Q4", "CEO", "CFO", "CTO", "SEC", "US", "UK", "EU",
+    "IT", "AI", "ML", "OR", "IF", "IS", "AS", "AT", "BY", "TO", "OF", "IN", "ON", "AN", "AND", "THE", "FOR", "NOT", "GDP", "IPO", "ROE", "ROA", "PE", "GAAP", "NON", "EBITDA",
+    "CAPEX", "OPEX",
+]
 
 # Groups of people that are not one person.
-ROLE_WORDS = (
-    "admins,engineers,developers,analysts,managers,directors,executives,leads,owners,consumers,stewards,users,team leads,pms,c-level,bi developers,bi leads,"
-    "knowledge consumers,knowledge stewards,knowledge steward,semantic owners,ontology owners,customer success engineer,data scientist"
-).split(",")
+ROLE_WORDS = [
+    "admins", "engineers", "developers", "analysts", "managers", "directors", "executives", "leads", "owners", "consumers", "stewards", "users", "team leads", "pms", "c-level",
+    "bi developers", "bi leads", "knowledge consumers", "knowledge stewards", "knowledge steward", "semantic owners", "ontology owners", "customer success engineer",
+    "data scientist",
+]
 
 # Reading speed, search overhead, tokens a word, tokens an answer, own cost a query, and provider prices (input, output) in dollars a million tokens.
 WORDS_PER_MINUTE, SEARCH_OVERHEAD = 150, 1.5
@@ -74,16 +77,181 @@ TOKENS_PER_WORD, ANSWER_TOKENS, OWN_COST = 1.6, 500, 0.0005
 PRICES = {"openai_gpt4o": (2.50, 10.00), "anthropic_sonnet": (3.00, 15.00), "google_gemini": (1.25, 10.00)}
 
 # Words that keyword extraction skips.
-KEYWORD_STOP = "the and for with that this from have has are was were will not a an of to in on is it be as by at or if".split()
+KEYWORD_STOP = [
+    "the", "and", "for", "with", "that", "this", "from", "have", "has", "are", "was", "were", "will", "not", "a", "an", "of", "to", "in", "on", "is", "it", "be", "as", "by", "at",
+    "or", "if",
+]
 
 # Entity types, and what is also called so.
 ENTITY_TYPES = ["Person", "Organization", "Project", "Task", "Technology", "Document", "Concept", "Service", "Event", "Location"]
 TYPE_ALIASES = {
-    "Technology": ["tool", "software", "framework", "library", "database", "language", "tool/software"],
-    "Person": ["user", "developer", "engineer", "assignee"],
-    "Organization": ["team", "company", "department", "user group"],
-    "Event": ["meeting", "release", "deadline", "milestone"],
-    "Service": ["api", "system", "platform", "microservice"],
-    "Concept": ["priority", "label"],
-    "Location": ["environment", "region", "deployment"],
+    "tool": "Technology",
+    "software": "Technology",
+    "framework": "Technology",
+    "library": "Technology",
+    "database": "Technology",
+    "language": "Technology",
+    "tool/software": "Technology",
+    "tool/system": "Technology",
+    "tool/framework": "Technology",
+    "tool/technology": "Technology",
+    "tool/platform": "Technology",
+    "library/tool": "Technology",
+    "programming language": "Technology",
+    "ai model": "Technology",
+    "model": "Technology",
+    "embedding model": "Technology",
+    "language model": "Technology",
+    "llm model": "Technology",
+    "model type": "Technology",
+    "model/technology": "Technology",
+    "model/service": "Technology",
+    "graph database": "Technology",
+    "softwarecomponent": "Technology",
+    "software/plugin": "Technology",
+    "software/server": "Technology",
+    "software type": "Technology",
+    "software platform": "Technology",
+    "software/platform": "Technology",
+    "software/interface": "Technology",
+    "algorithm": "Technology",
+    "protocol": "Technology",
+    "data format": "Technology",
+    "file format": "Technology",
+    "fileformat": "Technology",
+    "documentformat": "Technology",
+    "format": "Technology",
+    "data type": "Technology",
+    "datastructure": "Technology",
+    "data structure": "Technology",
+    "hardware": "Technology",
+    "инструмент": "Technology",
+    "библиотека": "Technology",
+    "технология": "Technology",
+    "task/issue": "Task",
+    "task/process": "Task",
+    "workitem": "Task",
+    "jira issue": "Task",
+    "jiraissue": "Task",
+    "jira_task": "Task",
+    "work item": "Task",
+    "issue": "Task",
+    "task id": "Task",
+    "issue id": "Task",
+    "issue key": "Task",
+    "issue/key": "Task",
+    "issue_type": "Task",
+    "bug": "Task",
+    "story": "Task",
+    "task/issue identifier": "Task",
+    "task/description": "Task",
+    "taskdescription": "Task",
+    "tasktitle": "Task",
+    "deployment task": "Task",
+    "задача": "Task",
+    "тип задачи": "Task",
+    "описание задачи": "Task",
+    "epic": "Project",
+    "initiative": "Project",
+    "project/task": "Project",
+    "project/feature": "Project",
+    "project/initiative": "Project",
+    "project/system": "Project",
+    "project/topic": "Project",
+    "проект": "Project",
+    "эпик": "Project",
+    "user": "Person",
+    "developer": "Person",
+    "engineer": "Person",
+    "assignee": "Person",
+    "github user": "Person",
+    "пользователь": "Person",
+    "разработчик": "Person",
+    "сотрудник": "Person",
+    "участник": "Person",
+    "team": "Organization",
+    "company": "Organization",
+    "department": "Organization",
+    "user group": "Organization",
+    "organization/service": "Organization",
+    "organization/project": "Organization",
+    "meeting": "Event",
+    "release": "Event",
+    "deadline": "Event",
+    "milestone": "Event",
+    "событие": "Event",
+    "api": "Service",
+    "system": "Service",
+    "platform": "Service",
+    "microservice": "Service",
+    "service/endpoint": "Service",
+    "system/application": "Service",
+    "system/project": "Service",
+    "system/process": "Service",
+    "systemcomponent": "Service",
+    "system_component": "Service",
+    "система": "Service",
+    "компонент": "Service",
+    "component": "Service",
+    "архитектурный компонент": "Service",
+    "architecturecomponent": "Service",
+    "technical component": "Service",
+    "infrastructure": "Service",
+    "модуль": "Service",
+    "module": "Service",
+    "spec": "Document",
+    "report": "Document",
+    "rfc": "Document",
+    "documentation": "Document",
+    "documentation/resource": "Document",
+    "notebook": "Document",
+    "attachment": "Document",
+    "artifact": "Document",
+    "артефакт": "Document",
+    "development artifact": "Document",
+    "developmentartifact": "Document",
+    "file": "Document",
+    "файл": "Document",
+    "repository": "Document",
+    "branch": "Document",
+    "repository branch": "Document",
+    "idea": "Concept",
+    "pattern": "Concept",
+    "methodology": "Concept",
+    "technique": "Concept",
+    "strategy": "Concept",
+    "process": "Concept",
+    "process/technique": "Concept",
+    "process/phase": "Concept",
+    "process phase": "Concept",
+    "development approach": "Concept",
+    "development phase": "Concept",
+    "research topic": "Concept",
+    "research area": "Concept",
+    "research paper": "Concept",
+    "research objective": "Concept",
+    "research scope": "Concept",
+    "research/development": "Concept",
+    "topic": "Concept",
+    "domain": "Concept",
+    "capability": "Concept",
+    "functionality": "Concept",
+    "функциональность": "Concept",
+    "feature": "Concept",
+    "use case": "Concept",
+    "usecase": "Concept",
+    "goal": "Concept",
+    "goal/requirement": "Concept",
+    "design": "Concept",
+    "architecture": "Concept",
+    "role": "Concept",
+    "роль": "Concept",
+    "status": "Concept",
+    "статус": "Concept",
+    "priority": "Concept",
+    "label": "Concept",
+    "метка": "Concept",
+    "environment": "Location",
+    "region": "Location",
+    "deployment": "Location",
 }

@@ -122,12 +122,13 @@ def keywords(text: Column, limit: int = 5) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda w: ~_in(w, C.KEYWORD_STOP))), 1, limit)
 
 
-def entity_type(raw: Column, aliases: dict[str, list[str]] | None = None) -> Column:
+def entity_type(raw: Column, aliases: dict[str, str] | None = None) -> Column:
     """The fixed type that a free one means; Concept if none."""
     x = F.lower(F.trim(raw))
+    known = {**{kind.lower(): kind for kind in C.ENTITY_TYPES}, **(aliases or C.TYPE_ALIASES)}
     out = F.lit("Concept")
     for kind in C.ENTITY_TYPES:
-        out = F.when(_in(x, [kind.lower(), *(aliases or C.TYPE_ALIASES).get(kind, [])]), kind).otherwise(out)
+        out = F.when(_in(x, [a for a, k in known.items() if k == kind]), kind).otherwise(out)
     return out
 
 

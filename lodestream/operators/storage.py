@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,25 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, or for tests a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that all of them share")
         found = f"file:///tmp/lodestream-shared-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let no plan rely on how a union is dealt out.
+
+    Spark 4.1 takes a union of children that are dealt out alike for dealt out so itself; where
+    adaptive execution then coalesces the children apart, an aggregate above has a group twice.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    plain_unions(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/lodestream-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,9 +52,9 @@ def every_hit(spark, sf_dir, k):
 def hybrid_lists(spark, sf_dir, k=30):
     ids = vectors(spark, sf_dir).select("id")
     docs = table(spark, sf_dir, "documents")
-    posts = sparse.postings(docs, "doc_id", "text").join(ids, "id", "left_semi")
-    asked = sparse.query_terms(docs.where("doc_id % 100 = 0").join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "doc_id", "text")
-    words = sparse.search(asked, posts, k).select("query_id", F.lit("sparse").alias("channel"), "id", "score")
+    own = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    asked = sparse.query_terms(own.where("doc_id % 100 = 0"), "doc_id", "text")
+    words = sparse.search(asked, own, "doc_id", "text", k).select("query_id", F.lit("sparse").alias("channel"), "id", "score")
     return words.unionByName(dense_hits(spark, sf_dir, k).select("query_id", F.lit("dense").alias("channel"), "id", "score"))
 
 
@@ -62,7 +62,7 @@ def whole_hybrid_lists(spark, sf_dir, k=30):
     """Both legs over all their rows: documents without a vector and vectors without a document too."""
     docs = table(spark, sf_dir, "documents")
     asked = sparse.query_terms(docs.where("doc_id % 100 = 0"), "doc_id", "text")
-    words = sparse.search(asked, corpus_postings(spark, sf_dir), k).select("query_id", F.lit("sparse").alias("channel"), "id", "score")
+    words = sparse.search(asked, docs, "doc_id", "text", k).select("query_id", F.lit("sparse").alias("channel"), "id", "score")
     return words.unionByName(dense_hits(spark, sf_dir, k).select("query_id", F.lit("dense").alias("channel"), "id", "score"))
 
 
@@ -83,7 +83,7 @@ def t11(spark, sf_dir):
 
 @query("r2_sparse_search", f"WITH {SPARSE_SQL} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp) WHERE rank <= 30")
 def r2(spark, sf_dir):
-    out = sparse.search(sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), corpus_postings(spark, sf_dir), 30)
+    out = sparse.search(sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), table(spark, sf_dir, "documents"), "doc_id", "text", 30)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -306,7 +306,7 @@ def m15b(spark, sf_dir):
 @query("q12_negative_accuracy", f"WITH {SPARSE_SQL} SELECT round(avg(CASE WHEN s.query_id IS NULL THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n_queries FROM benchmark b LEFT JOIN (SELECT DISTINCT query_id FROM sp WHERE score >= 40) s ON b.item_id = s.query_id")
 def q12(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    hits = sparse.search(sparse.query_terms(b, "item_id", "text"), corpus_postings(spark, sf_dir)).where("score >= 40")
+    hits = sparse.search(sparse.query_terms(b, "item_id", "text"), table(spark, sf_dir, "documents"), "doc_id", "text").where("score >= 40")
     return evaluation.negative_accuracy(b.select(F.col("item_id").alias("query_id")), hits).select(F.round("accuracy", 6).alias("accuracy"), "n_queries")
 
 
@@ -332,7 +332,7 @@ def _unit_vector(v):
 @query("j3_hydrated_ranks", f"WITH {SPARSE_SQL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp) WHERE rank <= 5) SELECT query_id, rank::INT AS rank, id, d.source, d.lang, coalesce(NULL, 'knowledge_base') AS source_role FROM t JOIN documents d ON d.doc_id = t.id")
 def j3(spark, sf_dir):
     """Payload of ranked ids, in rank order, with the default role (P18)."""
-    hits = sparse.search(sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), corpus_postings(spark, sf_dir), 5)
+    hits = sparse.search(sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), table(spark, sf_dir, "documents"), "doc_id", "text", 5)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
     return hits.join(d, "id").select("query_id", "rank", "id", "source", "lang", F.lit("knowledge_base").alias("source_role"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import chunking, context, dense, entities, ranking, search, sparse
 from lodestream.plans.registry import query, table
-from lodestream.plans.retrieval_plans import DENSE_SQL, SPARSE_SQL, channel_hits, corpus_postings, dense_hits, vectors, whole_channel_hits
+from lodestream.plans.retrieval_plans import DENSE_SQL, SPARSE_SQL, channel_hits, dense_hits, vectors, whole_channel_hits
 
 
 @query("r5_supplied_vectors", f"WITH {DENSE_SQL}, c AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(list_transform(a.v, lambda x: -x), b.v), 9) AS score FROM e a, e b WHERE a.id % 100 = 0) SELECT query_id, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c) WHERE rank <= 10")
@@ -42,7 +42,7 @@ def r12(spark, sf_dir):
 
 @query("k4_k5_channel_caps", f"WITH {SPARSE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp) SELECT query_id, id FROM r WHERE rank <= 10")
 def k4(spark, sf_dir):
-    hits = sparse.search(sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), corpus_postings(spark, sf_dir))
+    hits = sparse.search(sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), table(spark, sf_dir, "documents"), "doc_id", "text")
     return search.cap_channels(hits.select("query_id", F.lit("exact").alias("channel"), "id", "score")).select("query_id", "id")
 
 
@@ -135,5 +135,5 @@ def q21(spark, sf_dir):
 
 @query("p11_confident_hits", f"WITH {SPARSE_SQL} SELECT query_id, count(*) AS n FROM sp WHERE score >= 20 GROUP BY query_id")
 def p11(spark, sf_dir):
-    hits = sparse.search(sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), corpus_postings(spark, sf_dir))
+    hits = sparse.search(sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), table(spark, sf_dir, "documents"), "doc_id", "text")
     return hits.where("score >= 20").groupBy("query_id").agg(F.count("*").alias("n"))

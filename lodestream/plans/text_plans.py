@@ -143,17 +143,32 @@ def t20(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.array_join(T.keywords(F.col("text")), ",").alias("keywords"))
 
 
-@query("t21_entity_types", """
-SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Technology' WHEN p_partkey % 4 = 1 THEN 'Person' WHEN p_partkey % 4 = 2 THEN 'Project' ELSE 'Concept' END AS entity_type FROM part""")
+_ASKED_TYPES = [*C.ENTITY_TYPES, *C.TYPE_ALIASES, "widget"]
+_TYPES_SQL = ", ".join(f"({i}, '{a}', '{k}')" for i, (a, k) in enumerate([*zip(C.ENTITY_TYPES, C.ENTITY_TYPES), *C.TYPE_ALIASES.items(), ("widget", "Concept")]))
+
+
+@query("t21_entity_types", f"""
+WITH t(i, alias, kind) AS (VALUES {_TYPES_SQL})
+SELECT p_partkey, alias, kind AS entity_type FROM part JOIN t ON i = p_partkey % {len(_ASKED_TYPES)}""")
 def t21(spark, sf_dir):
-    raw = F.element_at(F.array(F.lit(" Tool"), F.lit("USER"), F.lit("project"), F.lit("widget")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.entity_type(raw).alias("entity_type"))
+    """Every fixed type, every alias and one that is neither, in other cases and with blanks."""
+    asked = F.element_at(F.array(*map(F.lit, _ASKED_TYPES)), (F.col("p_partkey") % len(_ASKED_TYPES) + 1).cast("int"))
+    raw = F.concat(F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, F.upper(asked)).otherwise(F.initcap(asked)), F.lit("  "))
+    return table(spark, sf_dir, "part").select("p_partkey", asked.alias("alias"), T.entity_type(raw).alias("entity_type"))
+
+
+_ROLES_SQL = ", ".join(f"({i}, '{w}')" for i, w in enumerate(C.ROLE_WORDS))
 
 
-@query("t22_roles", "SELECT c_custkey, c_custkey % 3 = 0 AS is_role FROM customer")
+@query("t22_roles", f"""
+WITH r(i, word) AS (VALUES {_ROLES_SQL})
+SELECT c_custkey, c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AS is_role FROM customer JOIN r ON i = c_custkey % {len(C.ROLE_WORDS)}""")
 def t22(spark, sf_dir):
-    name = F.when(F.col("c_custkey") % 3 == 0, " Team Leads").otherwise(F.col("c_name"))
-    return table(spark, sf_dir, "customer").select("c_custkey", T.role_not_person(name, F.lit("Person")).alias("is_role"))
+    """Every role word; not of other types, nor as a part of a longer name."""
+    word = F.initcap(F.element_at(F.array(*map(F.lit, C.ROLE_WORDS)), (F.col("c_custkey") % len(C.ROLE_WORDS) + 1).cast("int")))
+    name = F.when(F.col("c_custkey") % 4 == 0, F.concat(word, F.lit(" Smith"))).otherwise(F.concat(F.lit(" "), word))
+    kind = F.when(F.col("c_custkey") % 5 == 0, "Organization").otherwise("Person")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.role_not_person(name, kind).alias("is_role"))
 
 
 @query("p17_entity_names", """

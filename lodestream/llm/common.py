@@ -7,6 +7,7 @@ The kernels work on the UTF-8 bytes of a whole Arrow batch at once. White space
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.operators.storage import plain_unions
+
 #: Text bytes that one pass of a kernel takes; a longer text goes alone. Bounds memory, not results.
 CHUNK_BYTES = 2 << 20
 
@@ -33,6 +36,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that all of them share")
         found = f"file:///tmp/lodestream-shared-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,6 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    plain_unions(spark)
     path = f"{shared_dir(spark)}/lodestream-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
@@ -73,6 +80,7 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's code, once for each application, by Spark's own file server."""
+    plain_unions(spark)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +34,16 @@ def near_pairs(prints: DataFrame, most: int = NEAR, block: list[str] | None = No
     """(block..., a, b, distance) of different fingerprints within most bits, a and b the least ids that have them.
 
     Ids of equal fingerprints are one class, so copies are never expanded into pairs. Two
-    fingerprints within most bits agree on one of most + 1 bands of bits, which is the join key.
+    fingerprints within most bits agree on most of 2 * most blocks of bits or more: each choice of
+    most blocks is a join key, of 32 bits and thus with few strangers in a corpus of any size.
     Zero fingerprints, those of blank texts, take no part.
     """
     block = block or []
-    width = 64 // (most + 1)
+    edges = [64 * i // (2 * most) for i in range(2 * most + 1)]
+    masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen) for chosen in combinations(range(2 * most), most)]
     one = prints.where("fingerprint <> 0").groupBy(*block, "fingerprint").agg(F.min("id").alias("id"))
-    mask = F.lit((1 << width) - 1).cast("bigint")
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fingerprint", i * width).bitwiseAND(mask).alias("value")) for i in range(most + 1)])
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fingerprint").bitwiseAND(signed(m)).alias("value")) for i, m in enumerate(masks)])
     posted = one.select(*block, "id", "fingerprint", F.explode(bands).alias("k")).select(*block, "id", "fingerprint", "k.band", "k.value")
     other = posted.select(*block, F.col("id").alias("b"), F.col("fingerprint").alias("g"), "band", "value")
     met = posted.withColumnRenamed("id", "a").join(other, [*block, "band", "value"]).where(F.col("a") < F.col("b"))

@@ -36,6 +36,8 @@ RUN_GAP = 3
 BROADCAST_CHARS = 32 << 20
 #: Documents with hits up to this many are looked up by broadcast of their ids.
 BROADCAST_IDS = 2_000_000
+#: A document's items are verified in at most so many rows, each with its words once.
+BLOCKS = 64
 
 
 def token_hashes(text: Column) -> Column:
@@ -85,6 +87,25 @@ def _longest_run(matched: Column) -> Column:
     return F.aggregate(matched, start, step, lambda a: a["best"])
 
 
+def _verified(tokens: Column, hit: Column) -> Column:
+    """Places of the item that agree on any of its diagonals in the document, where the first stands, and the longest run on one diagonal."""
+    item = hit["item"]
+
+    def agreeing(d: Column) -> Column:
+        same = lambda j: F.coalesce((j + d >= 0) & (F.get(tokens, F.greatest(j + d, F.lit(0))) == F.get(item, j)), F.lit(False))
+        return F.filter(F.sequence(F.lit(0), F.size(item) - 1), same)
+
+    def add(a: Column, d: Column, m: Column) -> Column:
+        matched = F.when(F.size(a["matched"]) == F.size(item), a["matched"]).otherwise(F.array_union(a["matched"], m))
+        run = F.when(F.size(m) > a["run"], F.greatest(a["run"], _longest_run(m))).otherwise(a["run"])
+        return F.struct(matched.alias("matched"), F.least(a["first_token"], d + F.get(m, F.lit(0))).alias("first_token"), run.alias("run"))
+
+    start = F.struct(F.array().cast("array<int>").alias("matched"), F.lit(None).cast("int").alias("first_token"), F.lit(0).alias("run"))
+    # an array of one element names what agrees, so that it is found once a diagonal
+    whole = F.aggregate(hit["diagonals"], start, lambda a, d: F.aggregate(F.array(agreeing(d)), a, lambda b, m: add(b, d, m)))
+    return F.struct(hit["item_id"].alias("item_id"), hit["item_own"].alias("item_own"), F.size(item).alias("n_item_tokens"), whole.alias("all"))
+
+
 def _bounded(df: DataFrame, fits: bool) -> DataFrame:
     return F.broadcast(df) if fits else df
 
@@ -100,24 +121,24 @@ def _found(documents: DataFrame, benchmark: DataFrame, min_tokens: int, min_shar
     have = documents.where("text is not null").select("doc_id", _own("doc_id").alias("doc_own"), token_hashes(F.col("text")).alias("tokens"))
     placed = have.select("doc_id", "doc_own", F.explode(_seeds(F.col("tokens"), lengths)).alias("s")).select("doc_id", "doc_own", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
     pairs = placed.join(_bounded(wanted, fits), "seed").select("doc_id", "doc_own", "item_id", "item_own", (F.col("at") - F.col("item_at")).alias("diagonal"))
-    hits = written(pairs.distinct())
+    met = pairs.distinct().groupBy("doc_id", "doc_own", "item_id", "item_own").agg(F.collect_list("diagonal").alias("diagonals"))
+    words = items.select(F.col("item_id").alias("words_id"), F.col("item_own").alias("words_own"), "item")
+    met = met.join(_bounded(words, fits), F.col("item_id").eqNullSafe(F.col("words_id")) & F.col("item_own").eqNullSafe(F.col("words_own")))
+    block = F.pmod(F.xxhash64("item_id", "item_own"), F.lit(BLOCKS)).alias("block")
+    hits = written(met.groupBy("doc_id", "doc_own", block).agg(F.collect_list(F.struct("item_id", "item_own", "item", "diagonals")).alias("hits")))
     ids = hits.select("doc_id", "doc_own").distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = documents.where("text is not null").select("doc_id", _own("doc_id").alias("doc_own"), "text")
     ids = ids.withColumnsRenamed({"doc_id": "text_id", "doc_own": "text_own"})
     texts = texts.join(_bounded(ids, few), F.col("doc_id").eqNullSafe(F.col("text_id")) & F.col("doc_own").eqNullSafe(F.col("text_own")), "left_semi")
     texts = texts.select(F.col("doc_id").alias("text_id"), F.col("doc_own").alias("text_own"), token_hashes(F.col("text")).alias("tokens"))
-    words = items.select(F.col("item_id").alias("words_id"), F.col("item_own").alias("words_own"), "item")
     lined = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("text_id")) & F.col("doc_own").eqNullSafe(F.col("text_own")))
-    lined = lined.join(_bounded(words, fits), F.col("item_id").eqNullSafe(F.col("words_id")) & F.col("item_own").eqNullSafe(F.col("words_own")))
-    same = lambda j: F.coalesce((j + F.col("diagonal") >= 0) & (F.get("tokens", F.greatest(j + F.col("diagonal"), F.lit(0))) == F.get("item", j)), F.lit(False))
-    matched = F.filter(F.sequence(F.lit(0), F.size("item") - 1), same)
-    got = lined.select("doc_id", "doc_own", "item_id", "item_own", "diagonal", F.size("item").alias("n_item_tokens"), matched.alias("matched")).where(F.size("matched") > 0)
+    got = lined.select("doc_id", "doc_own", F.explode(F.transform("hits", lambda h: _verified(F.col("tokens"), h))).alias("v")).select("doc_id", "doc_own", "v.item_id", "v.item_own", "v.n_item_tokens", "v.all.*").where(F.size("matched") > 0)
     each = got.groupBy("doc_id", "doc_own", "item_id", "item_own").agg(
         F.max("n_item_tokens").alias("n_item_tokens"),
         F.size(F.array_distinct(F.flatten(F.collect_set("matched")))).alias("n_matched"),
-        F.min(F.col("diagonal") + F.get("matched", F.lit(0))).alias("first_token"),
-        F.max(_longest_run(F.col("matched"))).alias("run"),
+        F.min("first_token").alias("first_token"),
+        F.max("run").alias("run"),
     )
     n, m = F.col("n_item_tokens"), F.col("n_matched")
     shared = (m >= F.least(F.lit(min_tokens), F.ceil(n * SHORT_SHARE))) & (m >= min_share * n)

@@ -255,3 +255,6 @@ TYPE_ALIASES = {
     "region": "Location",
     "deployment": "Location",
 }
+
+# Statuses of issues whose work has ended.
+DONE_STATUSES = ["done", "closed", "resolved", "cancelled", "готово", "закрыто", "решено", "отменено"]

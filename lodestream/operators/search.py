@@ -54,3 +54,18 @@ def full(hits: DataFrame, payload: DataFrame, weights: dict[str, float], k: int,
         pool = pool.withColumn("score", F.col("signal"))
     best = top_k(post_rerank(pool) if post_rerank else pool, ["query_id"], "score", "id", k)
     return fragments(best.select("query_id", "id", "score", "rank", "text"), "text", available(graph_tokens))
+
+
+# Fields of a result and what they are where the payload has none.
+RESULT_FIELDS = {"title": "", "type": "", "url": "", "date": "", "doc_label": "", "workspace_id": "", "source_role": "knowledge_base"}
+
+
+def result_shape(hits: DataFrame, id_column: str, payload: str = "payload", score: str = "score") -> DataFrame:
+    """id, score, memory, data, title, type, url, date, doc_label, workspace_id, source_role and payload of each hit.
+
+    payload is a map of strings; null, it is empty. data is the payload's data or, where that is missing or empty, its memory.
+    """
+    got = F.coalesce(F.col(payload), F.create_map().cast("map<string,string>"))
+    data = F.coalesce(F.nullif(got["data"], F.lit("")), got["memory"], F.lit(""))
+    fields = [F.coalesce(got[k], F.lit(v)).alias(k) for k, v in RESULT_FIELDS.items()]
+    return hits.select(F.col(id_column).cast("string").alias("id"), F.col(score).alias("score"), data.alias("memory"), data.alias("data"), *fields, got.alias("payload"))

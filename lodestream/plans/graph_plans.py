@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestream.operators import graph
+from lodestream.operators import graph, issues
 from lodestream.plans.registry import query, table
 
 GRAPH_SQL = """m AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst, 'MENTIONS' AS type, count(*) AS weight, min(o_orderdate) AS valid_from FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
@@ -217,3 +217,26 @@ def u5(spark, sf_dir):
 @query("g7_g9_entity_list", "SELECT DISTINCT p_type AS name FROM part ORDER BY name LIMIT 100")
 def g9(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct().orderBy("name").limit(100)
+
+
+@query("w13_issue_graph", """
+WITH one AS (SELECT 'K-' || o_orderkey AS k, CASE WHEN o_custkey % 7 = 0 THEN '' ELSE 'u' || o_custkey END AS assignee, 'u' || (o_custkey % 10) AS reporter, o_orderdate AS created,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate + INTERVAL 5 DAY WHEN o_orderstatus IN ('F', 'P') THEN o_orderdate + INTERVAL 30 DAY END AS ends FROM orders)
+SELECT 'bot' AS src, k AS dst, 'TRACKS' AS type, 1 AS weight, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to FROM one
+UNION ALL SELECT assignee, k, 'ASSIGNED_TO', 1, created, ends FROM one WHERE assignee <> ''
+UNION ALL SELECT reporter, k, 'REPORTED', 1, created, NULL FROM one
+UNION ALL SELECT 'K-' || o_orderkey, 'p' || l_partkey, 'MENTIONS', count(*), o_orderdate, NULL FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, l_partkey, o_orderdate""")
+def w13(spark, sf_dir):
+    """Orders as issues in two versions, of which the later counts; their lines are what they mention."""
+    o = table(spark, sf_dir, "orders")
+    day = lambda n: (F.col("o_orderdate") + F.expr(f"interval {n} day"))
+    now = F.when(F.col("o_orderstatus") == "F", " Done ").when(F.col("o_orderstatus") == "P", "closed").otherwise("In progress")
+
+    def version(status, updated, resolved):
+        who = [F.lit("bot").alias("user_id"), F.when(F.col("o_custkey") % 7 == 0, "").otherwise(F.concat(F.lit("u"), "o_custkey")).alias("assignee"), F.concat(F.lit("u"), (F.col("o_custkey") % 10).cast("string")).alias("reporter")]
+        return F.struct(F.concat(F.lit("K-"), "o_orderkey").alias("issue_key"), *who, status.alias("status"), F.col("o_orderdate").alias("created"), updated.alias("updated"), resolved.alias("resolved_at"))
+
+    none = F.lit(None).cast(o.schema["o_orderdate"].dataType)
+    both = F.array(version(F.lit("Done"), day(0), none), version(now, day(30), F.when(F.col("o_orderpriority") == "1-URGENT", day(5))))
+    mentioned = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("K-"), "l_orderkey").alias("issue_key"), F.concat(F.lit("p"), "l_partkey").alias("name"), F.lit(1).alias("mention_count"))
+    return issues.issue_edges(o.select(F.inline(both)), mentioned)

@@ -137,3 +137,17 @@ def q21(spark, sf_dir):
 def p11(spark, sf_dir):
     hits = sparse.search(sparse.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), table(spark, sf_dir, "documents"), "doc_id", "text")
     return hits.where("score >= 20").groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query("p18_result_shape", """SELECT doc_id::VARCHAR AS id, n_chars AS score, sha256(CASE WHEN doc_id % 3 = 0 THEN coalesce(source, '') ELSE coalesce(nullif(text, ''), source, '') END) AS data,
+CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END AS title, '' AS url, CASE WHEN doc_id % 5 = 0 THEN 'evidence' ELSE 'knowledge_base' END AS source_role FROM documents""")
+def p18(spark, sf_dir):
+    """Payloads that lack some fields, as hits of the whole table."""
+    pairs = F.array(
+        F.when(F.col("doc_id") % 3 != 0, F.struct(F.lit("data").alias("key"), F.col("text").alias("value"))),
+        F.struct(F.lit("memory").alias("key"), F.col("source").alias("value")),
+        F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit("title").alias("key"), F.col("lang").alias("value"))),
+        F.when(F.col("doc_id") % 5 == 0, F.struct(F.lit("source_role").alias("key"), F.lit("evidence").alias("value"))),
+    )
+    hits = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("score"), F.map_from_entries(F.filter(pairs, lambda p: p.isNotNull())).alias("payload"))
+    return search.result_shape(hits, "doc_id").select("id", "score", F.sha2("data", 256).alias("data"), "title", "url", "source_role")

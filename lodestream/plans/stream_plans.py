@@ -57,6 +57,17 @@ def x8(spark, sf_dir):
     return E.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
+@query("x4_session_cache", """
+WITH RECURSIVE r AS (SELECT user_id, event_type, max(ts) AS cached_at FROM events WHERE event_type <> 'view' GROUP BY ALL), x AS (SELECT user_id, ts FROM events WHERE event_type = 'view'),
+live(user_id, event_type, cached_at, expires, after) AS (SELECT user_id, event_type, cached_at, cached_at + INTERVAL 12 HOUR, cached_at FROM r
+UNION ALL SELECT l.user_id, event_type, cached_at, x.ts + INTERVAL 12 HOUR, x.ts FROM live l, LATERAL (SELECT min(ts) AS ts FROM x WHERE x.user_id = l.user_id AND x.ts > l.after AND x.ts < l.expires) x WHERE x.ts IS NOT NULL)
+SELECT user_id AS session, event_type AS record, cached_at, max(expires) AS expires FROM live GROUP BY ALL""")
+def x4(spark, sf_dir):
+    """Users as sessions and types of events as records; views extend what their user has cached."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("record"), F.col("ts").cast("timestamp").alias("at"))
+    return E.cached_records(e.where("record <> 'view'"), e.where("record = 'view'").select("session", "at"), "12 hours")
+
+
 @query("x6_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def x6(spark, sf_dir):
     return E.windows(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour").withColumn("value", F.round("value", 4))

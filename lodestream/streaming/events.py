@@ -36,6 +36,19 @@ def sessions(events: DataFrame, gap: str = "4 hours", when: str = "ts", late: st
     return events.withWatermark(when, late).groupBy("user_id", F.session_window(F.col(when), gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def cached_records(records: DataFrame, extensions: DataFrame, ttl: str = "4 hours") -> DataFrame:
+    """session, record, cached_at, expires of each record of a cache whose entries live for ttl.
+
+    records: session, record, at (a later write starts the time anew); extensions: session, at; each gives every record
+    of its session that is still alive ttl from then on. Extensions that follow each other within ttl are one session window, so a
+    record joins one row or none: the window that begins before the record ends and has an extension after it was written.
+    """
+    last = records.groupBy("session", "record").agg(F.max("at").alias("cached_at")).withColumn("ends", F.col("cached_at") + F.expr(f"interval {ttl}"))
+    kept = extensions.groupBy("session", F.session_window("at", ttl).alias("w")).agg(F.max("at").alias("last")).select(F.col("session").alias("own"), F.col("w.start").alias("first"), "last", F.col("w.end").alias("until"))
+    alive = (F.col("session") == F.col("own")) & (F.col("first") < F.col("ends")) & (F.col("last") > F.col("cached_at"))
+    return last.join(kept, alive, "left").select("session", "record", "cached_at", F.coalesce("until", "ends").alias("expires"))
+
+
 def run_jobs(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Work on queued jobs in micro-batches: at least once by the checkpoint, exactly once in the output by the batch's own folder."""
 

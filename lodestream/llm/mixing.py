@@ -11,6 +11,8 @@ pass is a sum over the table of documents, which any executor can repeat.
 Defined results: null and empty texts have no tokens, so they weigh nothing and their rate is
 what their posteriors give; repeated rows weigh as often as they are; without labelled rows,
 or of one domain only, posteriors are those of the domains there are. Targets are scaled to sum to 1.
+Targets that no nonnegative rates reach, or that STEPS steps do not, leave a gap: the column gap
+has what is missing or too much over all domains, as a share of the wanted tokens, in each row.
 """
 
 from __future__ import annotations
@@ -143,8 +145,8 @@ def _totals(table: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return out[:k], out[k:].reshape(k, k)
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], budget: float = BUDGET, most: int = STEPS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
-    """Steps of the projected gradient, until every domain is within tolerance of the wanted total."""
+def fit_rates(table: DataFrame, targets: dict[str, float], budget: float = BUDGET, most: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float]:
+    """Steps of the projected gradient, until every domain is within tolerance of the wanted total, and the gap that they leave."""
     weight = np.array([max(targets.get(d, 0.0), 0.0) for d in DOMAINS])
     steps: list[np.ndarray] = []
     now, overlap = _totals(table, steps)
@@ -155,11 +157,11 @@ def fit_rates(table: DataFrame, targets: dict[str, float], budget: float = BUDGE
             break
         steps.append(np.linalg.lstsq(overlap + 1e-9 * max(np.trace(overlap), 1e-9) * np.eye(len(off)), off, rcond=None)[0])
         now, overlap = _totals(table, steps)
-    return steps
+    return steps, float(np.abs(now - wanted).sum() / max(wanted.sum(), 1.0))
 
 
 def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, vocabulary_path: str | None = None, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, source, n_tokens, p_low, p_good, p_toxic, rate, copies for each row of documents.
+    """doc_id, source, n_tokens, p_low, p_good, p_toxic, rate, copies, gap for each row of documents.
 
     copies is the whole part of the rate and, with the probability of the rest, one more; the
     chance is a hash of the id, so it falls the same way each time.
@@ -168,10 +170,10 @@ def mix(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     counts = tokens.counting_kernel(documents.sparkSession, tokens.read_vocabulary(vocabulary_path or tokens.default_vocabulary_path()))
     both = lambda t: {"n_tokens": counts(t)["n_tokens"], "posterior": belief(t)["posterior"]}
     table = written(with_kernel(documents.select("doc_id", "source", "text"), "text", both, "n_tokens long, posterior array<double>", keep=["doc_id", "source"]))
-    steps = fit_rates(table, targets or TARGETS, budget)
+    steps, gap = fit_rates(table, targets or TARGETS, budget)
     rate, p = F.lit(1.0), F.col("posterior")
     for s in steps:
         rate = F.greatest(F.lit(0.0), rate - sum(p[k] * float(x) for k, x in enumerate(s)))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
     out = table.withColumn("rate", rate)
-    return out.select("doc_id", "source", "n_tokens", *[p[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long").alias("copies"))
+    return out.select("doc_id", "source", "n_tokens", *[p[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long").alias("copies"), F.lit(gap).alias("gap"))

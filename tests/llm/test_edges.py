@@ -121,12 +121,14 @@ def test_rates_by_brute_force(spark):
     p, t = rng.dirichlet([0.4, 0.4, 0.4], 200), rng.integers(1, 50, 200)
     table = spark.createDataFrame([(list(map(float, a)), int(n)) for a, n in zip(p, t)], "posterior array<double>, n_tokens long")
     wanted = np.array([0.2, 0.7, 0.1]) * t.sum()
-    rate = mixing.rate_of(p, mixing.fit_rates(table, dict(zip(mixing.DOMAINS, wanted))))
-    assert (rate >= 0).all() and (rate * t) @ p == pytest.approx(wanted, rel=1e-3)
+    steps, gap = mixing.fit_rates(table, dict(zip(mixing.DOMAINS, wanted)))
+    rate = mixing.rate_of(p, steps)
+    assert (rate >= 0).all() and (rate * t) @ p == pytest.approx(wanted, rel=1e-3) and gap <= mixing.TOLERANCE
     one = spark.createDataFrame([([1.0, 0.0, 0.0], 10), ([0.5, 0.5, 0.0], 10)], "posterior array<double>, n_tokens long")
-    steps = mixing.fit_rates(one, {"good": 1.0})
+    steps, gap = mixing.fit_rates(one, {"good": 1.0})
     q = np.array([[1.0, 0, 0], [0.5, 0.5, 0]])
     rate = mixing.rate_of(q, steps)
     grid = np.array([(a, b) for a in np.linspace(0, 3, 61) for b in np.linspace(0, 5, 101)])
     off = lambda r: ((r * 10 @ q - [0, 20, 0]) ** 2).sum(axis=-1)
     assert (rate >= 0).all() and off(rate[None])[0] <= off(grid).min() + 4
+    assert gap == pytest.approx(np.abs(rate * 10 @ q - [0, 20, 0]).sum() / 20, rel=1e-6) and gap > 0.1

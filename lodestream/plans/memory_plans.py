@@ -295,31 +295,22 @@ def e10(spark, sf_dir):
     return records(spark, sf_dir).where("not (agent_id = 'agent2' and scope = 'session')").select("id")
 
 
-@query("f1_linker", f"""WITH {MEM_SQL}, {DENSE_SQL}, n AS (SELECT query_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn WHERE score >= 0.1 AND query_id <> id) WHERE r <= 20 GROUP BY query_id)
-SELECT e.id, coalesce(n, 0) AS evidence_count FROM e LEFT JOIN n ON n.query_id = e.id""")
-def f1(spark, sf_dir):
-    hits = dense_hits(spark, sf_dir, 21).withColumn("score", F.col("score") + 0.5)
-    out, _ = lifecycle.link(vectors(spark, sf_dir).select("id"), hits)
-    return out.select("id", "evidence_count")
+# Every vector against every other one.
+EVERY_SQL = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), dn AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM e a, e b)"
 
 
-@query("f2_j13_reconciler", f"""WITH {DENSE_SQL}, b AS (SELECT query_id, arg_max(id, (score, -id)) AS id, max(score) AS score FROM dn WHERE query_id <> id GROUP BY query_id)
-SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score) + 0.6, 6) AS score FROM b WHERE score + 0.6 >= 0.85 GROUP BY ALL""")
-def f2(spark, sf_dir):
-    hits = dense_hits(spark, sf_dir, 11).withColumn("score", F.col("score") + 0.6)
-    return lifecycle.reconcile(hits).withColumn("score", F.round("score", 6))
-
-
-@query("f1_linker_whole")
-def f1_whole(spark, sf_dir):
+@query("f1_linker", f"""WITH {EVERY_SQL}, n AS (SELECT query_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn WHERE score >= 0.1 AND query_id <> id) WHERE r <= 20 GROUP BY query_id)
+SELECT e.id, coalesce(n, 0) AS evidence_count FROM e LEFT JOIN n ON n.query_id = e.id""")
+def f1(spark, sf_dir):
     """Every record is searched for, so an evidence count of 0 means that nothing is near."""
     hits = every_hit(spark, sf_dir, 21).withColumn("score", F.col("score") + 0.5)
     out, _ = lifecycle.link(vectors(spark, sf_dir).select("id"), hits)
     return out.select("id", "evidence_count")
 
 
-@query("f2_j13_reconciler_whole")
-def f2_whole(spark, sf_dir):
+@query("f2_j13_reconciler", f"""WITH {EVERY_SQL}, b AS (SELECT query_id, arg_max(id, (score, -id)) AS id, max(score) AS score FROM dn WHERE query_id <> id GROUP BY query_id)
+SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score) + 0.6, 6) AS score FROM b WHERE score + 0.6 >= 0.85 GROUP BY ALL""")
+def f2(spark, sf_dir):
     """The best duplicate of every record."""
     hits = every_hit(spark, sf_dir, 11).withColumn("score", F.col("score") + 0.6)
     return lifecycle.reconcile(hits).withColumn("score", F.round("score", 6))

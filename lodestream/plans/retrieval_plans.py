@@ -18,10 +18,10 @@ SPARSE_SQL = f"{POSTINGS_SQL}, {QUERY_SQL}, sp AS (SELECT query_id, id, round(su
 DENSE_SQL = """
 e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
 dn AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM e a, e b WHERE a.id % 100 = 0)"""
-# Ids with both a text and a vector, for hybrid search: the text of document i is asked for beside vector i.
+# For hybrid search the text of document i is asked for beside vector i; each leg sees all its rows.
 HYBRID_SQL = f"""{POSTINGS_SQL}, {DENSE_SQL},
-hq AS (SELECT id AS query_id, term, tf FROM cnt WHERE id % 100 = 0 AND id IN (SELECT id FROM e)),
-hs AS (SELECT query_id, id, round(sum(hq.tf * post.weight), 9) AS score FROM hq JOIN post USING (term) WHERE id IN (SELECT id FROM e) GROUP BY ALL),
+hq AS (SELECT id AS query_id, term, tf FROM cnt WHERE id % 100 = 0),
+hs AS (SELECT query_id, id, round(sum(hq.tf * post.weight), 9) AS score FROM hq JOIN post USING (term) GROUP BY ALL),
 lists AS (SELECT query_id, 'sparse' AS channel, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM hs) WHERE r <= 30
   UNION ALL SELECT query_id, 'dense', id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn) WHERE r <= 30),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS place FROM lists)"""
@@ -50,15 +50,6 @@ def every_hit(spark, sf_dir, k):
 
 
 def hybrid_lists(spark, sf_dir, k=30):
-    ids = vectors(spark, sf_dir).select("id")
-    docs = table(spark, sf_dir, "documents")
-    own = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    asked = sparse.query_terms(own.where("doc_id % 100 = 0"), "doc_id", "text")
-    words = sparse.search(asked, own, "doc_id", "text", k).select("query_id", F.lit("sparse").alias("channel"), "id", "score")
-    return words.unionByName(dense_hits(spark, sf_dir, k).select("query_id", F.lit("dense").alias("channel"), "id", "score"))
-
-
-def whole_hybrid_lists(spark, sf_dir, k=30):
     """Both legs over all their rows: documents without a vector and vectors without a document too."""
     docs = table(spark, sf_dir, "documents")
     asked = sparse.query_terms(docs.where("doc_id % 100 = 0"), "doc_id", "text")
@@ -111,20 +102,10 @@ def r3(spark, sf_dir):
     return fusion.reciprocal_rank(hybrid_lists(spark, sf_dir), top=10).withColumn("score", F.round("score", 6))
 
 
-@query("r3_hybrid_search_whole")
-def r3_whole(spark, sf_dir):
-    return fusion.reciprocal_rank(whole_hybrid_lists(spark, sf_dir), top=10).withColumn("score", F.round("score", 6))
-
-
 _OVERLAP_SQL = """, o AS (SELECT query_id, count(*) FILTER (n = 2) / count(*)::DOUBLE AS overlap FROM (SELECT query_id, id, count(*) AS n FROM lists GROUP BY ALL) GROUP BY query_id),
 k AS (SELECT query_id, overlap, CASE WHEN overlap >= 0.7 THEN 20 WHEN overlap <= 0.2 THEN 80 ELSE round_even(80 - (overlap - 0.2) / 0.5 * 60, 0) END::INT AS k FROM o)"""
 
 
-@query("u6_m3_overlap_and_k_whole")
-def u6_whole(spark, sf_dir):
-    return overlaps(whole_hybrid_lists(spark, sf_dir)).select("query_id", F.round("overlap", 6).alias("overlap"), "k")
-
-
 @query("u6_m3_overlap_and_k", f"WITH {HYBRID_SQL} {_OVERLAP_SQL} SELECT query_id, round(overlap, 6) AS overlap, k FROM k")
 def u6(spark, sf_dir):
     return overlaps(hybrid_lists(spark, sf_dir)).select("query_id", F.round("overlap", 6).alias("overlap"), "k")
@@ -143,11 +124,6 @@ def r4(spark, sf_dir):
     return adaptive(hybrid_lists(spark, sf_dir))
 
 
-@query("r4_adaptive_hybrid_whole")
-def r4_whole(spark, sf_dir):
-    return adaptive(whole_hybrid_lists(spark, sf_dir))
-
-
 def adaptive(lists):
     return fusion.reciprocal_rank(lists.join(overlaps(lists).select("query_id", "k"), "query_id"), F.col("k"), 10).withColumn("score", F.round("score", 6))
 
@@ -160,22 +136,14 @@ def n3(spark, sf_dir):
 # Channels for scoring: dense hits; exact ones share label and parity; metadata ones the label; graph ones a neighbouring id.
 CHANNEL_SQL = f"""{DENSE_SQL}, dh AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn) WHERE r <= 30),
 hits AS (SELECT query_id, 'dense' AS channel, id, score FROM dh
-  UNION ALL SELECT a.id, 'metadata', b.id, 0.5 FROM e a JOIN e b ON a.label = b.label WHERE a.id % 100 = 0 AND b.id % 7 = 0
-  UNION ALL SELECT a.id, 'exact', b.id, 1.0 FROM e a JOIN e b ON a.label = b.label WHERE a.id % 200 = 0 AND b.id % 21 = 0),
+  UNION ALL SELECT a.id, 'metadata', b.id, 0.5 FROM e a JOIN e b ON a.label = b.label WHERE a.id % 100 = 0
+  UNION ALL SELECT a.id, 'exact', b.id, 1.0 FROM e a JOIN e b ON a.label = b.label AND a.id % 2 = b.id % 2 WHERE a.id % 100 = 0
+  UNION ALL SELECT a.id, 'graph', b.id, 0.8 FROM e a JOIN e b ON b.id IN (a.id - 1, a.id + 1) WHERE a.id % 100 = 0),
 merged AS (SELECT query_id, id, max(score) FILTER (channel = 'dense') AS dense, max(score) FILTER (channel = 'exact') AS exact, max(score) FILTER (channel = 'metadata') AS metadata,
   max(score) FILTER (channel = 'graph') AS graph, arg_min(channel, (-score, CASE channel WHEN 'dense' THEN 1 WHEN 'exact' THEN 2 WHEN 'metadata' THEN 3 ELSE 4 END)) AS best_channel FROM hits GROUP BY ALL)"""
 
 
 def channel_hits(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", "label")
-    a = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label")
-    near = dense_hits(spark, sf_dir, 30).select("query_id", F.lit("dense").alias("channel"), "id", "score")
-    meta = a.join(v.where("id % 7 = 0"), "label").select("query_id", F.lit("metadata").alias("channel"), "id", F.lit(0.5).alias("score"))
-    exact = a.where("query_id % 200 = 0").join(v.where("id % 21 = 0"), "label").select("query_id", F.lit("exact").alias("channel"), "id", F.lit(1.0).alias("score"))
-    return near.unionByName(meta).unionByName(exact)
-
-
-def whole_channel_hits(spark, sf_dir):
     """All four channels of every query against all rows: label, label and parity, neighbouring ids."""
     v = vectors(spark, sf_dir).select("id", "label")
     a = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label")
@@ -188,11 +156,6 @@ def whole_channel_hits(spark, sf_dir):
     return near.unionByName(meta).unionByName(exact).unionByName(graph)
 
 
-@query("r10_channel_merge_whole")
-def r10_whole(spark, sf_dir):
-    return fusion.merge_channels(whole_channel_hits(spark, sf_dir)).withColumn("dense", F.round("dense", 6))
-
-
 @query("r10_channel_merge", f"WITH {CHANNEL_SQL} SELECT query_id, id, round(dense, 6) AS dense, exact::DOUBLE AS exact, metadata::DOUBLE AS metadata, graph::DOUBLE AS graph, best_channel FROM merged")
 def r10(spark, sf_dir):
     return fusion.merge_channels(channel_hits(spark, sf_dir)).withColumn("dense", F.round("dense", 6))
@@ -206,12 +169,12 @@ s AS (SELECT x.query_id, x.id, (0.1 * exp(-ln(2.0) / 30 * (epoch_us(TIMESTAMP '2
   / (0.15 + CASE WHEN d THEN 0.35 ELSE 0 END + CASE WHEN g THEN 0.15 ELSE 0 END + CASE WHEN act.m THEN 0.2 ELSE 0 END) AS signal, greatest(0, 1 - share / 0.4) AS balance FROM x JOIN act USING (query_id))"""
 
 
-def scored(spark, sf_dir, channels=channel_hits):
+def scored(spark, sf_dir):
     from pyspark.sql import Window
 
     from lodestream.functions.dates import recency
 
-    hits = channels(spark, sf_dir)
+    hits = channel_hits(spark, sf_dir)
     active = hits.groupBy("query_id").agg(*[F.max(F.col("channel") == c).alias(f"on_{c}") for c in fusion.CHANNELS])
     label = vectors(spark, sf_dir).select("id", "label")
     when = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts")
@@ -229,16 +192,6 @@ def m5(spark, sf_dir):
     return scored(spark, sf_dir).select("query_id", "id", F.round("signal", 6).alias("signal"), F.round("balance", 6).alias("balance"))
 
 
-@query("m4_m5_signal_scores_whole")
-def m5_whole(spark, sf_dir):
-    return scored(spark, sf_dir, whole_channel_hits).select("query_id", "id", F.round("signal", 6).alias("signal"), F.round("balance", 6).alias("balance"))
-
-
-@query("m6_k6_final_ranking_whole")
-def m6_whole(spark, sf_dir):
-    return final_ranking(scored(spark, sf_dir, whole_channel_hits))
-
-
 @query("m6_k6_final_ranking", f"""WITH {SCORED_SQL}, pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(signal, 9) DESC, id) AS r FROM s) WHERE r <= 35),
 rr AS (SELECT *, ((id * 37) % 101) / 100.0 AS raw FROM pool), nn AS (SELECT *, (raw - min(raw) OVER w) / nullif(max(raw) OVER w - min(raw) OVER w, 0) AS n FROM rr WINDOW w AS (PARTITION BY query_id)),
 ff AS (SELECT query_id, id, round(0.3 * round(signal, 9) + 0.7 * coalesce(n, 1), 9) AS final FROM nn)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import chunking, context, dense, entities, ranking, search, sparse
 from lodestream.plans.registry import query, table
-from lodestream.plans.retrieval_plans import DENSE_SQL, SPARSE_SQL, channel_hits, dense_hits, vectors, whole_channel_hits
+from lodestream.plans.retrieval_plans import DENSE_SQL, SPARSE_SQL, channel_hits, dense_hits, vectors
 
 
 @query("r5_supplied_vectors", f"WITH {DENSE_SQL}, c AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(list_transform(a.v, lambda x: -x), b.v), 9) AS score FROM e a, e b WHERE a.id % 100 = 0) SELECT query_id, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c) WHERE rank <= 10")
@@ -18,25 +18,19 @@ def r5(spark, sf_dir):
 
 
 @query("r11_fast_search", f"""WITH {DENSE_SQL}, d AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn) WHERE r <= 30),
-m AS (SELECT a.id AS query_id, b.id, 0.5 AS score FROM e a JOIN e b ON a.label = b.label WHERE a.id % 100 = 0 AND b.id % 7 = 0), f AS (SELECT query_id, id, coalesce(d.score, m.score) AS score FROM d FULL JOIN m USING (query_id, id))
+m AS (SELECT a.id AS query_id, b.id, 0.5 AS score FROM e a JOIN e b ON a.label = b.label WHERE a.id % 100 = 0), f AS (SELECT query_id, id, coalesce(d.score, m.score) AS score FROM d FULL JOIN m USING (query_id, id))
 SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 20""")
 def r11(spark, sf_dir):
     meta = channel_hits(spark, sf_dir).where("channel = 'metadata'").select("query_id", "id", "score")
     return search.fast(dense_hits(spark, sf_dir, 30), meta, 20).withColumn("score", F.round("score", 6))
 
 
-@query("r11_fast_search_whole")
-def r11_whole(spark, sf_dir):
-    meta = whole_channel_hits(spark, sf_dir).where("channel = 'metadata'").select("query_id", "id", "score")
-    return search.fast(dense_hits(spark, sf_dir, 30), meta, 20).withColumn("score", F.round("score", 6))
-
-
 @query("r12_full_search")
 def r12(spark, sf_dir):
     """Channels, freshness, signal and rerank scores, token budget: the whole chain, with a rerank score from outside."""
     payload = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_type"), F.when(F.col("doc_id") % 9 == 0, "archived").alias("status"), "text")
     weights = {"dense_weight": 0.35, "graph_weight": 0.15, "metadata_weight": 0.2, "recency_weight": 0.1, "balance_weight": 0.05}
-    out = search.full(whole_channel_hits(spark, sf_dir), payload, weights, 10, rerank=lambda p: p.withColumn("rerank_score", (F.col("id") * 37 % 101) / 100.0))
+    out = search.full(channel_hits(spark, sf_dir), payload, weights, 10, rerank=lambda p: p.withColumn("rerank_score", (F.col("id") * 37 % 101) / 100.0))
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank", F.length("text").alias("n_chars"))
 
 
@@ -72,16 +66,17 @@ def m20(spark, sf_dir):
     return context.graph_facts(facts, 600).select("query_id", "kind", "place")
 
 
-@query("t32_split_texts", "SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents WHERE length(text) <= 4000")
-def t32(spark, sf_dir):
-    """Texts that need no split stay whole."""
-    parts = context.split_long(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 4000)
-    whole = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("piece")).cast("long").alias("n_chars"))
-    return whole.where("n = 1 and n_chars <= 4000").select("doc_id", "n_chars")
+# A text in halves, down to three levels; the way down to a piece orders the pieces.
+SPLIT_SQL = r"""
+WITH RECURSIVE h AS (SELECT doc_id, '' AS way, text AS s FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, way || k, trim(CASE WHEN k = '0' THEN left(s, cut) ELSE substr(s, cut + 1) END, E' \t\n\r\x0b\x0c') FROM (
+    SELECT *, CASE WHEN blank > 1 THEN blank - 1 ELSE length(s) // 2 END AS cut FROM (
+      SELECT *, length(regexp_extract(left(s, length(s) // 2), '(?s)^.* ')) AS blank FROM h WHERE length(s) > 4000 AND length(way) < 3)), (VALUES ('0'), ('1')) v(k))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY way) - 1)::INT AS part, length(s)::BIGINT AS n_chars, md5(s) AS digest FROM h WHERE length(s) <= 4000 OR length(way) = 3"""
 
 
-@query("t32_split_texts_whole")
-def t32_whole(spark, sf_dir):
+@query("t32_split_texts", SPLIT_SQL)
+def t32(spark, sf_dir):
     """Every piece of every text."""
     parts = context.split_long(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 4000)
     return parts.select("doc_id", "part", F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("digest"))

@@ -278,15 +278,8 @@ def d2(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", D.date_range_in(said, F.to_date("ts")).alias("r")).select("event_id", "r.start", "r.end")
 
 
-@query("d3_dates_between", "SELECT o_orderkey, unnest(generate_series(o_orderdate::DATE, o_orderdate::DATE + INTERVAL 3 DAY, INTERVAL 1 DAY))::DATE AS day FROM orders WHERE o_orderkey <= 4000")
+@query("d3_dates_between", "SELECT o_orderkey, unnest(generate_series(o_orderdate::DATE, o_orderdate::DATE + INTERVAL 3 DAY, INTERVAL 1 DAY))::DATE AS day FROM orders")
 def d3(spark, sf_dir):
-    day = F.to_date("o_orderdate")
-    return table(spark, sf_dir, "orders").where("o_orderkey <= 4000").select("o_orderkey", F.explode(D.dates_between(day, F.date_add(day, 3))).alias("day"))
-
-
-@query("d3_dates_between_whole")
-def d3_whole(spark, sf_dir):
-    """The days of all orders."""
     day = F.to_date("o_orderdate")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(D.dates_between(day, F.date_add(day, 3))).alias("day"))
 

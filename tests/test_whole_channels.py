@@ -1,14 +1,12 @@
 """Channels and keyword legs over all rows."""
 
-import pytest
-
 from lodestream.plans import catalog, retrieval_plans, search_plans
 
 
 def test_channels_see_all_rows(spark, sf):
     label = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()}
     asked = [q for q in label if q % 100 == 0]
-    got = {(r.query_id, r.id): r for r in catalog.QUERIES["r10_channel_merge_whole"](spark, sf).collect()}
+    got = {(r.query_id, r.id): r for r in catalog.QUERIES["r10_channel_merge"](spark, sf).collect()}
     for channel, fits in (("metadata", lambda q, i: label[q] == label[i]), ("exact", lambda q, i: label[q] == label[i] and q % 2 == i % 2), ("graph", lambda q, i: abs(q - i) == 1)):
         assert {k for k, r in got.items() if r[channel] is not None} == {(q, i) for q in asked for i in label if fits(q, i)}
 
@@ -24,10 +22,5 @@ def test_full_search_takes_all_channels(spark, sf, monkeypatch):
 def test_keyword_leg_sees_documents_without_vector(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 50").write.parquet(f"{tmp_path}/embeddings.parquet")
-    words = retrieval_plans.whole_hybrid_lists(spark, str(tmp_path)).where("channel = 'sparse'")
+    words = retrieval_plans.hybrid_lists(spark, str(tmp_path)).where("channel = 'sparse'")
     assert words.where("id >= 50").count() > 0 and words.where("query_id = 100").count() > 0
-
-
-@pytest.mark.parametrize("name", ["r3_hybrid_search", "r4_adaptive_hybrid", "u6_m3_overlap_and_k", "m4_m5_signal_scores", "m6_k6_final_ranking", "r11_fast_search"])
-def test_columns_as_before(spark, sf, name):
-    assert catalog.QUERIES[f"{name}_whole"](spark, sf).columns == catalog.QUERIES[name](spark, sf).columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,28 +14,73 @@ from lodestream.operators.ranking import first_by
 FUZZY, SEMANTIC, MOST_CANDIDATES = 90, 0.88, 50
 
 
-def tidy(name: Column) -> Column:
-    return F.array_join(words(F.lower(F.translate(name, "_.-", "   "))), " ")
+# Types that are people, and nicknames with what they stand for.
+PERSON_TYPES = ["person", "human", "employee", "user"]
+NICKNAMES = {"kostya": "konstantin", "костя": "константин"}
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Similarity of two strings in percent, from their edit distance where a substitution counts as two edits at most."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(a, b) / longest))
+def tidy(name: Column) -> Column:
+    """Lower-cased words of letters, digits and underscores, nicknames in full, with one blank between."""
+    whole = F.create_map(*[F.lit(x) for pair in NICKNAMES.items() for x in pair])
+    plain = words(F.regexp_replace(F.lower(name), r"(?U)[^\w]+", " "))
+    return F.array_join(F.transform(plain, lambda w: F.coalesce(F.try_element_at(whole, w), w)), " ")
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """The largest of the ratios of the names as they are, with their words sorted, and as sets of words; 100 if one's words contain the other's."""
-    wa, wb = F.array_sort(F.array_distinct(words(a))), F.array_sort(F.array_distinct(words(b)))
-    both = F.array_sort(F.array_intersect(wa, wb))
-    inside = (F.size(both) > 0) & (F.size(both) == F.least(F.size(wa), F.size(wb)))
-    return F.greatest(ratio(a, b), ratio(F.array_join(F.array_sort(words(a)), " "), F.array_join(F.array_sort(words(b)), " ")), F.when(inside, 100.0).otherwise(0.0))
+    """Percent, the largest of three ratios of two tidy names: as they are, with their words sorted, and as sets of words.
+
+    A ratio is twice the length of the longest common subsequence against both lengths together. As
+    sets, common words and what each name has besides are compared: 100 if one's words contain the other's.
+    """
+
+    def common(x: str, y: str) -> int:
+        """Length of the longest common subsequence; a bit of the state is 0 where it grows."""
+        where: dict[str, int] = {}
+        for k, c in enumerate(x):
+            where[c] = where.get(c, 0) | 1 << k
+        full = (1 << len(x)) - 1
+        state = full
+        for c in y:
+            kept = state & where.get(c, 0)
+            state = ((state + kept) | (state - kept)) & full
+        return len(x) - state.bit_count()
+
+    def percent(edits: int, total: int) -> float:
+        return 100.0 * (total - edits) / total if total else 100.0
+
+    def ratio(x: str, y: str) -> float:
+        return percent(len(x) + len(y) - 2 * common(x, y), len(x) + len(y))
+
+    def of_sets(x: set, y: set) -> float:
+        both, p, q = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+        if both and not (p and q):
+            return 100.0
+        blank = 1 if both else 0
+        n, np, nq = len(both), len(both) + blank + len(p), len(both) + blank + len(q)
+        found = percent(len(p) + len(q) - 2 * common(p, q), np + nq)
+        return max(found, percent(blank + len(p), n + np), percent(blank + len(q), n + nq)) if both else found
+
+    def best(x: str | None, y: str | None) -> float | None:
+        if not x or not y:
+            return None
+        u, v = x.split(" "), y.split(" ")
+        return max(ratio(x, y), ratio(" ".join(sorted(u)), " ".join(sorted(v))), of_sets(set(u), set(v)))
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([best(*pair) for pair in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
+def _pieces(n: Column) -> Column:
+    """Into how many pieces a known name of n characters is cut: one more than edits that FUZZY allows, two ninths of n at most."""
+    return F.floor(n * 2 / 9).cast("int") + 1
 
 
 def _segments(name: Column) -> Column:
-    """array<struct<n, i, s>>: a known name of n characters in one piece more than edits that FUZZY allows, which is a ninth of n at most."""
+    """array<struct<n, i, s>>: the pieces of a known name of n characters."""
     n = F.length(name)
-    pieces = F.floor(n / 9).cast("int") + 1
+    pieces = _pieces(n)
     start = lambda i: F.floor(i * n / pieces).cast("int")
     return F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(n.alias("n"), i.alias("i"), F.substring(name, start(i) + 1, start(i + 1) - start(i)).alias("s")))
 
@@ -42,39 +88,45 @@ def _segments(name: Column) -> Column:
 def _probes(name: Column) -> Column:
     """array<struct<n, i, s>>: what stands in a new name where pieces of known names of n characters may be.
 
-    Edits leave one piece whole, and move it by as many places as there are edits at most: every
-    name within FUZZY percent shares a piece.
+    Within FUZZY percent a tenth of both lengths together is inserted or removed at most. These edits
+    leave one piece whole, and move it right by the insertions at most, left by the removals.
     """
     own = F.length(name)
 
     def of_piece(n: Column, i: Column) -> Column:
-        pieces, edits = F.floor(n / 9).cast("int") + 1, F.floor(F.greatest(n, own) / 10).cast("int")
-        start, stop = F.floor(i * n / pieces).cast("int"), F.floor((i + 1) * n / pieces).cast("int")
-        places = F.filter(F.sequence(start - edits, start + edits), lambda at: (at >= 0) & (at + stop - start <= own))
+        edits = F.floor((n + own) / 10).cast("int")
+        start, stop = F.floor(i * n / _pieces(n)).cast("int"), F.floor((i + 1) * n / _pieces(n)).cast("int")
+        removed, inserted = F.floor((edits + n - own) / 2).cast("int"), F.floor((edits + own - n) / 2).cast("int")
+        places = F.filter(F.sequence(start - removed, start + inserted), lambda at: (at >= 0) & (at + stop - start <= own))
         return F.transform(places, lambda at: F.struct(n.alias("n"), i.alias("i"), F.substring(name, at + 1, stop - start).alias("s")))
 
-    lengths = F.sequence(own - F.floor(own / 10).cast("int"), F.floor(own * 10 / 9).cast("int"))
-    return F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / 9).cast("int")), lambda i: of_piece(n, i)))))
+    lengths = F.filter(F.sequence(F.floor(own * 9 / 11).cast("int"), F.floor(own * 11 / 9).cast("int")), lambda n: F.abs(n - own) * 10 <= n + own)
+    return F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(F.sequence(F.lit(0), _pieces(n) - 1), lambda i: of_piece(n, i)))))
 
 
 def resolve(new: DataFrame, known: DataFrame) -> DataFrame:
     """(id, match, how) of new entities (id, name, type, vector) among known ones (name, type, vector).
 
     The same name without case wins; then the most similar name from 90 percent on; then, where a
-    type has no more than 50 known entities, the closest meaning from 0.88 on. A person of one
-    word matches only the same name. Candidates share a type, and names a word or, as they are or
-    with their words sorted, a piece that the edits of 90 percent must leave whole.
+    type has no more than 50 known entities, the closest meaning from 0.88 on. A person of one word
+    is not compared by similarity: it takes the only longer name that has this word. Candidates share
+    a type, and names a word or, as they are or with their words sorted, all or each once, a piece
+    that the edits of 90 percent must leave whole. Names without a word match nothing but by meaning.
     """
-    a = new.select("id", "type", tidy(F.col("name")).alias("x"), F.col("vector").alias("v"))
-    b = known.select("type", F.col("name").alias("match"), tidy(F.col("name")).alias("y"), F.col("vector").alias("u"))
-    exact = a.join(b, (a["type"] == b["type"]) & (F.col("x") == F.col("y"))).select("id", "match", F.lit(0).alias("tier"), F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
-    ordered = lambda c: F.array_join(F.array_sort(words(c)), " ")
+    same = F.lower(F.trim("name"))
+    a = new.select("id", "type", same.alias("same"), tidy(F.col("name")).alias("x"), F.col("vector").alias("v"))
+    b = known.select("type", F.col("name").alias("match"), same.alias("same"), tidy(F.col("name")).alias("y"), F.col("vector").alias("u"))
+    exact = a.join(b.where("same <> ''"), ["type", "same"]).select("id", "match", F.lit(0).alias("tier"), F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
+    ordered = lambda w: F.array_join(F.array_sort(w), " ")
     by_word = lambda c: F.transform(words(c), lambda w: F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("i"), w.alias("s")))
-    tagged = lambda c, k: F.transform(c, lambda x: F.struct(F.lit(k).alias("form"), x["n"].alias("n"), x["i"].alias("i"), x["s"].alias("s")))
-    keys = lambda c, pieces: F.array_distinct(F.concat(tagged(by_word(c), 0), tagged(pieces(c), 1), tagged(pieces(ordered(c)), 2)))
-    ka, kb = a.withColumn("k", F.explode(keys(F.col("x"), _probes))), b.withColumn("k", F.explode(keys(F.col("y"), _segments)))
-    near = ka.join(kb, ["type", "k"]).where(~((F.col("type") == "Person") & (F.size(words(F.col("x"))) == 1))).select("id", "match", "x", "y").distinct()
-    fuzzy = near.withColumn("score", name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= FUZZY).select("id", "match", F.lit(1).alias("tier"), "score", F.lit("fuzzy").alias("how"))
+    keys = lambda c, pieces: F.array_distinct(F.concat(by_word(c), pieces(c), pieces(ordered(words(c))), pieces(ordered(F.array_distinct(words(c))))))
+    ka, kb = a.where("x <> ''").withColumn("k", F.explode(keys(F.col("x"), _probes))), b.where("y <> ''").withColumn("k", F.explode(keys(F.col("y"), _segments)))
+    near = ka.join(kb, ["type", "k"]).select("id", "type", "match", "x", "y").distinct()
+    single = F.lower(F.trim("type")).isin(PERSON_TYPES) & (F.size(words(F.col("x"))) == 1)
+    scored = near.where(~single).withColumn("score", name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= FUZZY)
+    longer = near.where(single & (F.size(words(F.col("y"))) >= 2) & F.array_contains(words(F.col("y")), F.col("x")))
+    only = longer.groupBy("id").agg(F.min("match").alias("match"), F.max("match").alias("last")).where("match = last").withColumn("score", F.lit(100.0))
+    fuzzy = scored.select("id", "match", "score").unionByName(only.select("id", "match", "score")).select("id", "match", F.lit(1).alias("tier"), "score", F.lit("fuzzy").alias("how"))
     few = b.join(b.groupBy("type").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_CANDIDATES).select("type"), "type", "left_semi")
     meant = a.where("v is not null").join(few.where("u is not null"), "type").withColumn("score", cosine(F.col("v"), F.col("u"))).where(F.col("score") >= SEMANTIC)
     every = exact.unionByName(fuzzy).unionByName(meant.select("id", "match", F.lit(2).alias("tier"), "score", F.lit("semantic").alias("how")))

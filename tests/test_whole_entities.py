@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lodestream.operators import entities
@@ -34,3 +36,29 @@ def test_query_uses_vectors(spark, sf):
     parts = spark.read.parquet(f"{sf}/part.parquet")
     assert got.count() == parts.where("p_partkey % 2 = 1").count()
     assert got.where("how = 'semantic'").count() > 0
+
+
+def test_similarity_by_hand(spark):
+    def common(x, y):
+        rows = [[0] * (len(y) + 1)]
+        for c in x:
+            rows.append([0])
+            for k, d in enumerate(y):
+                rows[-1].append(rows[-2][k] + 1 if c == d else max(rows[-2][k + 1], rows[-1][k]))
+        return rows[-1][-1]
+
+    rng = random.Random(3)
+    pairs = [("".join(rng.choices("abcd", k=rng.randint(1, 80))), "".join(rng.choices("abcd", k=rng.randint(1, 80)))) for _ in range(60)]
+    expected = [200.0 * common(x, y) / (len(x) + len(y)) for x, y in pairs]
+    pairs += [("acme corp holdings", "acme corp holding group"), ("lee anna", "anna lee"), ("anna", "anna lee"), ("kubernetes", "cubernetes")]
+    expected += [100 - 700 / 41, 100.0, 100.0, 90.0]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, x string, y string")
+    got = [r.s for r in rows.select("k", entities.name_similarity(F.col("x"), F.col("y")).alias("s")).orderBy("k").collect()]
+    assert got == pytest.approx(expected)
+
+
+def test_person_of_one_word(spark):
+    new = spark.createDataFrame([(1, "Anna", "Person", None), (2, "Lee", "Person", None), (3, "Bob", "Person", None), (4, "", "Person", None), (5, "anna lee", "person", None), (6, "ANNA lee ", "Person", None), (7, "Kostya (Orlov)", "Person", None), (8, None, "Person", None)], "id long, name string, type string, vector array<double>")
+    known = spark.createDataFrame([("Anna Lee", "Person", None), ("Lee Kim", "Person", None), ("Bobby", "Person", None), ("Konstantin Orlov", "Person", None), (None, "Person", None), ("Anna Lee", "Person", None)], "name string, type string, vector array<double>")
+    got = {r.id: (r.match, r.how) for r in entities.resolve(new, known).collect()}
+    assert got == {1: ("Anna Lee", "fuzzy"), 2: (None, "new"), 3: (None, "new"), 4: (None, "new"), 5: (None, "new"), 6: ("Anna Lee", "exact"), 7: ("Konstantin Orlov", "fuzzy"), 8: (None, "new")}

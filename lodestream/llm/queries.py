@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import chat, decontam, jaccard, lines, mixing, quality, rules, secrets, suffixes, tokens
+from lodestream.llm import chat, decontam, infill, jaccard, lines, mixing, quality, repeated_lines, rules, secrets, suffixes, tokens, whitening
 from lodestream.llm.common import read_table
 
 
@@ -47,5 +47,17 @@ def op10_decontamination(spark, sf_dir):
     return decontam.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_line_dedup, op4_quality_classifier, op5_tool_call_chats, op6_token_counts, op7_source_mixing, op8_jaccard_join, op9_quality_rules, op10_decontamination)}
-ORACLE_SQL = {"op5_tool_call_chats": chat.REPLY_SQL, "op3_line_dedup": lines.LINES_SQL}
+def op11_line_dedup(spark, sf_dir):
+    return repeated_lines.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return infill.digest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_line_dedup, op4_quality_classifier, op5_tool_call_chats, op6_token_counts, op7_source_mixing, op8_jaccard_join, op9_quality_rules, op10_decontamination, op11_line_dedup, op12_embedding_whitening, op13_fill_in_middle)}
+ORACLE_SQL = {"op5_tool_call_chats": chat.REPLY_SQL, "op3_line_dedup": lines.LINES_SQL, "op11_line_dedup": repeated_lines.COMMON_LINES_SQL, "op13_fill_in_middle": infill.INFILL_SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators.ranking import top_k
+from lodestream.operators.storage import ship
 
 #: Bytes of query vectors that are sent to the executors at once; more queries go in further blocks.
 BLOCK_BYTES = 64 << 20
@@ -23,12 +24,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot / norm)
 
 
-def _rows(column: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """The rows of a list column of one length, as doubles, from its buffer of values."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows of no length stay."""
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
@@ -40,15 +43,16 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
     rows whatever the size of the corpus. Rows without a vector are never found.
     """
     found = None
+    ship(corpus.sparkSession)
     wanted = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id")
     size = wanted.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     for b in range(blocks):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.collect()
-        if not rows:
+        rows = part.toArrow()
+        if not rows.num_rows:
             continue
-        ids, matrix = [r.query_id for r in rows], _unit(np.array([r.vector for r in rows], dtype=np.float64))
+        ids, matrix = rows.column("query_id").to_pylist(), unit(matrix_of(rows.column("vector")))
 
         def best(batches, ids=ids, matrix=matrix):
             kept = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
@@ -56,7 +60,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
                 if not len(batch):
                     continue
                 own = batch.column("id").to_numpy()
-                rows = _unit(_rows(batch.column("vector"))).T
+                rows = unit(matrix_of(batch.column("vector"))).T
                 for q in range(len(ids)):
                     if q % QUERIES_AT_ONCE == 0:
                         score = np.round(matrix[q : q + QUERIES_AT_ONCE] @ rows, 9)

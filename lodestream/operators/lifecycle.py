@@ -13,17 +13,17 @@ LINKED, DUPLICATE, STALE_DAYS, RULE_CONFIDENCE, ACT_ON = 0.6, 0.85, 30, 0.55, 0.
 CURATED = "auto_curated"
 
 
-def link(records: DataFrame, hits: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(records with evidence_count, LINKED_TO edges) from similarity hits (query_id, id, score)."""
-    near = ranked(hits.where((F.col("score") >= LINKED) & (F.col("query_id") != F.col("id"))), ["query_id"], "score", "id").where(F.col("rank") <= most)
+def link(records: DataFrame, hits: DataFrame, most: int = 20, least: float = LINKED) -> tuple[DataFrame, DataFrame]:
+    """(records with evidence_count, LINKED_TO edges) from similarity hits (query_id, id, score) of a score of least or more."""
+    near = ranked(hits.where((F.col("score") >= least) & (F.col("query_id") != F.col("id"))), ["query_id"], "score", "id").where(F.col("rank") <= most)
     counted = near.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
     out = records.drop("evidence_count").join(counted, "id", "left").withColumn("evidence_count", F.coalesce("n", F.lit(0))).drop("n")
     return out, near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.lit("LINKED_TO").alias("type"))
 
 
-def reconcile(hits: DataFrame) -> DataFrame:
-    """(a, b, score) of the best duplicate of each record, each undirected pair once."""
-    best = ranked(hits.where((F.col("score") >= DUPLICATE) & (F.col("query_id") != F.col("id"))), ["query_id"], "score", "id").where("rank = 1")
+def reconcile(hits: DataFrame, least: float = DUPLICATE) -> DataFrame:
+    """(a, b, score) of the best duplicate of each record, of a score of least or more, each undirected pair once."""
+    best = ranked(hits.where((F.col("score") >= least) & (F.col("query_id") != F.col("id"))), ["query_id"], "score", "id").where("rank = 1")
     return best.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("score"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestream.operators import analytics, lifecycle, memory
+from lodestream.operators import analytics, lifecycle, memory, vector_index
 from lodestream.plans.registry import query, table
-from lodestream.plans.retrieval_plans import DENSE_SQL, dense_hits, every_hit, vectors
+from lodestream.plans.retrieval_plans import DENSE_SQL, dense_hits, vectors
 
 NOW = "2024-02-01"
 # Events stand for memory records; their columns follow from the event id, in words that both dialects have.
@@ -299,21 +299,31 @@ def e10(spark, sf_dir):
 EVERY_SQL = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), dn AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM e a, e b)"
 
 
-@query("f1_linker", f"""WITH {EVERY_SQL}, n AS (SELECT query_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn WHERE score >= 0.1 AND query_id <> id) WHERE r <= 20 GROUP BY query_id)
+# Cosines of the given vectors are below the thresholds of records, which texts' embeddings reach: links and duplicates from these on.
+_LINKED, _DUPLICATE = 0.1, 0.25
+
+
+@query("f1_linker", f"""WITH {EVERY_SQL}, n AS (SELECT query_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn WHERE score >= {_LINKED} AND query_id <> id) WHERE r <= 20 GROUP BY query_id)
 SELECT e.id, coalesce(n, 0) AS evidence_count FROM e LEFT JOIN n ON n.query_id = e.id""")
 def f1(spark, sf_dir):
-    """Every record is searched for, so an evidence count of 0 means that nothing is near."""
-    hits = every_hit(spark, sf_dir, 21).withColumn("score", F.col("score") + 0.5)
-    out, _ = lifecycle.link(vectors(spark, sf_dir).select("id"), hits)
+    """Every record is searched for, so an evidence count of 0 means that nothing is near. A large table is searched by an index."""
+    v = vectors(spark, sf_dir)
+    out, _ = lifecycle.link(v.select("id"), vector_index.neighbours(v, 20, _LINKED), least=_LINKED)
     return out.select("id", "evidence_count")
 
 
 @query("f2_j13_reconciler", f"""WITH {EVERY_SQL}, b AS (SELECT query_id, arg_max(id, (score, -id)) AS id, max(score) AS score FROM dn WHERE query_id <> id GROUP BY query_id)
-SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score) + 0.6, 6) AS score FROM b WHERE score + 0.6 >= 0.85 GROUP BY ALL""")
+SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score), 6) AS score FROM b WHERE score >= {_DUPLICATE} GROUP BY ALL""")
 def f2(spark, sf_dir):
     """The best duplicate of every record."""
-    hits = every_hit(spark, sf_dir, 11).withColumn("score", F.col("score") + 0.6)
-    return lifecycle.reconcile(hits).withColumn("score", F.round("score", 6))
+    hits = vector_index.neighbours(vectors(spark, sf_dir), 10, _DUPLICATE)
+    return lifecycle.reconcile(hits, _DUPLICATE).withColumn("score", F.round("score", 6))
+
+
+@query("j12_index_neighbours")
+def j12_index(spark, sf_dir):
+    """The 20 nearest of every vector by the index, whatever the table's size; tests measure its recall against the exact search."""
+    return vector_index.neighbours(vectors(spark, sf_dir), 20, exact_rows=0).withColumn("score", F.round("score", 6))
 
 
 @mem("f3_monitor", """

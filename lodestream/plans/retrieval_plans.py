@@ -43,12 +43,6 @@ def dense_hits(spark, sf_dir, k):
     return dense.search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), k)
 
 
-def every_hit(spark, sf_dir, k):
-    """The k nearest of every vector."""
-    v = vectors(spark, sf_dir).select("id", "vector")
-    return dense.search(v.withColumnRenamed("id", "query_id"), v, k)
-
-
 def hybrid_lists(spark, sf_dir, k=30):
     """Both legs over all their rows: documents without a vector and vectors without a document too."""
     docs = table(spark, sf_dir, "documents")

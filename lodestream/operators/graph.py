@@ -158,12 +158,3 @@ def entity_spread(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     per = docs.join(n, docs["id"] == n["src"], "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     return per.agg(F.min("n").alias("least"), F.avg("n").alias("mean"), F.max("n").alias("most"))
 
-
-def mentions_in_text(texts: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
-    """(id, name) of names (name) whose words stand in texts (id, text) in a row, without case; an equi-join of word runs."""
-    from lodestream.functions.text import words
-
-    w = texts.select("id", words(F.lower("text")).alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))))
-    found = w.select("id", F.explode(F.array_distinct(runs)).alias("key"))
-    return found.join(names.select("name", F.lower("name").alias("key")), "key").select("id", "name")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream.operators import graph, issues
+from lodestream.operators import mentions as mentions_
 from lodestream.plans.registry import query, table
 
 GRAPH_SQL = """m AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst, 'MENTIONS' AS type, count(*) AS weight, min(o_orderdate) AS valid_from FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
@@ -108,13 +109,58 @@ def j16(spark, sf_dir):
     return graph.bridges(seeds(spark, sf_dir), mentions(spark, sf_dir))
 
 
-@query("j20_mentions_in_text", "SELECT DISTINCT item_id AS id, lower(d.name) AS name FROM benchmark b JOIN (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: length(w) > 8)) AS name FROM documents WHERE lang = 'en') d ON list_contains(regexp_split_to_array(lower(b.text), '[ \\t\\n\\r\\f\\x0B]+'), lower(d.name))")
-def j20(spark, sf_dir):
+# Entities of the given texts: the words of six characters or more and the pairs of words next to each other of all benchmark items.
+NAMES_SQL = r"""items AS (SELECT list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '') AS w FROM benchmark),
+spelled AS (SELECT unnest(list_concat(list_filter(w, lambda x: length(x) >= 6), list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS name FROM items),
+names AS (SELECT lower(name) AS key, min(name) AS name FROM spelled GROUP BY ALL)"""
+
+
+def entity_names(spark, sf_dir):
     from lodestream.functions.text import words
 
-    names = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(words(F.col("text"))).alias("name")).where("length(name) > 8").select(F.lower("name").alias("name")).distinct()
-    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return graph.mentions_in_text(texts, names, 1).distinct()
+    w = table(spark, sf_dir, "benchmark").select(words(F.col("text")).alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    return w.select(F.explode(F.concat(F.filter("w", lambda x: F.length(x) >= 6), pairs)).alias("name")).distinct()
+
+
+@query("j20_mentions_in_text", f"WITH {NAMES_SQL} SELECT doc_id AS id, name FROM documents JOIN names ON contains(lower(text), key)")
+def j20(spark, sf_dir):
+    """Entities wherever they stand in all documents: with blanks, inside words, overlapping."""
+    return mentions_.mentions(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), entity_names(spark, sf_dir))
+
+
+# Documents are the records, their sources the agents; a record is relevant for an entity by the share of its text that the name is.
+ABOUT_SQL = f"{NAMES_SQL}, about AS (SELECT doc_id AS id, source AS agent, text AS content, name, length(name)::DOUBLE / length(text) AS relevance FROM documents JOIN names ON contains(lower(text), key))"
+
+
+def about(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("agent"), F.col("text").alias("content"))
+    met = mentions_.mentions(docs.select("id", F.col("content").alias("text")), entity_names(spark, sf_dir))
+    edges = met.join(docs.select("id", F.length("content").alias("length")), "id").select("id", "name", (F.length("name").cast("double") / F.col("length")).alias("relevance"))
+    return edges, docs
+
+
+@query("j22_memories_about_entities", f"WITH {ABOUT_SQL} SELECT agent, name, id, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY agent, name ORDER BY relevance DESC, id) AS r FROM about) WHERE r <= 50")
+def j22(spark, sf_dir):
+    """Each agent's 50 most relevant memories about every entity."""
+    return mentions_.memories_about(*about(spark, sf_dir))
+
+
+@query("q20_tool_enrichment", rf"""WITH {ABOUT_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent, name ORDER BY relevance DESC, id) AS r FROM about) WHERE r <= 3),
+results AS (SELECT conv_id * 1000 + turn AS id, 'src' || conv_id % 20 AS agent, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS existing, role FROM conversations),
+met AS (SELECT id, agent, existing, name, row_number() OVER (PARTITION BY id ORDER BY name) AS place, count(*) OVER (PARTITION BY id) AS n_entities FROM results JOIN names ON contains(lower(text), key) WHERE role = 'assistant'),
+lists AS (SELECT met.id, existing, n_entities, list(struct_pack(n := 1, text := content) ORDER BY place, r) AS lines FROM met JOIN best USING (agent, name) WHERE place <= 5 GROUP BY ALL),
+folded AS (SELECT id, n_entities, list_reduce(lines, lambda a, c: CASE WHEN c.text <> '' AND NOT contains(existing, c.text) AND NOT contains(a.text, c.text)
+  THEN struct_pack(n := a.n + 1, text := a.text || CASE WHEN a.n > 0 THEN chr(10) ELSE '' END || '- ' || c.text) ELSE a END, struct_pack(n := 0, text := '')) AS added FROM lists)
+SELECT id, n_entities, added.n AS n_memories, length(added.text) // 4 AS n_tokens, md5(added.text) AS digest FROM folded WHERE added.n > 0""")
+def q20(spark, sf_dir):
+    """What memories add to every assistant's turn, taken as a tool result; the turn before it is what the context has already."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations").withColumn("existing", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'")
+    results = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("src"), F.col("conv_id") % 20).alias("agent"), "text", "existing")
+    out = mentions_.enrich(results, entity_names(spark, sf_dir), *about(spark, sf_dir))
+    return out.select("id", "n_entities", "n_memories", "n_tokens", F.md5("added").alias("digest"))
 
 
 _STEP = "SELECT query_id, id, sum(part) AS score FROM (SELECT s.query_id, st.dst AS id, 0.85 * s.score * st.share AS part FROM {s} s JOIN st ON st.src = s.id UNION ALL SELECT query_id, id, home * 0.15 FROM home) GROUP BY ALL"

@@ -393,18 +393,6 @@ def q17(spark, sf_dir):
     return c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey")
 
 
-@query("q20_tool_enrichment", f"""WITH {MEM_SQL}, hit AS (SELECT DISTINCT conv_id, turn, m.source_type, m.content, m.id FROM conversations c JOIN mem m ON (c.conv_id + c.turn) % 500 = m.id % 500 AND m.status = 'active'),
-one AS (SELECT conv_id, turn, content, min(id) AS id FROM hit GROUP BY ALL) SELECT conv_id, turn, id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY id) AS r FROM one) WHERE r <= 5""")
-def q20(spark, sf_dir):
-    """Memories about what a tool result mentions: contents once, a few for each result."""
-    from lodestream.operators.ranking import first_by, ranked
-
-    m = records(spark, sf_dir).where("status = 'active'").select("id", "content", (F.col("id") % 500).alias("topic"))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % 500).alias("topic"))
-    one = first_by(c.join(m, "topic").select("conv_id", "turn", "content", "id"), ["conv_id", "turn", "content"], [F.col("id")])
-    return ranked(one.withColumn("zero", F.lit(0)), ["conv_id", "turn"], "zero", "id").where("rank <= 5").select("conv_id", "turn", "id")
-
-
 @query("q22_trace_summaries", "SELECT user_id, event_type, count(*) AS n, round(max(value), 6) AS top_score FROM events GROUP BY ALL")
 def q22(spark, sf_dir):
     """Candidates of each phase of a trace and their best score; to_json(struct(...)) makes the trace itself."""

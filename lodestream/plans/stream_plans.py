@@ -10,6 +10,7 @@ from lodestream.operators.storage import shared_dir
 from lodestream.plans.registry import query, table
 from lodestream.sources import connectors
 from lodestream.streaming import events as E
+from lodestream.streaming import session_cache
 
 
 def _folder(spark) -> str:
@@ -57,17 +58,41 @@ def x8(spark, sf_dir):
     return E.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-@query("x4_session_cache", """
+_CACHE_SQL = """
 WITH RECURSIVE r AS (SELECT user_id, event_type, max(ts) AS cached_at FROM events WHERE event_type <> 'view' GROUP BY ALL), x AS (SELECT user_id, ts FROM events WHERE event_type = 'view'),
 live(user_id, event_type, cached_at, expires, after) AS (SELECT user_id, event_type, cached_at, cached_at + INTERVAL 12 HOUR, cached_at FROM r
 UNION ALL SELECT l.user_id, event_type, cached_at, x.ts + INTERVAL 12 HOUR, x.ts FROM live l, LATERAL (SELECT min(ts) AS ts FROM x WHERE x.user_id = l.user_id AND x.ts > l.after AND x.ts < l.expires) x WHERE x.ts IS NOT NULL)
-SELECT user_id AS session, event_type AS record, cached_at, max(expires) AS expires FROM live GROUP BY ALL""")
+SELECT user_id AS session, event_type AS record, cached_at, max(expires) AS expires FROM live GROUP BY ALL"""
+
+
+@query("x4_session_cache", _CACHE_SQL)
 def x4(spark, sf_dir):
     """Users as sessions and types of events as records; views extend what their user has cached."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("record"), F.col("ts").cast("timestamp").alias("at"))
     return E.cached_records(e.where("record <> 'view'"), e.where("record = 'view'").select("session", "at"), "12 hours")
 
 
+@query("x4_session_cache_stream", _CACHE_SQL)
+def x4_stream(spark, sf_dir):
+    """The same cache as streaming state: the log comes in three parts, each by a query that starts from the state where the one before stopped."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.when(F.col("event_type") == "view", "extend").otherwise("cache").alias("op"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("record"), F.col("ts").cast("timestamp").alias("at"), F.lit(43_200).cast("long").alias("ttl_seconds"))
+    span = e.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    path, out, state = _folder(spark), _folder(spark), _folder(spark)
+    if span.low is None:
+        return e.limit(0).select("session", "record", F.col("at").alias("cached_at"), F.col("at").alias("expires"))
+    own = spark.newSession()
+    for k, v in {**session_cache.STATE_STORE, "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4"}.items():
+        own.conf.set(k, v)
+    third = (F.unix_micros("at") - F.unix_micros(F.lit(span.low))) * 3 / (F.unix_micros(F.lit(span.high)) - F.unix_micros(F.lit(span.low)) + 1)
+    for part in range(3):
+        e.where(F.floor(third) == part).write.mode("append").parquet(path)
+        if part == 2:  # a last row, of no user, lets the watermark pass all others
+            spark.range(1).select(F.lit(-1).cast("long").alias("session"), F.lit("extend").alias("op"), F.lit(None).cast("string").alias("record"), (F.lit(span.high) + F.expr("interval 30 days")).alias("at"), F.lit(0).cast("long").alias("ttl_seconds")).write.mode("append").parquet(path)
+        log = own.readStream.schema(session_cache.LOG_SCHEMA).parquet(path)
+        session_cache.write_changes(session_cache.cache_changes(log), out, state).awaitTermination()
+    return session_cache.latest(spark.read.schema(session_cache.OUT_SCHEMA).parquet(out))
+
+
 @query("x6_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def x6(spark, sf_dir):
     return E.windows(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour").withColumn("value", F.round("value", 4))

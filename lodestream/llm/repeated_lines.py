@@ -6,8 +6,8 @@ lose all their lines but those of the largest doc_id that has them. The other li
 joined by line feeds again.
 
 Keys travel as 128-bit hashes. A key's documents are made distinct first, dealt out by key and document, and
-then counted by partial sums, so a line of a third of all documents meets no one task; the join that
-finds the lines to drop is an inner join, whose large keys adaptive execution splits. Documents get the
+then counted by partial sums, so a line of a third of all documents meets no one task. Keys of many documents are
+looked up by broadcast, of which there can only be so many, the others by a join. Documents get the
 positions of what they lose, and each is put together in its own row.
 
 Defined results: a null or empty text is one empty line; rows alike in doc_id and text have equal
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import discard, written
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
+#: Keys that stand in this share of all lines or more, so 4,096 at most, are looked up by broadcast.
+HOT_SHARE = 1 / 4096
 # What is stripped from lines, and the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,10 +61,13 @@ def common_keys(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFra
 def _cut(documents: DataFrame, min_chars: int, min_documents: int) -> DataFrame:
     """row (a struct of the documents' columns), parts (its lines) and kept (the positions that stay; null: all)."""
     lines = written(keyed_lines(documents, min_chars))
-    common = common_keys(lines, min_documents)
-    gone = lines.join(common.select("hi", "lo", "last"), ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
-    gone = written(gone.groupBy("doc_id", "own").agg(F.collect_set("at").alias("gone")))
-    discard(lines)
+    common = written(common_keys(lines, min_documents))
+    many = F.col("n_documents") >= max(1000.0, lines.count() * HOT_SHARE)
+    hot, rest = (common.where(c).select("hi", "lo", "last") for c in (many, ~many))
+    found = lines.join(F.broadcast(hot), ["hi", "lo"]).unionByName(lines.join(F.broadcast(hot), ["hi", "lo"], "left_anti").join(rest, ["hi", "lo"]))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id", "own").agg(F.collect_set("at").alias("gone"))
+    gone = written(gone)
+    discard(lines, common)
     rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("id"), _own(F.col("text")).alias("own"))
     met = rows.join(gone.withColumnsRenamed({"doc_id": "gone_id", "own": "gone_own"}), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("own") == F.col("gone_own")), "left")
     met = met.select("row", _parts(F.col("row")["text"]).alias("parts"), "gone")

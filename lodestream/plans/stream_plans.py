@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestream.operators.storage import shared_dir
+from lodestream.operators.storage import shared_dir, written
 from lodestream.plans.registry import query, table
-from lodestream.sources import connectors
+from lodestream.sources import connectors, datasource
 from lodestream.streaming import events as E
 from lodestream.streaming import session_cache
 
@@ -104,11 +104,114 @@ def s10(spark, sf_dir):
     return connectors.read("gdrive", raw).select("source_type", "source_id", "title", F.md5("content").alias("digest"))
 
 
-@query("s6_jira_issues", "SELECT 'ORD-' || o_orderkey AS source_id, 'ORD-' || o_orderkey || ': ' || o_orderpriority AS title FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01'")
+# Documents as issues: each line is a paragraph, every third line an item of a list of lists; a comment for each word of the language, and twelve changes.
+_ISSUE_SQL = r"""
+lined AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+described AS (SELECT doc_id, trim(array_to_string(list_transform(l, lambda x, i: CASE WHEN i % 3 = 0 THEN CASE WHEN x = '' THEN chr(10) ELSE x || chr(10) END || chr(10) || chr(10) WHEN x = '' THEN chr(10) ELSE x || chr(10) END), ''), ' ' || chr(9) || chr(10) || chr(13)) AS d FROM lined)
+SELECT 'DOC-' || doc_id AS source_id, '[DOC-' || doc_id || '] ' || source AS title,
+  md5('# [DOC-' || doc_id || '] ' || source || chr(10) || chr(10) || '**Status:** ' || lang || chr(10) || '**Reporter:** ' || source || chr(10) || '**Updated:** 2024-01-0' || (doc_id % 9 + 1) || 'T00:00:00' || chr(10) || chr(10)
+  || CASE WHEN d <> '' THEN '## Description' || chr(10) || chr(10) || d || chr(10) || chr(10) ELSE '' END
+  || '## Comments' || chr(10) || chr(10) || '**' || lang || '** (2024):' || chr(10) || 'about ' || chr(10) || source || chr(10) || chr(10)
+  || '## Changelog' || chr(10) || chr(10) || array_to_string(list_transform(generate_series(3, 12), lambda k: '- 2024: ' || source || ' changed **n**: ' || (k - 1) || ' → ' || k), chr(10)) || chr(10)) AS digest
+FROM documents JOIN described USING (doc_id) WHERE doc_id % 9 >= 4"""
+
+
+def _issues(spark, sf_dir):
+    """Raw issues, as JSON objects."""
+    node = lambda kind, *content: F.struct(F.lit(kind).alias("type"), F.array(*content).alias("content"))
+    text = lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"), F.array(F.struct(F.lit("strong").alias("type"))).alias("marks"))
+    paragraph = lambda x: F.to_json(node("paragraph", text(x)))
+    wrapped = lambda inner, kind: F.concat(F.lit(f'{{"type":"{kind}","content":['), inner, F.lit("]}"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 3 == 0, wrapped(wrapped(paragraph(x), "listItem"), "bulletList")).otherwise(paragraph(x)))
+    docs = table(spark, sf_dir, "documents").withColumn("body", wrapped(F.array_join(lines, ","), "doc"))
+    comment = F.to_json(F.struct(F.struct(F.col("lang").alias("displayName")).alias("author"), F.lit("2024").alias("created"), node("doc", node("paragraph", text(F.lit("about ")), text(F.col("source")))).alias("body")))
+    change = lambda k: F.struct(F.struct(F.col("source").alias("displayName")).alias("author"), F.lit("2024").alias("created"), F.array(F.struct(F.lit("n").alias("field"), (k - 1).cast("string").alias("fromString"), k.cast("string").alias("toString"))).alias("items"))
+    changes = F.to_json(F.transform(F.sequence(F.lit(1), F.lit(12)), change))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    updated = F.concat(F.lit("2024-01-0"), F.col("doc_id") % 9 + 1, F.lit("T00:00:00"))
+    value = F.concat(
+        F.lit('{"key":"DOC-'), "doc_id", F.lit('","fields":{"summary":'), quoted(F.col("source")), F.lit(',"status":{"name":'), quoted(F.col("lang")), F.lit('},"reporter":{"displayName":'), quoted(F.col("source")),
+        F.lit('},"updated":'), quoted(updated), F.lit(',"comment":{"comments":['), comment, F.lit(']},"description":'), "body", F.lit('},"changelog":{"histories":'), changes, F.lit("}}"),
+    )
+    return docs.select(value.alias("value"))
+
+
+@query("s6_jira_issues", "WITH " + _ISSUE_SQL.strip())
 def s6(spark, sf_dir):
-    fields = F.struct(F.col("o_orderpriority").alias("summary"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("updated"), F.struct(F.col("o_orderstatus").alias("name")).alias("status"))
-    raw = table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.concat(F.lit("ORD-"), "o_orderkey").alias("key"), fields.alias("fields"))).alias("value"))
-    return connectors.read("jira", raw, F.lit("1998-01-01").cast("timestamp")).select("source_id", "title")
+    """All documents as issues with rich text; those changed after a day."""
+    got = connectors.read("jira", _issues(spark, sf_dir), F.lit("2024-01-04").cast("timestamp"))
+    return got.select("source_id", "title", F.md5("content").alias("digest"))
+
+
+@query("s8_notion_pages", r"""
+WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id::VARCHAR AS source_id, md5(array_to_string(list_transform(l, lambda x, i: CASE i % 4 WHEN 0 THEN '1. ' || x WHEN 1 THEN x || chr(10) || chr(10) || '- ' || x || chr(10) || chr(10) || '- [x] ' || x WHEN 2 THEN '```sql' || chr(10) || x || chr(10) || '```' ELSE '| ' || x || ' | ' || x || ' |' END), chr(10) || chr(10))) AS digest FROM l""")
+def s8(spark, sf_dir):
+    """All documents as pages of nested blocks: paragraphs with an item that has a task inside, code, numbered items, rows of tables."""
+    rich = lambda x: F.array(F.struct(x.alias("plain_text")))
+    text = lambda x: F.struct(rich(x).alias("rich_text"))
+    task = lambda x: F.struct(F.lit("to_do").alias("type"), F.struct(rich(x).alias("rich_text"), F.lit(True).alias("checked")).alias("to_do"))
+    item = lambda x: F.struct(F.lit("bulleted_list_item").alias("type"), text(x).alias("bulleted_list_item"), F.array(task(x)).alias("children"))
+    blocks = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x, i: F.when((i + 1) % 4 == 0, F.to_json(F.struct(F.lit("numbered_list_item").alias("type"), text(x).alias("numbered_list_item"))))
+        .when((i + 1) % 4 == 1, F.to_json(F.struct(F.lit("paragraph").alias("type"), text(x).alias("paragraph"), F.array(item(x)).alias("children"))))
+        .when((i + 1) % 4 == 2, F.to_json(F.struct(F.lit("code").alias("type"), F.struct(rich(x).alias("rich_text"), F.lit("sql").alias("language")).alias("code"))))
+        .otherwise(F.to_json(F.struct(F.lit("table_row").alias("type"), F.struct(F.array(rich(x), rich(x)).alias("cells")).alias("table_row")))))
+    raw = table(spark, sf_dir, "documents").select(F.concat(F.lit('{"id":"'), "doc_id", F.lit('","blocks":['), F.array_join(blocks, ","), F.lit("]}")).alias("value"))
+    return connectors.read("notion", raw).select("source_id", F.md5("content").alias("digest"))
+
+
+# Raw objects of each connector, made of the given tables: a name, the objects' columns, and the SQL of (source_type, source_id, title, updated_at).
+_PAGES = {
+    "confluence": ("pages", "page_id", """SELECT 'confluence' AS source_type, page_id::VARCHAR AS source_id, 'Page ' || page_id AS title, TIMESTAMP '2024-01-01' + to_days((page_id % 28)::INT) AS updated_at FROM pages"""),
+    "notion": ("documents", "doc_id", """SELECT 'notion', doc_id::VARCHAR, source, TIMESTAMP '2024-01-01' + to_days((doc_id % 28)::INT) FROM documents"""),
+    "github": ("orders", "o_orderkey", """SELECT 'github', 'shop#' || CASE o_orderstatus WHEN 'F' THEN 'pr' WHEN 'O' THEN 'issue' ELSE 'release' END || '/' || o_orderkey, o_orderpriority, TIMESTAMP '2024-01-01' + to_days((o_orderkey % 28)::INT) FROM orders"""),
+    "gdrive": ("part", "p_partkey", """SELECT 'gdrive', p_partkey::VARCHAR, p_name, TIMESTAMP '2024-01-01' + to_days((p_partkey % 28)::INT) FROM part"""),
+    "jira": ("customer", "c_custkey", """SELECT 'jira', 'C-' || c_custkey, '[C-' || c_custkey || '] ' || c_name, TIMESTAMP '2024-01-01' + to_days((c_custkey % 28)::INT) FROM customer"""),
+}
+
+
+def _objects(spark, sf_dir, kind):
+    """(id, value): raw objects of a connector."""
+    name, key, _ = _PAGES[kind]
+    at = F.date_format(F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=(F.col(key) % 28).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    one = lambda c, alias: F.struct(c.alias(alias))
+    id_ = F.col(key).cast("string")
+    fields = {
+        "confluence": lambda: [id_.alias("id"), F.concat(F.lit("Page "), id_).alias("title"), one(one(F.col("html"), "value"), "storage").alias("body"), one(at, "when").alias("version")],
+        "notion": lambda: [id_.alias("id"), F.col("source").alias("title"), at.alias("last_edited_time")],
+        "github": lambda: [F.lit("shop").alias("repository"), F.when(F.col("o_orderstatus") == "P", id_).alias("tag_name"), F.when(F.col("o_orderstatus") != "P", F.col(key)).alias("number"), F.when(F.col("o_orderstatus") == "F", at).alias("merged_at"), F.col("o_orderpriority").alias("title"), at.alias("updated_at")],
+        "gdrive": lambda: [id_.alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("text"), at.alias("modifiedTime")],
+        "jira": lambda: [F.concat(F.lit("C-"), id_).alias("key"), F.struct(F.col("c_name").alias("summary"), at.alias("updated")).alias("fields")],
+    }[kind]()
+    return table(spark, sf_dir, name).select(F.col(key).alias("id"), F.to_json(F.struct(*fields)).alias("value"))
+
+
+@query("s1_s2_connector_batches", "SELECT * FROM (" + " UNION ALL ".join(sql for _, _, sql in _PAGES.values()) + ") WHERE updated_at > TIMESTAMP '2024-01-10'")
+def s2(spark, sf_dir):
+    """Every connector through the data source: what has changed after a day, which the reader itself leaves out."""
+    out = None
+    for kind in _PAGES:
+        path = _folder(spark)
+        _objects(spark, sf_dir, kind).select("value").write.text(path)
+        docs, _ = datasource.sync(spark, kind, {"path": path}, since="2024-01-10 00:00:00")
+        docs = written(docs.select("source_type", "source_id", "title", "updated_at"))
+        out = docs if out is None else out.unionByName(docs)
+    return out
+
+
+@query("s3_connector_streams", " UNION ALL ".join(sql for _, _, sql in _PAGES.values()))
+def s3(spark, sf_dir):
+    """Every connector as a stream that is resumed: half of the objects come, the stream stops, the others come, and it goes on from its cursor."""
+    out = None
+    for kind in _PAGES:
+        path, docs, state = _folder(spark), _folder(spark), _folder(spark)
+        raw = _objects(spark, sf_dir, kind)
+        for half in (0, 1):
+            raw.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half).select("value").write.text(f"{path}/{half}")
+            datasource.follow(spark, kind, {"path": path}, docs, state).awaitTermination()
+        found = spark.read.parquet(docs).select("source_type", "source_id", "title", "updated_at")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("w16_w19_exported_lines", "SELECT doc_id, md5(text) AS digest FROM documents WHERE lang = 'en'")

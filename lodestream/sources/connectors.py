@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import html_text
+from lodestream.sources import richtext
 
 COLUMNS = ["source_type", "source_id", "title", "content", "url", "author", "updated_at"]
 _REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -53,24 +54,52 @@ def _field(label: str, value: Column) -> Column:
     return F.when(F.length(value) > 0, F.concat(F.lit(f"**{label}:** "), value))
 
 
-def _flat_text(path: str) -> Column:
-    """Text nodes of a nested rich-text object, in order, or the string if it is one."""
-    raw = _j(path)
-    texts = F.regexp_extract_all(raw, F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    plain = F.regexp_replace(F.regexp_replace(F.array_join(texts, "\n"), r'\\"', '"'), r"\\n", "\n")
-    return F.when(raw.startswith("{"), plain).otherwise(raw)
-
-
 def _document(kind: str, id_: Column, title: Column, content: Column, url: Column, author: Column, updated: Column):
     values = (F.lit(kind), id_, title, content, url, author, updated)
     return [v.alias(n) for v, n in zip(values, COLUMNS)]
 
 
+# Fixed value: how many of an issue's last changes are told.
+CHANGES = 10
+
+
+def _with_key(raw: DataFrame) -> DataFrame:
+    """raw with a key of each object and the object as a VARIANT; what is no JSON has none."""
+    return raw.withColumn("key_", F.md5("value")).withColumn("v_", F.try_parse_json("value"))
+
+
+def _or(v: Column, path: str, default: str) -> Column:
+    return F.coalesce(richtext.text_at(v, path), F.lit(default))
+
+
 @register("jira")
 def jira(raw: DataFrame) -> DataFrame:
-    head = _lines(_field("Status", _j("$.fields.status.name")), _field("Priority", _j("$.fields.priority.name")), _field("Assignee", _j("$.fields.assignee.displayName")), _field("Reporter", _j("$.fields.reporter.displayName")))
-    title = F.concat_ws(": ", _j("$.key"), _j("$.fields.summary"))
-    return raw.select(*_document("jira", _j("$.key"), title, _lines(F.concat(F.lit("# "), title), head, _flat_text("$.fields.description")), _j("$.self"), _j("$.fields.reporter.displayName"), _time("$.fields.updated")))
+    """Issues as Markdown: fields, description, comments and the last changes; rich text of any depth becomes plain text."""
+    own = _with_key(raw)
+    at = richtext.text_at
+    v, f = F.col("v_"), "$.fields"
+    comments = F.coalesce(richtext.children_at(v, f"{f}.comment.comments"), F.array().cast("array<variant>"))
+    trees = own.dropDuplicates(["key_"]).select("key_", F.posexplode(F.concat(F.array(F.try_variant_get(v, f"{f}.description", "variant")), F.transform(comments, lambda c: F.try_variant_get(c, "$.body", "variant")))).alias("part", "node"))
+    trees = trees.where(richtext.is_object(F.col("node")) | richtext.is_string(F.col("node"))).select(F.struct("key_", "part").alias("id"), "node")
+    texts = richtext.document_texts(trees).groupBy(F.col("id.key_").alias("key_")).agg(F.map_from_entries(F.collect_list(F.struct("id.part", "text"))).alias("texts"))
+    text = lambda n: F.coalesce(F.try_element_at("texts", n), F.lit(""))
+
+    title = F.concat(F.lit("["), _or(v, "$.key", ""), F.lit("] "), _or(v, f"{f}.summary", ""))
+    fields = [F.concat(F.lit("**Status:** "), _or(v, f"{f}.status.name", ""))]
+    for label, path in (("Type", "issuetype.name"), ("Priority", "priority.name"), ("Assignee", "assignee.displayName"), ("Reporter", "reporter.displayName"), ("Created", "created"), ("Updated", "updated")):
+        fields.append(_field(label, at(v, f"{f}.{path}")))
+    head = F.concat(F.array(F.concat(F.lit("# "), title), F.lit("")), F.filter(F.array(*fields), lambda x: x.isNotNull()), F.array(F.lit("")))
+    described = F.when(text(F.lit(0)) != "", F.array(F.lit("## Description"), F.lit(""), text(F.lit(0)), F.lit("")))
+    said = F.flatten(F.transform(comments, lambda c, i: F.array(F.concat(F.lit("**"), _or(c, "$.author.displayName", "Unknown"), F.lit("** ("), _or(c, "$.created", ""), F.lit("):")), text(i + 1), F.lit(""))))
+    discussed = F.when(F.size(comments) > 0, F.concat(F.array(F.lit("## Comments"), F.lit("")), said))
+    histories = F.coalesce(richtext.children_at(v, "$.changelog.histories"), F.array().cast("array<variant>"))
+    told = lambda h, i: F.concat(F.lit("- "), _or(h, "$.created", ""), F.lit(": "), _or(h, "$.author.displayName", "Unknown"), F.lit(" changed **"), _or(i, "$.field", ""), F.lit("**: "), _or(i, "$.fromString", ""), F.lit(" → "), _or(i, "$.toString", ""))
+    changes = F.flatten(F.transform(histories, lambda h: F.transform(F.coalesce(richtext.children_at(h, "$.items"), F.array().cast("array<variant>")), lambda i: told(h, i))))
+    last = F.when(F.size(changes) > CHANGES, F.slice(changes, -CHANGES, CHANGES)).otherwise(changes)
+    changed = F.when(F.size(changes) > 0, F.concat(F.array(F.lit("## Changelog"), F.lit("")), last, F.array(F.lit(""))))
+    none = F.array().cast("array<string>")
+    content = F.array_join(F.concat(head, F.coalesce(described, none), F.coalesce(discussed, none), F.coalesce(changed, none)), "\n")
+    return own.join(texts, "key_", "left").select(*_document("jira", at(v, "$.key"), title, content, at(v, "$.self"), at(v, f"{f}.reporter.displayName"), _time("$.fields.updated")))
 
 
 @register("confluence")
@@ -78,24 +107,18 @@ def confluence(raw: DataFrame) -> DataFrame:
     return raw.select(*_document("confluence", _j("$.id"), _j("$.title"), html_text(F.col("value")), _j("$._links.webui"), _j("$.version.by.displayName"), _time("$.version.when")))
 
 
-_BLOCKS = "array<struct<type:string,text:string,checked:boolean,language:string>>"
-
-
 @register("notion")
 def notion(raw: DataFrame) -> DataFrame:
-    """Pages with flat blocks (type, text, checked, language) as Markdown."""
-    marks = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "quote": "> "}
-
-    def line(b: Column) -> Column:
-        out = F.when(b["type"] == "divider", F.lit("---")).when(b["type"] == "code", F.concat(F.lit("```"), F.coalesce(b["language"], F.lit("")), F.lit("\n"), b["text"], F.lit("\n```")))
-        out = out.when(b["type"] == "to_do", F.concat(F.when(F.coalesce(b["checked"], F.lit(False)), "- [x] ").otherwise("- [ ] "), b["text"]))
-        for kind, mark in marks.items():
-            out = out.when(b["type"] == kind, F.concat(F.lit(mark), b["text"]))
-        return out.otherwise(b["text"])
-
-    blocks = F.coalesce(F.from_json(_j("$.blocks"), _BLOCKS), F.array().cast(_BLOCKS))
-    body = F.array_join(F.filter(F.transform(blocks, line), lambda x: x.isNotNull()), "\n\n")
-    return raw.select(*_document("notion", _j("$.id"), _j("$.title"), body, _j("$.url"), _j("$.last_edited_by.name"), _time("$.last_edited_time")))
+    """Pages with blocks (and their children, to any depth) as Markdown. The title is a property of type title, or title itself."""
+    own = _with_key(raw)
+    v = F.col("v_")
+    properties = F.map_values(F.try_variant_get(v, "$.properties", "map<string,variant>"))
+    named = F.get(F.filter(properties, lambda p: richtext.text_at(p, "$.type") == "title"), 0)
+    title = F.coalesce(richtext.text_at(v, "$.title"), F.array_join(F.transform(richtext.children_at(named, "$.title"), lambda t: _or(t, "$.plain_text", "")), ""), F.lit(""))
+    rows = own.withColumn("title_", title)
+    pages = rows.where("v_ is not null").dropDuplicates(["key_"]).select(F.col("key_").alias("id"), F.lit(None).cast("string").alias("title"), F.coalesce(richtext.children_at(v, "$.blocks"), F.array().cast("array<variant>")).alias("blocks"))
+    texts = richtext.page_texts(pages).withColumnRenamed("id", "key_")
+    return rows.join(texts, "key_", "left").select(*_document("notion", _j("$.id"), F.col("title_"), F.coalesce("text", F.lit("")), _j("$.url"), _j("$.last_edited_by.name"), _time("$.last_edited_time")))
 
 
 @register("github")

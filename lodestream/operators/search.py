@@ -13,13 +13,13 @@ from lodestream.operators.memory import not_gone
 from lodestream.operators.ranking import min_max, top_k
 
 Hook = Callable[[DataFrame], DataFrame]
-# Hits a channel may bring, and the size of the pool that is reranked.
-CHANNEL_LIMITS, POOL = {"dense": 30, "exact": 10, "metadata": 10, "graph": 5}, 35
+# Fixed value: the size of the pool that is reranked.
+POOL = 35
 
 
 def cap_channels(hits: DataFrame) -> DataFrame:
     """The best hits of each channel and query, as many as the channel may bring."""
-    most = F.coalesce(*[F.when(F.col("channel") == c, F.lit(n)) for c, n in CHANNEL_LIMITS.items()])
+    most = F.coalesce(*[F.when(F.col("channel") == c, F.lit(n)) for c, n in fusion.CHANNEL_LIMITS.items()])
     return top_k(hits, ["query_id", "channel"], "score", "id", None).where(F.col("rank") <= most).drop("rank")
 
 

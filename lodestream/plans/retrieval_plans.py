@@ -127,24 +127,24 @@ def n3(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(ranking.min_max(F.col("value"), ["user_id"]), 6).alias("scaled"))
 
 
-# Channels for scoring: dense hits; exact ones share label and parity; metadata ones the label; graph ones a neighbouring id.
+# Channels for scoring: dense hits; exact ones share label and parity; metadata ones the label; graph ones a neighbouring id. Each is cut to its limit.
 CHANNEL_SQL = f"""{DENSE_SQL}, dh AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn) WHERE r <= 30),
-hits AS (SELECT query_id, 'dense' AS channel, id, score FROM dh
+found AS (SELECT query_id, 'dense' AS channel, id, score FROM dh
   UNION ALL SELECT a.id, 'metadata', b.id, 0.5 FROM e a JOIN e b ON a.label = b.label WHERE a.id % 100 = 0
   UNION ALL SELECT a.id, 'exact', b.id, 1.0 FROM e a JOIN e b ON a.label = b.label AND a.id % 2 = b.id % 2 WHERE a.id % 100 = 0
   UNION ALL SELECT a.id, 'graph', b.id, 0.8 FROM e a JOIN e b ON b.id IN (a.id - 1, a.id + 1) WHERE a.id % 100 = 0),
+hits AS (SELECT query_id, channel, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS place FROM found) WHERE place <= CASE channel WHEN 'dense' THEN 30 WHEN 'graph' THEN 5 ELSE 10 END),
 merged AS (SELECT query_id, id, max(score) FILTER (channel = 'dense') AS dense, max(score) FILTER (channel = 'exact') AS exact, max(score) FILTER (channel = 'metadata') AS metadata,
   max(score) FILTER (channel = 'graph') AS graph, arg_min(channel, (-score, CASE channel WHEN 'dense' THEN 1 WHEN 'exact' THEN 2 WHEN 'metadata' THEN 3 ELSE 4 END)) AS best_channel FROM hits GROUP BY ALL)"""
 
 
 def channel_hits(spark, sf_dir):
-    """All four channels of every query against all rows: label, label and parity, neighbouring ids."""
-    v = vectors(spark, sf_dir).select("id", "label")
-    a = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label")
-    near = dense_hits(spark, sf_dir, 30).select("query_id", F.lit("dense").alias("channel"), "id", "score")
-    alike = a.join(v, "label")
-    meta = alike.select("query_id", F.lit("metadata").alias("channel"), "id", F.lit(0.5).alias("score"))
-    exact = alike.where("query_id % 2 = id % 2").select("query_id", F.lit("exact").alias("channel"), "id", F.lit(1.0).alias("score"))
+    """All four channels of every query over all rows, at most 55 hits a query: label, label and parity, neighbouring ids."""
+    v = vectors(spark, sf_dir).select("id", "label", (F.col("id") % 2).alias("parity"))
+    a = v.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    near = dense_hits(spark, sf_dir, fusion.CHANNEL_LIMITS["dense"]).select("query_id", F.lit("dense").alias("channel"), "id", "score")
+    meta = fusion.keyed_channel(a, v.withColumn("score", F.lit(0.5)), ["label"], "metadata")
+    exact = fusion.keyed_channel(a, v.withColumn("score", F.lit(1.0)), ["label", "parity"], "exact")
     beside = a.select("query_id", F.explode(F.array(F.col("query_id") - 1, F.col("query_id") + 1)).alias("id")).join(v.select("id"), "id", "left_semi")
     graph = beside.select("query_id", F.lit("graph").alias("channel"), "id", F.lit(0.8).alias("score"))
     return near.unionByName(meta).unionByName(exact).unionByName(graph)

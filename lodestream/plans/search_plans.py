@@ -18,7 +18,7 @@ def r5(spark, sf_dir):
 
 
 @query("r11_fast_search", f"""WITH {DENSE_SQL}, d AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn) WHERE r <= 30),
-m AS (SELECT a.id AS query_id, b.id, 0.5 AS score FROM e a JOIN e b ON a.label = b.label WHERE a.id % 100 = 0), f AS (SELECT query_id, id, coalesce(d.score, m.score) AS score FROM d FULL JOIN m USING (query_id, id))
+m AS (SELECT query_id, id, 0.5 AS score FROM (SELECT a.id AS query_id, b.id, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS place FROM e a JOIN e b ON a.label = b.label WHERE a.id % 100 = 0) WHERE place <= 10), f AS (SELECT query_id, id, coalesce(d.score, m.score) AS score FROM d FULL JOIN m USING (query_id, id))
 SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 20""")
 def r11(spark, sf_dir):
     meta = channel_hits(spark, sf_dir).where("channel = 'metadata'").select("query_id", "id", "score")

@@ -1,5 +1,6 @@
 """Channels and keyword legs over all rows."""
 
+from lodestream.operators import fusion
 from lodestream.plans import catalog, retrieval_plans, search_plans
 
 
@@ -8,7 +9,17 @@ def test_channels_see_all_rows(spark, sf):
     asked = [q for q in label if q % 100 == 0]
     got = {(r.query_id, r.id): r for r in catalog.QUERIES["r10_channel_merge"](spark, sf).collect()}
     for channel, fits in (("metadata", lambda q, i: label[q] == label[i]), ("exact", lambda q, i: label[q] == label[i] and q % 2 == i % 2), ("graph", lambda q, i: abs(q - i) == 1)):
-        assert {k for k, r in got.items() if r[channel] is not None} == {(q, i) for q in asked for i in label if fits(q, i)}
+        most = fusion.CHANNEL_LIMITS[channel]
+        assert {k for k, r in got.items() if r[channel] is not None} == {(q, i) for q in asked for i in sorted(i for i in label if fits(q, i))[:most]}
+
+
+def test_keys_are_cut_before_they_are_joined(spark):
+    """The best rows of each key, whatever their order and number; a key of no row has no hits; a hot key makes queries x limit rows."""
+    rows = [(k % 3, 900 - k, float(k % 7)) for k in range(900)]
+    queries = [(q, q % 5) for q in range(40)]
+    got = fusion.keyed_channel(spark.createDataFrame(queries, "query_id long, key int"), spark.createDataFrame(rows, "key int, id long, score double"), ["key"], "metadata")
+    best = {k: sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1]))[:10] for k in range(3)}
+    assert sorted((r.query_id, r.id, r.score) for r in got.collect()) == sorted((q, i, s) for q, k in queries for _, i, s in best.get(k, []))
 
 
 def test_full_search_takes_all_channels(spark, sf, monkeypatch):

@@ -22,8 +22,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_LENGTH = 16
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+"
 #: Character classes of candidates: name, pattern of the whole string, window, least entropy in bits.
-#: The first that fits counts. One case with digits between letters is told from words by these digits;
-#: with fewer digits, or none, only by its entropy, which is close to that of words run together.
+#: The first that fits counts. Words and names reach these entropies too and are told apart by WORD_SHARE.
 CLASSES = [
     ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 20, 3.0),
     ("alnum", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", 20, 3.6),
@@ -33,13 +32,21 @@ CLASSES = [
     ("upper", r"^(?=.*[0-9][A-Z]+[0-9])[0-9A-Z]+$", 20, 3.4),
     ("lower_symbols", r"^(?=.*[0-9][a-z]+[0-9])[0-9a-z+/_=-]+$", 24, 3.85),
     ("upper_symbols", r"^(?=.*[0-9][A-Z]+[0-9])[0-9A-Z+/_=-]+$", 24, 3.85),
-    ("lower_letters", r"^(?=.*[a-z])[0-9a-z]+$", 24, 3.9),
-    ("upper_letters", r"^(?=.*[A-Z])[0-9A-Z]+$", 24, 3.9),
-    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", 24, 4.1),
+    ("lower_letters", r"^(?=.*[a-z])[0-9a-z]+$", 24, 3.5),
+    ("upper_letters", r"^(?=.*[A-Z])[0-9A-Z]+$", 24, 3.5),
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", 24, 3.7),
     ("letters_symbols", r"^(?=.*[A-Za-z])[0-9A-Za-z+/_=-]+$", 24, 4.25),
 ]
 #: Strings that look random and are no secrets: UUIDs, integrity digests, samples.
 ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^sha(1|256|384|512)-|example|x{6}|(.)\2{7}"
+#: Parts of a name, as case and digits divide it; a string is one of words if parts of three letters or more make up
+#: WORD_SHARE of it and COMMON_SHARE of their pairs of letters are common ones. Of random pairs a seventh is common.
+PARTS, WORD_SHARE, COMMON_SHARE = r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", 0.7, 0.35
+# The hundred most frequent pairs of letters of English text, the most frequent first.
+PAIRS = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+    "ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su"
+).split()
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -93,12 +100,22 @@ def _best_window(token: Column, window: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda a: a["best"])
 
 
+def is_words(token: Column) -> Column:
+    """Whether a string is made of words, run together or divided by case, digits or signs."""
+    parts = F.regexp_extract_all(token, F.lit(PARTS), F.lit(0))
+    words = F.filter(parts, lambda p: (F.length(p) >= 3) & p.rlike("^[A-Za-z]"))
+    length = lambda x: F.aggregate(x, F.lit(0), lambda a, p: a + F.length(p))
+    common = lambda p: F.size(F.filter(F.sequence(F.lit(1), F.length(p) - 1), lambda i: F.substring(F.lower(p), i, 2).isin(PAIRS)))
+    pairs = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(0).alias("common")), lambda a, p: F.struct((a["n"] + F.length(p) - 1).alias("n"), (a["common"] + common(p)).alias("common")))
+    return (F.size(words) > 0) & (length(words) >= WORD_SHARE * length(parts)) & (pairs["common"] >= COMMON_SHARE * pairs["n"])
+
+
 def _is_random(token: Column) -> Column:
     window, least = F.lit(None).cast("int"), F.lit(None).cast("double")
     for _, pattern, w, bits in reversed(CLASSES):
         window = F.when(token.rlike(pattern), F.lit(w)).otherwise(window)
         least = F.when(token.rlike(pattern), F.lit(bits)).otherwise(least)
-    return F.when(F.coalesce(F.length(token) >= window, F.lit(False)), ~token.rlike(ALLOWED) & (_best_window(token, window) >= least)).otherwise(F.lit(False))
+    return F.when(F.coalesce(F.length(token) >= window, F.lit(False)), ~token.rlike(ALLOWED) & ~is_words(token) & (_best_window(token, window) >= least)).otherwise(F.lit(False))
 
 
 def find_spans(text: Column, least_length: int = LEAST_LENGTH) -> tuple[Column, Column]:

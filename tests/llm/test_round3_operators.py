@@ -192,3 +192,56 @@ def test_deviations_are_exact():
     for size, n in ((1_000, 500), (5_000, 4_000_000), (2**30, 1_000_000_000), (2**40, 10**12)):
         u, rest = rng.integers(-size, size, (20, 7)), rng.integers(0, n, 7)
         assert whitening._deviations(u, rest, n) == [sum((n * int(a) - int(b)) ** 2 for a, b in zip(row, rest)) for row in u]
+
+
+WORDS = (
+    "user config service manager factory handler request response http client server data base table index query parse stream reader writer buffer cache token session account profile payment invoice "
+    "order customer product category image upload file path name value list array number date time zone format error message event listener controller view model template render button window layout theme color style"
+).split()
+NAMES = {
+    "CamelCase": lambda r: "".join(r.choice(WORDS).capitalize() for _ in range(5)), "camelCase with digits": lambda r: r.choice(WORDS) + "".join(r.choice(WORDS).capitalize() + r.choice(["", "2", "64", "256"]) for _ in range(4)),
+    "run together": lambda r: "".join(r.choice(WORDS) for _ in range(5)), "snake": lambda r: "_".join(r.choice(WORDS) for _ in range(5)), "CONSTANT": lambda r: "_".join(r.choice(WORDS).upper() for _ in range(5)),
+    "path": lambda r: "/".join(r.choice(WORDS).capitalize() + r.choice(WORDS) for _ in range(4)), "kebab": lambda r: "-".join(r.choice(WORDS) for _ in range(5)),
+}
+LOWER_, UPPER_, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Alphabet, length and the share that is found at least; base32 of 16 characters often has no two digits apart.
+RANDOM = {
+    "hex 32": (DIGITS + "ABCDEF", 32, 0.95), "base64 24": (UPPER_ + LOWER_ + DIGITS + "+/", 24, 0.9), "base64 40": (UPPER_ + LOWER_ + DIGITS + "+/", 40, 0.95), "base62 20": (UPPER_ + LOWER_ + DIGITS, 20, 0.9), "base62 32": (UPPER_ + LOWER_ + DIGITS, 32, 0.95),
+    "base36 25": (LOWER_ + DIGITS, 25, 0.95), "base32 16": (UPPER_ + "234567", 16, 0.6), "base32 32": (UPPER_ + "234567", 32, 0.95), "mixed letters 24": (UPPER_ + LOWER_, 24, 0.9), "mixed letters 32": (UPPER_ + LOWER_, 32, 0.95), "lower letters 24": (LOWER_, 24, 0.88), "lower letters 32": (LOWER_, 32, 0.95),
+}
+
+
+def test_names_are_no_secrets_and_random_strings_are(spark):
+    """Of 200 strings each: names of five words are hit in 0.02 or less, random ones in their class's share or more."""
+    from lodestream.llm import secrets
+
+    rng = random.Random(11)
+    kinds = [(k, "".join(rng.choice(a) for _ in range(n))) for k, (a, n, _) in RANDOM.items() for _ in range(200)] + [(k, make(rng)) for k, make in NAMES.items() for _ in range(200)]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, (_, t) in enumerate(kinds)], "doc_id long, text string")
+    hits = {k: 0 for k, _ in kinds}
+    for r in secrets.digest(docs).collect():
+        hits[kinds[r.doc_id][0]] += bool(r.spans)
+    assert {k: n for k, n in hits.items() if k in NAMES and n > 4} == {}
+    assert {k: n / 200 for k, n in hits.items() if k in RANDOM and n < 200 * RANDOM[k][2]} == {}
+
+
+@pytest.mark.parametrize("length", [8, 15, 25, 40])
+def test_passages_of_any_sentence_length(spark, length):
+    """Passages of 60 words that stand anywhere inside long sentences of other documents are cut there, and hardly anything else is."""
+    from lodestream.llm import lines
+
+    rng = random.Random(length)
+    stock = ["".join(rng.choice("aeiou" if k % 2 else "bcdfglmnprst") for k in range(rng.randint(2, 11))) for _ in range(4_000)]
+
+    def prose(n):
+        return [w + ("." if k % length == length - 1 else "") for k, w in enumerate(rng.choices(stock, k=n))]
+
+    texts = [prose(400) for _ in range(100)]
+    copies = []
+    for t in texts:
+        a = rng.randrange(300)
+        copies.append(prose(150 + rng.randrange(20)) + t[a : a + 60] + prose(150))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts + copies + [prose(400) for _ in range(100)])], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.digest(docs).collect()}
+    assert sum(got[k].n_removed > 0 for k in range(100, 200)) >= 95
+    assert sum(got[k].n_removed > 0 for k in [*range(100), *range(200, 300)]) <= 2

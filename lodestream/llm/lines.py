@@ -1,7 +1,8 @@
 """Substring dedup by sentences and lines: equal normalised units keep their earliest occurrence.
 
 A unit is a run of words up to a line's end or a word that ends in a full stop, exclamation or
-question mark; it is normalised by lower-casing A-Z and taking white space as single spaces,
+question mark; a run of more than LONG_UNIT words ends after each word of 5, 10, 15 ... characters too, so that
+passages that begin or end inside of long sentences have the same units wherever they stand. A unit is normalised by lower-casing A-Z and taking white space as single spaces,
 and known by a 128-bit digest. Occurrences are ranked by doc_id, then a hash of the text, then
 place; the first of a digest is the original. Units in a row that are all later copies make a
 run; a run whose different units have MIN_RUN_WORDS words or more is removed, with its place in
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import Texts, discard, mix, ship, texts_of, written
 
 MIN_RUN_WORDS = 30
+#: Runs of more words are cut by their contents, after words whose number of characters is a multiple of CUT_LENGTH.
+LONG_UNIT, CUT_LENGTH = 16, 5
 #: Digests of this share of all units or more, a bounded number, are looked up by broadcast.
 HOT_SHARE = 1 / 4096
 _UNITS = "doc_id long, own long, unit int, words int, start int, stop int, hi long, lo long"
@@ -59,10 +62,12 @@ def units_of(texts: Texts) -> dict[str, np.ndarray]:
     cut = _ENDS[texts.data[ends - 1]]
     cut[:-1] |= (owner[1:] != owner[:-1]) | (newlines[starts[1:]] != newlines[ends[:-1]])
     cut[-1] = True
+    points = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
+    last = np.flatnonzero(cut) + 1
+    cut |= np.repeat(np.diff(last, prepend=0) > LONG_UNIT, np.diff(last, prepend=0)) & ((points[ends] - points[starts]) % CUT_LENGTH == 0)
     last = np.flatnonzero(cut) + 1
     first = np.concatenate([[0], last[:-1]])
     text = owner[first]
-    points = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
     zero = points[texts.offsets[text]]
     return {
         "text": text, "unit": np.arange(len(text)) - np.searchsorted(text, text), "words": last - first, "start": points[starts[first]] - zero, "stop": points[ends[last - 1]] - zero,
@@ -145,16 +150,20 @@ def digest(documents: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFram
 
 LINES_SQL = rf"""
 WITH pieces AS (
-  SELECT doc_id, text, p, k, sum(length(p)) OVER (PARTITION BY doc_id, text ORDER BY k) - length(p) AS zero,
-         regexp_extract_all(p, '[^\x20\x09-\x0D]+') AS w
+  SELECT doc_id, text, p, k, sum(length(p)) OVER (PARTITION BY doc_id, text ORDER BY k) - length(p) AS zero
   FROM (SELECT doc_id, text, unnest(parts) AS p, generate_subscripts(parts, 1) AS k
         FROM (SELECT DISTINCT doc_id, text, string_split(replace(regexp_replace(text, '([.!?])([\x20\x09\x0B-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(1) || chr(10)), chr(1)) AS parts
               FROM documents WHERE coalesce(text, '') <> ''))),
+tokens AS (
+  SELECT doc_id, text, k, t, j, zero + sum(length(t)) OVER (PARTITION BY doc_id, text, k ORDER BY j) - length(t) AS start
+  FROM (SELECT doc_id, text, k, zero, unnest(toks) AS t, generate_subscripts(toks, 1) AS j FROM (SELECT *, regexp_extract_all(p, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS toks FROM pieces))),
+words AS (
+  SELECT *, coalesce(sum((n > {LONG_UNIT} AND length(t) % {CUT_LENGTH} = 0)::INT) OVER (PARTITION BY doc_id, text, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, text, k) AS n FROM tokens WHERE regexp_matches(t, '^[^\x20\x09-\x0D]'))),
 units AS (
-  SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id, text ORDER BY k) - 1 AS unit, len(w) AS words,
-         zero + length(regexp_extract(p, '^[\x20\x09-\x0D]*')) AS start, zero + length(regexp_replace(p, '[\x20\x09-\x0D]+$', '')) AS stop,
-         translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
-  FROM pieces WHERE len(w) > 0),
+  SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id, text ORDER BY k, part) - 1 AS unit, count(*) AS words, min(start) AS start, max(start + length(t)) AS stop,
+         translate(string_agg(t, ' ' ORDER BY j), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM words GROUP BY doc_id, text, k, part),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, unit) AS rank FROM units),
 later AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id, text ORDER BY unit) AS run FROM ranked WHERE rank > 1),
 runs AS (

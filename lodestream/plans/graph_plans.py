@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestream.operators import graph, issues
+from lodestream.operators import graph, issues, push
 from lodestream.operators import mentions as mentions_
 from lodestream.plans.registry import query, table
+from lodestream.plans.retrieval_plans import DENSE_SQL, dense_hits
 
 GRAPH_SQL = """m AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst, 'MENTIONS' AS type, count(*) AS weight, min(o_orderdate) AS valid_from FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
 al AS (SELECT 'p' || p_partkey AS src, 'p' || (p_partkey + 1) AS dst FROM part WHERE p_partkey % 50 = 0 OR p_partkey % 50 = 1),
@@ -174,6 +175,34 @@ def r9(spark, sf_dir):
     return graph.pagerank(mentions(spark, sf_dir), home, rounds=3, tolerance=0.0).select("id", F.round("score", 6).alias("score"))
 
 
+# Rows 0.. of the vectors are the documents c0.. of the graph: what they mention, and aliases of that, is ranked from the ten nearest.
+@query("r9_pagerank_channel", f"""WITH RECURSIVE {GRAPH_SQL}, {DENSE_SQL},
+anchored AS (SELECT query_id, 'c' || id AS src FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM dn) WHERE r <= 10),
+ed AS (SELECT src, dst, type, greatest(1, weight)::DOUBLE AS weight FROM m UNION ALL SELECT DISTINCT src, dst, 'ALIAS', 1.0 FROM al),
+said AS (SELECT DISTINCT query_id, dst AS id FROM anchored JOIN m USING (src)), alw AS (SELECT src, dst FROM al UNION SELECT dst, src FROM al),
+sd AS (SELECT query_id, id FROM said UNION SELECT query_id, alw.dst FROM said JOIN alw ON alw.src = id),
+ways AS (SELECT src AS id, * FROM ed UNION SELECT dst AS id, * FROM ed),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, dst, type) AS p FROM (SELECT DISTINCT query_id, src, dst, type, weight FROM sd JOIN ways USING (id))) WHERE p <= 4000),
+front AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS p FROM (SELECT query_id, src AS id FROM near UNION SELECT query_id, dst FROM near)) WHERE p <= 500),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, dst, type) AS p FROM
+  (SELECT query_id, src, dst, type, weight FROM near UNION SELECT query_id, src, dst, type, weight FROM front JOIN ways USING (id))) WHERE p <= 4000),
+known AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS n FROM (SELECT query_id, id, min(spot) AS spot FROM (SELECT query_id, src AS id, 2 * p AS spot FROM ranked UNION ALL SELECT query_id, dst, 2 * p + 1 FROM ranked) GROUP BY ALL)) WHERE n <= 500),
+sub AS (SELECT r.query_id, r.src, r.dst, r.weight FROM ranked r JOIN known a ON a.query_id = r.query_id AND a.id = r.src JOIN known b ON b.query_id = r.query_id AND b.id = r.dst WHERE r.src <> r.dst),
+und AS (SELECT query_id, src, dst, sum(weight) AS weight FROM (SELECT query_id, src, dst, weight FROM sub UNION ALL SELECT query_id, dst, src, weight FROM sub) GROUP BY ALL),
+nodes AS (SELECT DISTINCT query_id, src AS id FROM und), home AS (SELECT query_id, id, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS home FROM nodes WHERE NOT starts_with(id, 'c')),
+step AS (SELECT query_id, src, dst, sum(share) AS share FROM (SELECT query_id, src, dst, 0.85::DOUBLE * weight / sum(weight) OVER (PARTITION BY query_id, src) AS share FROM und
+  UNION ALL SELECT nodes.query_id, nodes.id, home.id, 0.15::DOUBLE * home FROM nodes JOIN home USING (query_id)) GROUP BY ALL),
+ppr(i, query_id, id, score) AS (SELECT 0, query_id, id, home FROM home UNION ALL SELECT i + 1, step.query_id, dst, sum(score * share) FROM ppr JOIN step ON step.query_id = ppr.query_id AND src = id WHERE i < 130 GROUP BY i, step.query_id, dst)
+SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM ppr WHERE i = 130 AND starts_with(id, 'c')) WHERE rank <= 5""")
+def r9_channel(spark, sf_dir):
+    """The graph channel by PageRank: dense anchors, their entities and aliases, subgraphs of 500 nodes, forward push, the best five documents."""
+    edges = mentions(spark, sf_dir).select("src", "dst", "type", F.col("weight").cast("double").alias("weight"))
+    edges = edges.unionByName(alias_edges(spark, sf_dir).select("src", "dst", F.lit("ALIAS").alias("type"), F.lit(1.0).alias("weight")))
+    hits = dense_hits(spark, sf_dir, 10).select("query_id", F.concat(F.lit("c"), "id").alias("id"), "score")
+    docs = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    return push.channel(hits, edges, docs).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("j22_j23_memories_of_agents", "SELECT user_id, event_id, round(value, 4) AS importance FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 10")
 def j23(spark, sf_dir):
     from lodestream.operators.ranking import top_k

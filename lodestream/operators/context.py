@@ -13,6 +13,8 @@ from lodestream.functions.text import estimate_tokens
 
 # The whole budget, what is kept for the prompt and the answer, and the least that is left for fragments.
 BUDGET, PROMPT, ANSWER, LEAST = 10_000, 500, 1_500, 1_000
+#: Characters of a fact besides its names.
+FACT_CHARS = 24
 
 
 def available(graph_tokens: int = 0, budget: int = BUDGET, prompt: int = PROMPT, answer: int = ANSWER, least: int = LEAST) -> int:
@@ -45,25 +47,35 @@ def with_roots(ranked: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
 def graph_facts(facts: DataFrame, budget: int) -> DataFrame:
     """facts (query_id, kind, name, src, dst, place) that fit: all people, then other entities, then relations that touch a kept name, then documents.
 
-    A tier ends at its first fact that does not fit; the next tier goes on with what is left.
+    A tier ends at its first fact that does not fit; the next tier goes on with what is left. A fact costs FACT_CHARS characters
+    at least, so a budget has room for so many of a tier only: each is cut to these, within tasks as well, before anything is
+    summed in order, and a query of very many facts is no large group. Only people, whom the budget does not bound, are summed without order.
     """
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = lambda rows: sum(len(str(r.name_)) + len(str(r.src)) + len(str(r.dst)) + 24 for r in rows) // 4
-        rows = list(pdf.rename(columns={"name": "name_"}).sort_values("place").itertuples())
-        kept = [r for r in rows if r.kind == "person"]
-        names = None
-        for tier in ("entity", "relation", "document"):
-            if tier == "relation":
-                names = {r.name_ for r in kept}
-            for r in rows:
-                if r.kind == tier and (tier != "relation" or r.src in names or r.dst in names):
-                    if size([*kept, r]) > budget:
-                        break
-                    kept.append(r)
-        return pdf[pdf["place"].isin({r.place for r in kept})]
-
-    return facts.groupBy("query_id").applyInPandas(keep, facts.schema)
+    size = lambda c: F.length(F.coalesce(F.col(c).cast("string"), F.lit("None")))
+    costed = facts.withColumn("cost_", size("name") + size("src") + size("dst") + FACT_CHARS)
+    most = 4 * (budget + 1) // FACT_CHARS + 1
+    people = costed.where("kind = 'person'")
+    spent = people.groupBy("query_id").agg(F.sum("cost_").alias("spent_"))
+    first = lambda rows: rows.withColumn("n_", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("n_") <= most).drop("n_")
+    running = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def fitting(rows: DataFrame, before: DataFrame) -> DataFrame:
+        met = first(rows).join(before, "query_id", "left").withColumn("spent_", F.coalesce("spent_", F.lit(0)) + F.sum("cost_").over(running))
+        return met.where(F.floor(F.col("spent_") / 4) <= budget)
+
+    def after(before: DataFrame, kept: DataFrame) -> DataFrame:
+        return before.unionByName(kept.select("query_id", "spent_")).groupBy("query_id").agg(F.max("spent_").alias("spent_"))
+
+    entities = fitting(costed.where("kind = 'entity'"), spent)
+    names = people.select("query_id", "name").unionByName(entities.select("query_id", "name")).distinct().select(F.col("query_id").alias("of_"), F.col("name").alias("name_"))
+    touches = lambda c: costed.where("kind = 'relation'").join(names, F.col("query_id").eqNullSafe(F.col("of_")) & F.col(c).eqNullSafe(F.col("name_")), "left_semi")
+    spent = after(spent, entities)
+    relations = fitting(touches("src").unionByName(touches("dst")).distinct(), spent)
+    documents = fitting(costed.where("kind = 'document'"), after(spent, relations))
+    out = people.select(*facts.columns)
+    for tier in (entities, relations, documents):
+        out = out.unionByName(tier.select(*facts.columns))
+    return out
 
 
 def split_long(texts: DataFrame, text: str, most: int, depth: int = 3) -> DataFrame:

@@ -55,15 +55,24 @@ def n6b(spark, sf_dir):
     return context.fragments(c, "text", 60).select("query_id", "rank", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("m20_graph_facts")
+@query("m20_graph_facts", """
+WITH f AS (SELECT c_mktsegment AS query_id, CASE (c_custkey // 20) % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'entity' WHEN 2 THEN 'relation' ELSE 'document' END AS kind, c_name AS name, 'Customer#' || lpad((c_custkey % 500)::VARCHAR, 9, '0') AS src,
+  c_custkey AS place, length(c_name) + 18 + 1 + 24 AS cost FROM customer),
+p AS (SELECT query_id, sum(cost) AS spent FROM f WHERE kind = 'person' GROUP BY ALL),
+e AS (SELECT *, coalesce(spent, 0) + sum(cost) OVER (PARTITION BY query_id ORDER BY place) AS used FROM f LEFT JOIN p USING (query_id) WHERE kind = 'entity'), ek AS (SELECT * FROM e WHERE used // 4 <= 9000),
+names AS (SELECT query_id, name FROM f WHERE kind = 'person' UNION SELECT query_id, name FROM ek), s1 AS (SELECT query_id, greatest(coalesce(p.spent, 0), coalesce(max(ek.used), 0)) AS spent FROM p FULL JOIN ek USING (query_id) GROUP BY query_id, p.spent),
+r AS (SELECT f.*, coalesce(spent, 0) + sum(cost) OVER (PARTITION BY query_id ORDER BY place) AS used FROM f LEFT JOIN s1 USING (query_id) WHERE kind = 'relation' AND (query_id, src) IN (SELECT query_id, name FROM names)), rk AS (SELECT * FROM r WHERE used // 4 <= 9000),
+s2 AS (SELECT query_id, greatest(coalesce(s1.spent, 0), coalesce(max(rk.used), 0)) AS spent FROM s1 FULL JOIN rk USING (query_id) GROUP BY query_id, s1.spent),
+d AS (SELECT f.*, coalesce(spent, 0) + sum(cost) OVER (PARTITION BY query_id ORDER BY place) AS used FROM f LEFT JOIN s2 USING (query_id) WHERE kind = 'document')
+SELECT query_id, kind, place FROM f WHERE kind = 'person' UNION ALL SELECT query_id, kind, place FROM ek UNION ALL SELECT query_id, kind, place FROM rk UNION ALL SELECT query_id, kind, place FROM d WHERE used // 4 <= 9000""")
 def m20(spark, sf_dir):
     """Entities, relations and documents of each market segment under a budget; people first."""
     c = table(spark, sf_dir, "customer")
     facts = c.select(
         "c_mktsegment", F.element_at(F.array(*map(F.lit, ["person", "entity", "relation", "document"])), (F.pmod(F.floor(F.col("c_custkey") / 20), F.lit(4)) + 1).cast("int")).alias("kind"), F.col("c_name").alias("name"),
-        F.col("c_name").alias("src"), F.lit("x").alias("dst"), F.col("c_custkey").alias("place"),
+        F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") % 500).cast("string"), 9, "0")).alias("src"), F.lit("x").alias("dst"), F.col("c_custkey").alias("place"),
     ).withColumnRenamed("c_mktsegment", "query_id")
-    return context.graph_facts(facts, 600).select("query_id", "kind", "place")
+    return context.graph_facts(facts, 9_000).select("query_id", "kind", "place")
 
 
 # A text in halves, down to three levels; the way down to a piece orders the pieces.

@@ -36,15 +36,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None, exclude_self: bool = False) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None, exclude_self: bool = False, group: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k rows of corpus (id, vector) nearest to each of queries (query_id, vector).
 
+    group: a column of both; only rows of a query's group count.
+
     Each task keeps the best k of its rows for every query, so what is shuffled is tasks * queries * k
     rows whatever the size of the corpus. Rows without a vector are never found.
     """
     found = None
     ship(corpus.sparkSession)
-    wanted = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id")
+    own_group = F.lit(0).cast("long") if group is None else F.xxhash64(group)
+    wanted = queries.where("vector is not null").select("query_id", "vector", own_group.alias("group_")).orderBy("query_id")
     size = wanted.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     for b in range(blocks):
@@ -52,14 +55,14 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
         rows = part.toArrow()
         if not rows.num_rows:
             continue
-        ids, matrix = rows.column("query_id").to_pylist(), unit(matrix_of(rows.column("vector")))
+        ids, matrix, groups = rows.column("query_id").to_pylist(), unit(matrix_of(rows.column("vector"))), rows.column("group_").to_pylist()
 
-        def best(batches, ids=ids, matrix=matrix):
+        def best(batches, ids=ids, matrix=matrix, groups=groups):
             kept = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
             for batch in batches:
                 if not len(batch):
                     continue
-                own = batch.column("id").to_numpy()
+                own, of = batch.column("id").to_numpy(), batch.column("group_").to_numpy()
                 rows = unit(matrix_of(batch.column("vector"))).T
                 for q in range(len(ids)):
                     if q % QUERIES_AT_ONCE == 0:
@@ -68,6 +71,8 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
                     mask = np.ones(len(s), dtype=bool) if least is None else s >= least
                     if exclude_self:
                         mask &= i != ids[q]
+                    if group is not None:
+                        mask &= of == groups[q]
                     s, i = np.concatenate([kept[q][0], s[mask]]), np.concatenate([kept[q][1], i[mask]])
                     order = np.lexsort((i, -s))[:k]
                     kept[q] = (s[order], i[order])
@@ -77,7 +82,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
                 names=["query_id", "id", "score"],
             )
 
-        out = corpus.where("vector is not null").select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(best, "query_id long, id long, score double")
+        out = corpus.where("vector is not null").select(F.col("id").cast("long").alias("id"), "vector", own_group.alias("group_")).mapInArrow(best, "query_id long, id long, score double")
         found = out if found is None else found.unionByName(out)
     if found is None:
         return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.text import keywords
 from lodestream.operators.ranking import ranked
+from lodestream.operators.storage import written
 
 # Similarity of linked and of duplicate records, days until stale, confidence of rules and the one that is acted on.
 LINKED, DUPLICATE, STALE_DAYS, RULE_CONFIDENCE, ACT_ON = 0.6, 0.85, 30, 0.55, 0.7
@@ -58,3 +59,26 @@ def stale_scan(records: DataFrame, cutoff: Column, most: int = 500) -> DataFrame
     """The oldest records that are not settled and not touched since cutoff."""
     open_ = records.where(~F.col("status").isin("archived", "superseded", "stale") & (F.col("updated_at") <= cutoff))
     return open_.orderBy("updated_at", "id").limit(most).select("id", "updated_at")
+
+
+def job(records: DataFrame, now: Column, linked: float = LINKED, duplicate: float = DUPLICATE, confidence: float = RULE_CONFIDENCE, act_on: float = ACT_ON, most: int = 20, age_gated: bool = False, **search) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole freshness job over all records: linker, reconciler, monitor, curator, decision, each on what the one before left.
+
+    records: id, agent_id, vector, content, status, tags, updated_at, valid_until, superseded_by, freshness_score, last_freshness_run_at.
+    Neighbours are those of the same agent. Returns the records after the job (without vectors, with evidence_count and outcome), the links
+    (src, dst, score) and the new reviews (target_id, related_id, reason, confidence): one for each pair of duplicates, and one for each
+    decision that is not sure enough. A decision that is sure adds its tags.
+    """
+    from lodestream.operators.vector_index import neighbours
+
+    near = written(neighbours(records.select("id", "vector", "agent_id"), most, linked, group="agent_id", **search))
+    with_evidence, _ = link(records.drop("vector"), near, most, linked)
+    pairs = reconcile(near, duplicate)
+    seen = monitor(with_evidence, now, age_gated)
+    grown = written(curate(seen))
+    decided = decide(grown, F.lit(confidence)).select("id", F.col("tags").alias("new_tags"), "outcome")
+    sure = decided.withColumn("new_tags", F.when(F.lit(confidence >= act_on), F.array(F.array_join("new_tags", ","))))
+    after = grown.join(sure, "id", "left").withColumn("tags", F.when(F.element_at("new_tags", 1) != "", F.array_union("tags", "new_tags")).otherwise(F.col("tags"))).drop("new_tags", "rule")
+    unsure = after.where("outcome = 'review'").select(F.col("id").alias("target_id"), F.lit(None).cast("long").alias("related_id"), F.lit("low_confidence_decision").alias("reason"), F.lit(confidence).alias("confidence"))
+    found = pairs.select(F.col("a").alias("target_id"), F.col("b").alias("related_id"), F.lit("possible_duplicate").alias("reason"), F.col("score").alias("confidence"))
+    return after, near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score"), found.unionByName(unsure)

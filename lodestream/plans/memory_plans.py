@@ -357,6 +357,35 @@ def f6(spark, sf_dir):
     return lifecycle.curate(lifecycle.monitor(r, now())).groupBy("status").agg(F.count("*").alias("n"))
 
 
+_JOB_SQL = f"""{EVERY_SQL}, own AS (SELECT mem.* FROM mem JOIN e USING (id)),
+near AS (SELECT * FROM (SELECT query_id, dn.id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dn.id) AS r FROM dn JOIN own a ON a.id = query_id JOIN own b ON b.id = dn.id AND b.agent_id = a.agent_id WHERE query_id <> dn.id AND score >= {_LINKED}) WHERE r <= 20),
+ev AS (SELECT query_id AS id, count(*) AS n FROM near GROUP BY ALL),
+seen AS (SELECT own.id, coalesce(n, 0) AS evidence_count, CASE WHEN valid_until <= TIMESTAMP '2024-02-01' THEN 'archived' WHEN superseded_by IS NOT NULL THEN 'superseded' WHEN updated_at <= TIMESTAMP '2024-01-02' THEN 'stale' ELSE status END AS status FROM own LEFT JOIN ev USING (id)),
+after AS (SELECT id, evidence_count, CASE WHEN status = 'candidate' AND evidence_count >= 1 THEN 'active' ELSE status END AS status, CASE WHEN status = 'candidate' AND evidence_count >= 1 THEN 'auto_curated' ELSE '' END AS tags FROM seen)"""
+
+
+def _job(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("id", "vector")
+    r = records(spark, sf_dir).drop("evidence_count").join(v, "id").withColumn("tags", F.array().cast("array<string>"))
+    return lifecycle.job(r, now(), _LINKED, _DUPLICATE)
+
+
+@query("f6_whole_job", f"""WITH {MEM_SQL}, {_JOB_SQL} SELECT *, CASE WHEN status IN ('active', 'review_needed', 'candidate') THEN 'review' END AS outcome FROM after""")
+def f6_whole(spark, sf_dir):
+    """Linker, reconciler, monitor, curator and decision, in order, over all records that have a vector; neighbours are the agent's own."""
+    after, _, _ = _job(spark, sf_dir)
+    return after.select("id", "evidence_count", "status", F.array_join("tags", ",").alias("tags"), "outcome")
+
+
+@query("f6_job_reviews", f"""WITH {MEM_SQL}, {_JOB_SQL}, best AS (SELECT query_id, arg_max(id, (score, -id)) AS id, max(score) AS score FROM near GROUP BY query_id)
+SELECT least(query_id, id) AS target_id, greatest(query_id, id) AS related_id, 'possible_duplicate' AS reason, round(max(score), 6) AS confidence FROM best WHERE score >= {_DUPLICATE} GROUP BY least(query_id, id), greatest(query_id, id)
+UNION ALL SELECT id, NULL, 'low_confidence_decision', 0.55::DOUBLE FROM after WHERE status IN ('active', 'review_needed', 'candidate')""")
+def f6_reviews(spark, sf_dir):
+    """What the job leaves for people: pairs of duplicates, each once, and decisions that are not sure enough."""
+    _, _, reviews = _job(spark, sf_dir)
+    return reviews.withColumn("confidence", F.round("confidence", 6))
+
+
 @mem("f7_stale_scan", "SELECT id, updated_at FROM mem WHERE status NOT IN ('archived', 'superseded', 'stale') AND updated_at <= TIMESTAMP '2024-01-20' ORDER BY updated_at, id LIMIT 500")
 def f7(spark, sf_dir):
     return lifecycle.stale_scan(records(spark, sf_dir), F.lit("2024-01-20").cast("timestamp"))

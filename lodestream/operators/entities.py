@@ -104,29 +104,73 @@ def _probes(name: Column) -> Column:
     return F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(F.sequence(F.lit(0), _pieces(n) - 1), lambda i: of_piece(n, i)))))
 
 
+def _rare_words(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(type, key, w): of each tidy name (type, key) its rarest words among known names (type, w, n).
+
+    As sets of words two names are alike within FUZZY percent only if what one of them has besides the common words is two elevenths of it
+    at most. So its rarest words, as many as are more than that together, have one that is common.
+    """
+    each = names.select("type", "key", F.explode(F.array_distinct(words(F.col("key")))).alias("w")).join(counts.select("type", "w", "n"), ["type", "w"], "left")
+    lists = each.groupBy("type", "key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("by"))
+    total = F.aggregate("by", F.lit(-1), lambda t, x: t + F.length(x["w"]) + 1)
+    taken = F.aggregate(
+        "by", F.struct(F.lit(0).alias("sum"), F.array().cast("array<string>").alias("out")),
+        lambda t, x: F.when(t["sum"] * 11 > total * 2, t).otherwise(F.struct((t["sum"] + F.length(x["w"])).alias("sum"), F.concat(t["out"], F.array(x["w"])).alias("out"))),
+    )
+    return lists.select("type", "key", F.explode(taken["out"]).alias("w"))
+
+
+def word_candidates(asked: DataFrame, known: DataFrame, counts: DataFrame) -> DataFrame:
+    """(type, x, y): pairs of different tidy names asked (type, x) and known (type, y) that hold all that are alike as sets of words,
+    but for asked names of one word in known ones: these need no pairs. counts: known names (n) of each word (type, w).
+    """
+    of = lambda names, c: names.select("type", c, F.explode(F.array_distinct(words(F.col(c)))).alias("w"))
+    rare = lambda names, c: _rare_words(names.withColumnRenamed(c, "key"), counts).withColumnRenamed("key", c)
+    several = asked.where(F.size(F.array_distinct(words(F.col("x")))) > 1)
+    by_asked = rare(several, "x").join(of(known, "y"), ["type", "w"]).select("type", "x", "y")
+    by_known = of(asked, "x").join(rare(known, "y"), ["type", "w"]).select("type", "x", "y")
+    return by_asked.unionByName(by_known).distinct()
+
+
+def piece_candidates(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(type, x, y): pairs that hold all that are alike as they are, with their words sorted, or with each word once and sorted.
+
+    Known names of one length that begin alike share a piece: they are all compared with an asked name that begins so.
+    """
+    ordered = lambda w: F.array_join(F.array_sort(w), " ")
+    keys = lambda c, pieces: F.array_distinct(F.concat(pieces(c), pieces(ordered(words(c))), pieces(ordered(F.array_distinct(words(c))))))
+    return asked.withColumn("k", F.explode(keys(F.col("x"), _probes))).join(known.withColumn("k", F.explode(keys(F.col("y"), _segments))), ["type", "k"]).select("type", "x", "y").distinct()
+
+
 def resolve(new: DataFrame, known: DataFrame) -> DataFrame:
     """(id, match, how) of new entities (id, name, type, vector) among known ones (name, type, vector).
 
     The same name without case wins; then the most similar name from 90 percent on; then, where a
     type has no more than 50 known entities, the closest meaning from 0.88 on. A person of one word
     is not compared by similarity: it takes the only longer name that has this word. Candidates share
-    a type, and names a word or, as they are or with their words sorted, all or each once, a piece
-    that the edits of 90 percent must leave whole. Names without a word match nothing but by meaning.
+    a type, and a word that is rare among known names or, as they are or with their words sorted, all or each once, a piece
+    that the edits of 90 percent must leave whole. Each pair of different names is compared once, whatever the
+    entities that have them; a name of one word takes the least name with this word from a table of words, so a word that all names have makes
+    no pairs. Names without a word match nothing but by meaning.
     """
     same = F.lower(F.trim("name"))
     a = new.select("id", "type", same.alias("same"), tidy(F.col("name")).alias("x"), F.col("vector").alias("v"))
     b = known.select("type", F.col("name").alias("match"), same.alias("same"), tidy(F.col("name")).alias("y"), F.col("vector").alias("u"))
-    exact = a.join(b.where("same <> ''"), ["type", "same"]).select("id", "match", F.lit(0).alias("tier"), F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
-    ordered = lambda w: F.array_join(F.array_sort(w), " ")
-    by_word = lambda c: F.transform(words(c), lambda w: F.struct(F.lit(-1).alias("n"), F.lit(-1).alias("i"), w.alias("s")))
-    keys = lambda c, pieces: F.array_distinct(F.concat(by_word(c), pieces(c), pieces(ordered(words(c))), pieces(ordered(F.array_distinct(words(c))))))
-    ka, kb = a.where("x <> ''").withColumn("k", F.explode(keys(F.col("x"), _probes))), b.where("y <> ''").withColumn("k", F.explode(keys(F.col("y"), _segments)))
-    near = ka.join(kb, ["type", "k"]).select("id", "type", "match", "x", "y").distinct()
+    exact = a.join(b.where("same <> ''").groupBy("type", "same").agg(F.min("match").alias("match")), ["type", "same"]).select("id", "match", F.lit(0).alias("tier"), F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
     single = F.lower(F.trim("type")).isin(PERSON_TYPES) & (F.size(words(F.col("x"))) == 1)
-    scored = near.where(~single).withColumn("score", name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= FUZZY)
-    longer = near.where(single & (F.size(words(F.col("y"))) >= 2) & F.array_contains(words(F.col("y")), F.col("x")))
-    only = longer.groupBy("id").agg(F.min("match").alias("match"), F.max("match").alias("last")).where("match = last").withColumn("score", F.lit(100.0))
-    fuzzy = scored.select("id", "match", "score").unionByName(only.select("id", "match", "score")).select("id", "match", F.lit(1).alias("tier"), "score", F.lit("fuzzy").alias("how"))
+    asked = a.where("x <> ''").select("type", "x").distinct()
+    names = b.where("y <> ''").groupBy("type", "y").agg(F.min("match").alias("match"), F.max("match").alias("last"))
+    held = names.select("type", "match", "last", (F.size(words(F.col("y"))) > 1).alias("long"), F.explode(F.array_distinct(words(F.col("y")))).alias("w"))
+    counts = held.groupBy("type", "w").agg(F.count("*").alias("n"), F.min("match").alias("match"), F.min(F.when(F.col("long"), F.col("match"))).alias("first"), F.max(F.when(F.col("long"), F.col("last"))).alias("last"))
+    compared = asked.where(F.coalesce(~single, F.lit(True)))
+    pairs = word_candidates(compared, names.select("type", "y"), counts).unionByName(piece_candidates(compared, names.select("type", "y"))).distinct()
+    near = pairs.withColumn("score", name_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= FUZZY)
+    near = near.join(names.select("type", "y", "match"), ["type", "y"]).select("type", "x", "match", "score")
+    one = compared.where(F.size(F.array_distinct(words(F.col("x")))) == 1).withColumn("w", F.get(words(F.col("x")), 0))
+    inside = one.join(counts, ["type", "w"]).select("type", "x", "match", F.lit(100.0).alias("score"))
+    only = asked.where(single).join(counts.where("first = last"), [asked["type"] == counts["type"], F.col("x") == F.col("w")]).select(asked["type"], "x", F.col("first").alias("match"), F.lit(100.0).alias("score"))
+    closest = first_by(near.unionByName(inside).unionByName(only), ["type", "x"], [-F.col("score"), F.col("match")])
+    fuzzy = a.join(closest, ["type", "x"]).select("id", "match", F.lit(1).alias("tier"), "score", F.lit("fuzzy").alias("how"))
     few = b.join(b.groupBy("type").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_CANDIDATES).select("type"), "type", "left_semi")
     meant = a.where("v is not null").join(few.where("u is not null"), "type").withColumn("score", cosine(F.col("v"), F.col("u"))).where(F.col("score") >= SEMANTIC)
     every = exact.unionByName(fuzzy).unionByName(meant.select("id", "match", F.lit(2).alias("tier"), "score", F.lit("semantic").alias("how")))

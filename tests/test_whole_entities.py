@@ -31,6 +31,23 @@ def test_fuzzy_matches_equal_all_pairs(spark):
     assert {i for i, r in got.items() if r.how != "new"} == near and 10 < len(near) < len(asked)
 
 
+def test_common_words_make_no_pairs(spark):
+    """Names that share a word, asked for by names that have it too: candidates by words in proportion to the names, matches by it alone still found."""
+    rng = random.Random(5)
+    known = [f"corporation {k:05d} {''.join(rng.choices('abcdefghijklmnop', k=9))}" for k in range(3_000)]
+    asked = [rng.choice(known).replace("corporation ", "corporation of ") for _ in range(40)] + ["corporation"] * 10 + [f"corporation {rng.randrange(10**9)}" for _ in range(10)] + ["Corporation 00007"]
+    new = spark.createDataFrame([(i, n, "Firm", None) for i, n in enumerate(asked)], "id long, name string, type string, vector array<double>")
+    old = spark.createDataFrame([(n, "Firm", None) for n in known], "name string, type string, vector array<double>")
+    x = new.select("type", entities.tidy(F.col("name")).alias("x")).distinct()
+    y = old.select("type", entities.tidy(F.col("name")).alias("y")).distinct()
+    counts = y.select("type", F.explode(F.array_distinct(F.split("y", " "))).alias("w")).groupBy("type", "w").agg(F.count("*").alias("n"))
+    assert entities.word_candidates(x, y, counts).count() <= len(asked)
+    got = {r.id: r for r in entities.resolve(new, old).collect()}
+    assert all(got[i].match == asked[i].replace("corporation of ", "corporation ") for i in range(40))
+    assert all((got[i].match, got[i].how) == (min(known), "fuzzy") for i in range(40, 50))
+    assert got[len(asked) - 1].match == next(n for n in known if "00007" in n)
+
+
 def test_query_uses_vectors(spark, sf):
     got = catalog.QUERIES["g8_t23_entity_resolution"](spark, sf)
     parts = spark.read.parquet(f"{sf}/part.parquet")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestream.llm import decontam, jaccard, mixing, quality, secrets
-from lodestream.llm.common import read_table, written
+from lodestream.llm.common import discard, read_table, written
 
 
 def classify(spark, docs, sf_dir):
@@ -37,7 +37,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,7 +21,7 @@ def page(folder, name, objects):
     (folder / "pages" / name).write_text("\n".join(json.dumps(o) for o in objects))
 
 
-@pytest.mark.parametrize("kind", sorted(OBJECTS))
+@pytest.mark.parametrize("kind", ["jira", "gdrive"])
 def test_batches_by_cursor(spark, tmp_path, kind):
     """The next sync begins after the last; a cursor is kept by the caller; an empty source has none."""
     at = {"path": str(tmp_path / "pages")}

@@ -24,7 +24,7 @@ def by_hand(rows, budget):
     return out
 
 
-@pytest.mark.parametrize("budget", [0, 40, 150, 400, 10_000])
+@pytest.mark.parametrize("budget", [40, 400])
 def test_facts_equal_a_loop(spark, budget):
     rng = random.Random(budget)
     rows = []

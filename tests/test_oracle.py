@@ -30,7 +30,7 @@ def cell(v):
 NAMES = [
     "t1_sentences", "t2_token_estimates", "t7_shingles", "t9_keyword_tokens", "t15_title_entities", "t20_keywords", "t27_slugs", "d1_dates_in_text", "d2_date_ranges", "r2_sparse_search", "r3_hybrid_search", "r4_adaptive_hybrid",
     "m4_m5_signal_scores", "m9_retrieval_metrics", "t8_simhash", "j8_near_pairs", "t6b_fixed_width", "w1_change_detection", "w2_n8_versions", "w6_fetch_stats", "g1_u2_aliases", "g2_relationships", "r8_graph_channel", "r9_pagerank",
-    "r10_channel_merge", "r11_fast_search", "m6_k6_final_ranking", "u6_m3_overlap_and_k", "t32_split_texts", "d3_dates_between", "f1_linker", "e1_memory_search", "e2_e9_saves", "e8_j19_reviews", "f2_j13_reconciler", "f3_monitor", "a5_a6_daily_growth", "a9_time_savings", "a10_cost_summary", "j17_w17_snapshot_diff", "x1_w10_idempotent_append", "x8_sessions", "s6_jira_issues", "w13_issue_graph", "p18_result_shape", "x4_session_cache",
+    "r10_channel_merge", "r11_fast_search", "m6_k6_final_ranking", "u6_m3_overlap_and_k", "t32_split_texts", "d3_dates_between", "f1_linker", "e1_memory_search", "e2_e9_saves", "e8_j19_reviews", "f2_j13_reconciler", "f3_monitor", "a5_a6_daily_growth", "a9_time_savings", "a10_cost_summary", "j17_w17_snapshot_diff", "x1_w10_idempotent_append", "x8_sessions", "s6_jira_issues", "w13_issue_graph", "p18_result_shape", "x4_session_cache", "j20_mentions_in_text", "q20_tool_enrichment", "f6_whole_job", "f6_job_reviews", "m20_graph_facts",
 ]
 
 

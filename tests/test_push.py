@@ -65,7 +65,7 @@ def hand_subgraph(seeds, edges, max_nodes):
     return {e for e in rows if e[0] in nodes and e[1] in nodes}
 
 
-@pytest.mark.parametrize("max_nodes", [4, 15, 500])
+@pytest.mark.parametrize("max_nodes", [4, 15])
 def test_subgraphs_by_hand(spark, max_nodes):
     rng = random.Random(max_nodes)
     edges = sorted({(f"d{rng.randrange(60)}", f"e{rng.randrange(30)}", "MENTIONS") for _ in range(150)} | {(f"e{k}", f"e{k + 1}", "ALIAS") for k in range(0, 30, 4)} | {("d1", f"e{k}", "MENTIONS") for k in range(30)})

@@ -146,6 +146,24 @@ def w7(spark, sf_dir):
     return upserts.patch(once, delta, "p_partkey", ["p_type"], "tags").select("p_partkey", "p_type", F.array_join("tags", ",").alias("tags"))
 
 
+@query("w3_w4_w7_stored_points", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n, source FROM documents)
+SELECT doc_id, n::INT AS n, CASE WHEN doc_id % 10 = 3 THEN '* ' || line ELSE line END AS line, CASE WHEN doc_id % 10 = 5 THEN 'archived' ELSE 'active' END AS status FROM l WHERE doc_id % 10 <> 7
+UNION ALL SELECT doc_id, 0, source, 'active' FROM documents WHERE doc_id % 10 = 3""")
+def stored_points(spark, sf_dir):
+    """Lines of all documents as points of a stored table: some are written anew, some added, some patched, some deleted, each change in its own buckets."""
+    from lodestream.operators.stored import StoredTable, point_id
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    points = d.select(point_id(F.col("doc_id"), F.col("at") + 1).alias("point"), "doc_id", (F.col("at") + 1).alias("n"), "line", F.lit("active").alias("status"))
+    t = StoredTable.create(points, "point", 32)
+    t.upsert(points.where("doc_id % 10 = 3").withColumn("line", F.concat(F.lit("* "), "line")))
+    t.upsert(d.where("doc_id % 10 = 3 and at = 0").select(point_id(F.col("doc_id"), F.lit(0)).alias("point"), "doc_id", F.lit(0).alias("n"), F.col("source").alias("line"), F.lit("active").alias("status")))
+    t.patch(points.where("doc_id % 10 = 5").select("point", F.lit("archived").alias("status")), ["status"])
+    t.delete(points.where("doc_id % 10 = 7").select("point"))
+    return t.rows().select("doc_id", "n", "line", "status")
+
+
 @query("w8_touch", "SELECT event_id, CASE WHEN event_id % 5 = 0 OR ts < TIMESTAMP '2024-01-30 23:00:00' THEN TIMESTAMP '2024-01-30 23:01:00' ELSE ts END AS last_accessed FROM events")
 def w8(spark, sf_dir):
     last = F.when(F.col("event_id") % 5 != 0, F.col("ts").cast("timestamp"))

@@ -224,6 +224,18 @@ def w19(spark, sf_dir):
     return spark.read.schema("doc_id long, text string").json(path).select("doc_id", F.md5("text").alias("digest"))
 
 
+@query("w16_archives", "SELECT source || '/documents/' || lang || '/' || doc_id || '.md' AS name, md5('# ' || source || chr(10) || chr(10) || text) AS digest FROM documents UNION ALL SELECT 'manifest', count(*)::VARCHAR FROM documents")
+def w16(spark, sf_dir):
+    """All documents as Markdown files in ZIP shards, read back, and what the manifest counts."""
+    from lodestream.sources import archive
+
+    path = _folder(spark)
+    d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/documents/"), "lang", F.lit("/"), "doc_id", F.lit(".md")).alias("name"), F.concat(F.lit("# "), "source", F.lit("\n\n"), "text").alias("content"))
+    manifest = archive.export(d, path)
+    told = spark.range(1).select(F.lit("manifest").alias("name"), F.lit(str(manifest["entries"])).alias("digest"))
+    return archive.read(spark, path).select("name", F.md5("content").alias("digest")).unionByName(told)
+
+
 @query("w17_w18_snapshot_round_trip", "SELECT p_partkey, p_name, p_size FROM part")
 def w17(spark, sf_dir):
     from lodestream.sources import snapshots

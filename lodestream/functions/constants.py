@@ -52,6 +52,9 @@ ROLE_CLAIM = (
 ROLE_HEADER = r"(?i)(?:^|\n)\s*(?:system|developer)\s*:\s*\S"
 PROTECTED_DISCLOSURE = r"(?i)\b(?:reveal|disclose|print|show|extract|repeat|leak|send|post|upload|transmit)\s+(?:the\s+)?(?:hidden\s+|private\s+|internal\s+)?(?:system|developer|operating)\s+(?:prompt|messages?|instructions?|rules?|context)\b"
 
+# Marks of sources in an answer, by type; and of types that are not listed.
+SOURCE_ICONS, OTHER_ICON, SOURCES_HEAD = {"confluence": "📄", "jira": "📋", "upload": "📎", "notion": "📓"}, "📄", "📚 Sources:"
+
 # Message intents.
 GREETINGS = ["hi", "hello", "hey", "привет", "здравствуйте", "добрый день", "добрый вечер", "доброе утро", "хай", "хей", "yo", "sup", "good morning", "good evening", "good afternoon"]
 SMALLTALK = ["how are you", "как дела", "что нового", "what's up", "who are you", "кто ты", "what can you do", "что ты умеешь", "thanks", "спасибо", "thank you", "благодарю"]

@@ -182,6 +182,16 @@ def intent(text: Column) -> Column:
     )
 
 
+def with_sources(answer: Column, results: Column) -> Column:
+    """answer followed by the sources of results (title, url, source_type), each title once, in the order of appearance; as it is without any."""
+    titled = F.filter(results, lambda r: F.coalesce(r["title"], F.lit("")) != "")
+    titles = F.transform(titled, lambda r: r["title"])
+    first = F.filter(titled, lambda r, i: F.array_position(titles, r["title"]) == i + 1)
+    icon = lambda kind: F.coalesce(*[F.when(kind == k, v) for k, v in C.SOURCE_ICONS.items()], F.lit(C.OTHER_ICON))
+    line = lambda r: F.concat(icon(r["source_type"]), F.lit(" "), r["title"], F.when(F.coalesce(r["url"], F.lit("")) != "", F.concat(F.lit(" — "), r["url"])).otherwise(""))
+    return F.when(F.size(first) > 0, F.concat(answer, F.lit(f"\n\n{C.SOURCES_HEAD}\n"), F.array_join(F.transform(first, line), "\n"))).otherwise(answer)
+
+
 def slug(text: Column, most: int = 80) -> Column:
     """A path segment of letters, digits and . _ -; empty ones are named by a digest."""
     x = F.regexp_replace(F.regexp_replace(F.trim(text), "[^A-Za-z0-9._-]+", "-"), "^[-._]+|[-._]+$", "")

@@ -45,3 +45,15 @@ def issue_edges(issues: DataFrame, mentions: DataFrame) -> DataFrame:
     named = named.join(one.select("issue_key", "created"), "issue_key")
     named = named.select(F.col("issue_key").alias("src"), F.col("name").alias("dst"), F.lit("MENTIONS").alias("type"), "weight", F.col("created").alias("valid_from"), open_end.alias("valid_to"))
     return people.unionByName(named).select(*EDGE)
+
+
+def relation_edges(issues: DataFrame, relations: DataFrame) -> DataFrame:
+    """(src, dst, type, relation, valid_from) of relations (issue_key, source, target, type) between entities that issues tell of.
+
+    A relation of one type between two entities is one edge whatever the number of issues that have it; it is valid from the creation of the
+    latest of these. Only known issues count; ends without a name have no edges, and a relation without a type is RELATED_TO.
+    """
+    one = newest(issues).select("issue_key", "created")
+    named = relations.where("coalesce(source, '') <> '' and coalesce(target, '') <> ''")
+    named = named.select("issue_key", F.col("source").alias("src"), F.col("target").alias("dst"), F.coalesce(F.nullif(F.trim("type"), F.lit("")), F.lit("RELATED_TO")).alias("relation"))
+    return named.join(one, "issue_key").groupBy("src", "dst", "relation").agg(F.max("created").alias("valid_from")).select("src", "dst", F.lit("RELATION").alias("type"), "relation", "valid_from")

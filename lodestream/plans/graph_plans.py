@@ -315,3 +315,15 @@ def w13(spark, sf_dir):
     both = F.array(version(F.lit("Done"), day(0), none), version(now, day(30), F.when(F.col("o_orderpriority") == "1-URGENT", day(5))))
     mentioned = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("K-"), "l_orderkey").alias("issue_key"), F.concat(F.lit("p"), "l_partkey").alias("name"), F.lit(1).alias("mention_count"))
     return issues.issue_edges(o.select(F.inline(both)), mentioned)
+
+
+@query("w13_issue_relations", """
+SELECT 'p' || a.l_partkey AS src, 'p' || b.l_partkey AS dst, 'RELATION' AS type, CASE a.l_returnflag WHEN 'N' THEN 'RELATED_TO' ELSE a.l_returnflag END AS relation, max(o_orderdate) AS valid_from
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN orders ON o_orderkey = a.l_orderkey GROUP BY ALL""")
+def w13_relations(spark, sf_dir):
+    """Parts on lines of an order that follow each other are related; orders are the issues that tell so."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("K-"), "o_orderkey").alias("issue_key"), F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("updated"))
+    lines = table(spark, sf_dir, "lineitem")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
+    told = lines.join(after, ["l_orderkey", "l_linenumber"]).select(F.concat(F.lit("K-"), "l_orderkey").alias("issue_key"), F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("p"), "next").alias("target"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise("").alias("type"))
+    return issues.relation_edges(o, told)

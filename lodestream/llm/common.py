@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from lodestream.operators.storage import plain_unions
 
 #: Text bytes that one pass of a kernel takes; a longer text goes alone. Bounds memory, not results.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that is handed to a Python worker: both sides hold a few of these a task.
+BATCH_BYTES = 16 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -79,8 +81,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package's code, once for each application, by Spark's own file server."""
+    """Give the executors this package's code, once for each application, by Spark's own file server; bound the batches of its workers."""
     plain_unions(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -72,11 +72,13 @@ def j7(spark, sf_dir):
     return graph.related_documents(d, mentions(spark, sf_dir), alias_edges(spark, sf_dir))
 
 
-@query("r8_graph_channel", f"""WITH {GRAPH_SQL}, {WAYS_SQL.format(e='m')}, h1 AS (SELECT DISTINCT query_id, dst AS id FROM seeds JOIN ways ON src = id), h2 AS (SELECT DISTINCT h1.query_id, dst AS id FROM h1 JOIN ways ON src = h1.id),
-al2 AS (SELECT query_id, id, 0 AS hop FROM seeds UNION ALL SELECT query_id, id, 1 FROM h1 UNION ALL SELECT query_id, id, 2 FROM h2)
+@query("r8_graph_channel", f"""WITH {GRAPH_SQL}, {WAYS_SQL.format(e='m')}, h1 AS (SELECT DISTINCT query_id, dst AS id FROM seeds JOIN ways ON src = id),
+f1 AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM h1 WHERE (query_id, id) NOT IN (SELECT query_id, id FROM seeds)) WHERE r <= 50),
+h2 AS (SELECT DISTINCT f1.query_id, dst AS id FROM f1 JOIN ways ON src = f1.id), al2 AS (SELECT query_id, id, 0 AS hop FROM seeds UNION ALL SELECT query_id, id, 1 FROM h1 UNION ALL SELECT query_id, id, 2 FROM h2)
 SELECT query_id, id, min(hop)::INT AS hop FROM al2 GROUP BY ALL""")
 def r8(spark, sf_dir):
-    return graph.reach(seeds(spark, sf_dir), mentions(spark, sf_dir), 2)
+    """Two hops from each seed; a hop goes on from 50 new nodes at most, so hubs do not multiply."""
+    return graph.reach(seeds(spark, sf_dir), mentions(spark, sf_dir), 2, frontier=graph.FRONTIER)
 
 
 @query("g5_expanded_node", f"""WITH {GRAPH_SQL}, {WAYS_SQL.format(e='m')}, h1 AS (SELECT DISTINCT dst AS id FROM seeds JOIN ways ON src = id), dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM m UNION ALL SELECT dst FROM m) GROUP BY id)

@@ -87,3 +87,13 @@ def test_channel_edges(spark):
     got = {(r.query_id, r.id): r.score for r in push.channel(hits, edges, docs).collect()}
     assert set(got) == {(1, "d1"), (1, "d2")} and got[1, "d2"] > got[1, "d1"]
     assert push.channel(hits.where(F.lit(False)), edges, docs).count() == 0
+
+
+def test_a_hop_goes_on_from_so_many_nodes(spark):
+    """Of a hub's 120 neighbours the 50 least are walked on from; all of them are found."""
+    from lodestream.operators import graph
+
+    edges = [("hub", f"n{k:03d}") for k in range(120)] + [(f"n{k:03d}", f"far{k:03d}") for k in range(120)]
+    found = graph.reach(spark.createDataFrame([(1, "hub")], "query_id long, id string"), spark.createDataFrame(edges, "src string, dst string"), 2, frontier=graph.FRONTIER)
+    got = {r.id: r.hop for r in found.collect()}
+    assert got == {"hub": 0} | {f"n{k:03d}": 1 for k in range(120)} | {f"far{k:03d}": 2 for k in range(50)}

@@ -76,6 +76,7 @@ def keep_greedily(prints: DataFrame, most: int = NEAR, rounds: int = ROUNDS) ->
     What is undecided after so many rounds are long chains, each node waiting for the one before; these are replayed
     a chain a task, along their edges.
     """
+    prints = written(prints.select("id", "doc", "fingerprint"))  # read several times
     own = prints.where("fingerprint <> 0").groupBy(F.col("fingerprint").alias("f"), "doc").agg(F.min("id").alias("rank"))
     least = prints.where("fingerprint <> 0").groupBy("fingerprint").agg(F.min("id").alias("id"))
     pairs = near_pairs(prints.select("id", "fingerprint"), most).select("a", "b")
@@ -125,5 +126,5 @@ def keep_greedily(prints: DataFrame, most: int = NEAR, rounds: int = ROUNDS) ->
     if lost is None:
         return items.select("id", F.lit(True).alias("kept"))
     out = written(items.join(lost.select("f", "doc", F.lit(False).alias("kept")), ["f", "doc"], "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept")))
-    discard(*[t for t in used if hasattr(t, "_lodestream_path")])
+    discard(prints, *[t for t in used if hasattr(t, "_lodestream_path")])
     return out

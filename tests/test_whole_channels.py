@@ -9,8 +9,20 @@ def test_channels_see_all_rows(spark, sf):
     asked = [q for q in label if q % 100 == 0]
     got = {(r.query_id, r.id): r for r in catalog.QUERIES["r10_channel_merge"](spark, sf).collect()}
     for channel, fits in (("metadata", lambda q, i: label[q] == label[i]), ("exact", lambda q, i: label[q] == label[i] and q % 2 == i % 2), ("graph", lambda q, i: abs(q - i) == 1)):
-        most = fusion.CHANNEL_LIMITS[channel]
-        assert {k for k, r in got.items() if r[channel] is not None} == {(q, i) for q in asked for i in sorted(i for i in label if fits(q, i))[:most]}
+        assert {k for k, r in got.items() if r[channel] is not None} == {(q, i) for q in asked for i in label if fits(q, i)}
+
+
+def test_scores_and_ranking_see_all_rows_of_a_label(spark, sf):
+    """Rows beyond the first ten of a label are scored and can be ranked."""
+    label = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()}
+    dated = {r.event_id for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
+    alike = {(q, i) for q in label if q % 100 == 0 for i in label if i in dated and label[q] == label[i]}
+    first = {(q, i) for q in label if q % 100 == 0 for i in [*sorted(i for i in label if label[q] == label[i])[:10], *sorted(i for i in label if label[q] == label[i] and q % 2 == i % 2)[:10], q - 1, q + 1]}
+    near = {(r.query_id, r.id) for r in catalog.QUERIES["r1_dense_search"](spark, sf).collect()}
+    scored = {(r.query_id, r.id) for r in catalog.QUERIES["m4_m5_signal_scores"](spark, sf).collect()}
+    assert alike - first - near and alike <= scored
+    ranked = {(r.query_id, r.id) for r in catalog.QUERIES["m6_k6_final_ranking"](spark, sf).collect()}
+    assert ranked & (alike - first - near)
 
 
 def test_keys_are_cut_before_they_are_joined(spark):

@@ -25,6 +25,16 @@ def test_scores_and_ranking_see_all_rows_of_a_label(spark, sf):
     assert ranked & (alike - first - near)
 
 
+def test_fast_search_ranks_all_rows_of_a_label(spark, sf, tmp_path):
+    """Vectors that are unlike a query's leave its places to the rows of its label, not to the first ten alone."""
+    rows = [(0, "a", [1.0, 0.0])] + [(k, "a", [-1.0, k / 1000]) for k in range(1, 60)] + [(100 + k, "b", [0.3, 1.0]) for k in range(1, 40)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [r.id for r in catalog.QUERIES["r11_fast_search"](spark, str(tmp_path)).orderBy("rank").collect()]
+    near = {r.id: r.score for r in catalog.QUERIES["r1_dense_search"](spark, str(tmp_path)).collect()}
+    score = {i: near.get(i, 0.5) for i in {*near, *range(60)}}
+    assert got == sorted(score, key=lambda i: (-score[i], i))[:20] and len(set(got) & set(range(11, 60))) > 0
+
+
 def test_keys_are_cut_before_they_are_joined(spark):
     """The best rows of each key, whatever their order and number; a key of no row has no hits; a hot key makes queries x limit rows."""
     rows = [(k % 3, 900 - k, float(k % 7)) for k in range(900)]

@@ -87,9 +87,9 @@ def rule_counts(texts: Texts) -> dict[str, np.ndarray]:
 FEATURES = ["words", "word_length", "symbols", "upper", "digits", "marks", "shouts", "lines", "distinct", "stutter", "repeats", "dup_lines"]
 
 
-def features(texts: Texts) -> np.ndarray:
-    """len(texts) x len(FEATURES) transformed statistics; an empty text has the statistics of no words."""
-    base = rule_counts(texts)
+def features(texts: Texts, base: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """len(texts) x len(FEATURES) transformed statistics; an empty text has the statistics of no words. base: its rule_counts(), if at hand."""
+    base = rule_counts(texts) if base is None else base
     starts, _ = texts.words()
     owner = texts.doc_of(starts)
     h = texts.word_hashes()

@@ -367,6 +367,22 @@ def test_rules_verdicts(docs, labels):
     assert sum(k for k, q in verdicts if q == 1) >= 0.97 * sum(q for _, q in verdicts)
 
 
+def test_rules_learn_from_all_labelled_rows(docs, labels):
+    """Every good row is in one tree or more, and the threshold is the quantile of all good rows' scores."""
+    table = rules.statistics(docs).cache()
+    got = {r.doc_id: r for r in table.collect()}
+    good = [x.doc_id for x in labels.collect() if x.quality == 1 and not got[x.doc_id].base_failed]
+    forest, threshold = rules.train(table, labels)
+    assert threshold == pytest.approx(np.quantile(forest.score(np.array([got[i].x for i in good])), 1 - rules.MISS), rel=1e-12)
+    assert len(forest.trees) == rules.TREES and forest.norm == pytest.approx(float(rules._average_path(len(good))))
+    n = table.count()
+    for per_tree, times in ((1, 1), (n // 5, 2), (n, 10), (10 * n, 10)):
+        rows, size = rules.dealt(table, n, trees=10, per_tree=per_tree)
+        held = collections.Counter(tuple(r.x) for r in rows.distinct().collect())
+        assert set(held) == {tuple(r.x) for r in got.values()} and rows.count() == times * n and size == times * n / 10
+        assert all(k >= times for k in held.values())
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (1000, 4))

@@ -128,6 +128,20 @@ def test_suffix_dedup(spark, shard):
     assert got == brute_cut([(i, (t or "").encode()) for i, t in rows], 400)
 
 
+def test_overfull_anchors_are_cut_again(spark):
+    """Near copies whose one anchor has more than a shard holds make rows by segment, not by string, and no cut is lost."""
+    rng = random.Random(4)
+    p = "".join(rng.choice("abcdefgh ") for _ in range(1_000))
+    rows = [(k, p[: (at := rng.randrange(100, 900))] + f"<{k}>" + p[at:]) for k in range(150)] + [(1_000 + k, p[k : k + 700]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup(df, shard_bytes=20_000).collect())
+    assert got == brute_cut([(i, t.encode()) for i, t in rows], 400)
+    heavy = [(7, k, False, t.encode()) for k, (_, t) in enumerate(rows)]
+    parts = suffixes._shards(spark.createDataFrame(heavy, "key long, digest long, many boolean, content binary"), 400, 20_000, suffixes.FINER[0]).where("sub is not null")
+    starts = sum(len(t) - 399 for _, t in rows)
+    assert parts.agg(F.sum("size") - 399 * F.count("*")).first()[0] == starts and 0 < parts.count() < starts / 20
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(60):

@@ -38,27 +38,35 @@ BUCKET_BITS, PRIOR = 18, 20.0
 STEPS, TOLERANCE = 60, 1e-4
 
 
+def _word_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and bucket of each word, in order."""
+    texts.word_owners()
+    lower = texts.lowered()
+    return lower.word_owners(), (lower.word_hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def _buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Owner and bucket of each distinct (text, bucket) pair of its words."""
-    lower = texts.lowered()
-    starts, _ = lower.words()
-    own = (lower.doc_of(starts).astype(np.int64) << BUCKET_BITS) | (lower.word_hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    own = np.sort(own)
+    owner, bucket = _word_buckets(texts)
+    own = np.sort((owner.astype(np.int64) << BUCKET_BITS) | bucket)
     own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
     return own >> BUCKET_BITS, own & ((1 << BUCKET_BITS) - 1)
 
 
 def domain_features(texts: Texts, odds: np.ndarray) -> np.ndarray:
-    """Document statistics, and the two largest log odds of toxicity of its words."""
-    owner, bucket = _buckets(texts)
+    """Document statistics, and the two largest log odds of toxicity of its words, of different buckets."""
+    owner, bucket = _word_buckets(texts)
     value = odds[bucket].astype(np.float64)
-    order = np.lexsort((-value, owner))
-    owner, value = owner[order], value[order]
-    at = np.searchsorted(owner, np.arange(texts.n + 1))
+    has = np.bincount(owner, minlength=texts.n) > 0
     top = np.zeros((texts.n, 2))
-    for k in (0, 1):
-        has = at[1:] - at[:-1] > k
-        top[has, k] = value[at[:-1][has] + k]
+    if len(owner):
+        at = np.searchsorted(owner, np.flatnonzero(has))
+        top[has, 0] = np.maximum.reduceat(value, at)
+        best = np.flatnonzero(value == top[owner, 0])
+        first = np.zeros(texts.n, dtype=np.int64)
+        first[owner[best[::-1]]] = bucket[best[::-1]]
+        value[bucket == first[owner]] = 0.0  # odds below 0 count as 0
+        top[has, 1] = np.maximum.reduceat(value, at)
     return np.column_stack([features(texts), np.maximum(top, 0)])
 
 

@@ -26,39 +26,38 @@ _POINT = np.array([b & 0xC0 != 0x80 for b in range(256)])
 
 def per_text(texts: Texts, member: np.ndarray) -> np.ndarray:
     """How many bytes of each text are members."""
-    padded = np.concatenate([member.view(np.uint8), np.zeros(1, np.uint8)])
-    out = np.add.reduceat(padded, texts.offsets[:-1], dtype=np.int64)
-    out[texts.offsets[1:] == texts.offsets[:-1]] = 0
-    return out
+    return np.diff(np.searchsorted(np.flatnonzero(member), texts.offsets))
+
+
+def _own_key(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix(h ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def repeated(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
     """For each item whether its owner has its hash twice or more."""
-    key = mix(h ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(key, kind="stable")
-    k, o = key[order], owner[order]
-    same = (k[1:] == k[:-1]) & (o[1:] == o[:-1])
-    out = np.zeros(len(h), dtype=bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+    key = _own_key(owner, h)
+    k = np.sort(key)
+    twice = k[1:][k[1:] == k[:-1]]
+    if not len(twice):
+        return np.zeros(len(h), dtype=bool)
+    return twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
 
 
 def later_copies(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
     """For each item whether an earlier item of its owner has its hash."""
-    key = mix(h ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(key, kind="stable")
-    k, o = key[order], owner[order]
-    out = np.zeros(len(h), dtype=bool)
-    out[order[1:][(k[1:] == k[:-1]) & (o[1:] == o[:-1])]] = True
+    out = np.ones(len(h), dtype=bool)
+    if len(h):
+        key = _own_key(owner, h)
+        order = np.argsort(key)
+        k = key[order]
+        out[np.minimum.reduceat(order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])))] = False
     return out
 
 
 def rule_counts(texts: Texts) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
     nonspace = ~_SPACE[texts.data]
-    starts, _ = texts.words()
-    owner = texts.doc_of(starts)
+    owner = texts.word_owners()
     counts = np.bincount(owner, minlength=texts.n).astype(np.int64) if len(owner) else np.zeros(texts.n, np.int64)
     h = texts.word_hashes()
     lines_at, lines_to = texts.runs(texts.data != 10)
@@ -90,8 +89,7 @@ FEATURES = ["words", "word_length", "symbols", "upper", "digits", "marks", "shou
 def features(texts: Texts, base: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """len(texts) x len(FEATURES) transformed statistics; an empty text has the statistics of no words. base: its rule_counts(), if at hand."""
     base = rule_counts(texts) if base is None else base
-    starts, _ = texts.words()
-    owner = texts.doc_of(starts)
+    owner = texts.word_owners()
     h = texts.word_hashes()
     words = np.maximum(base["n_words"], 1)
     points = np.maximum(per_text(texts, _POINT[texts.data]), 1)

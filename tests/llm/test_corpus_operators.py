@@ -128,6 +128,28 @@ def test_suffix_dedup(spark, shard):
     assert got == brute_cut([(i, (t or "").encode()) for i, t in rows], 400)
 
 
+def test_statistics_of_words_by_hand():
+    """Counts by text, items that are there twice, later copies and the two largest odds of different words, empty texts among them."""
+    from lodestream.llm import stats
+    from lodestream.llm.common import Texts
+
+    rng = random.Random(9)
+    own = ["", *(" ".join(rng.choices(["a", "B", "b", "cd", "e!", "f\n"], k=rng.randrange(9))) for _ in range(200)), " ", "one", ""]
+    texts = Texts(np.frombuffer("".join(own).encode(), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in own])]))
+    assert stats.per_text(texts, texts.data == 98).tolist() == [t.count("b") for t in own]
+    owner, h = texts.word_owners(), texts.word_hashes()
+    assert owner.tolist() == [k for k, t in enumerate(own) for _ in t.split()]
+    assert stats.repeated(owner, h).tolist() == [t.split().count(w) > 1 for t in own for w in t.split()]
+    assert stats.later_copies(owner, h).tolist() == [w in t.split()[:k] for t in own for k, w in enumerate(t.split())]
+    odds = np.zeros(1 << mixing.BUCKET_BITS, dtype=np.float32)
+    bucket = {w: int(mixing._word_buckets(Texts(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0, len(w)])))[1][0]) for w in ("a", "b", "cd", "e!", "f", "one")}
+    value = {"a": 2.0, "b": 2.0, "cd": 0.5, "e!": -1.0, "f": 3.0, "one": -2.0}
+    for w, v in value.items():
+        odds[bucket[w]] = v
+    top = [(sorted((max(value[w], 0) for w in {*t.lower().split()}), reverse=True) + [0, 0])[:2] for t in own]
+    assert mixing.domain_features(texts, odds)[:, -2:].tolist() == top
+
+
 def test_overfull_anchors_are_cut_again(spark):
     """Near copies whose one anchor has more than a shard holds make rows by segment, not by string, and no cut is lost."""
     rng = random.Random(4)

@@ -164,6 +164,30 @@ def test_overfull_anchors_are_cut_again(spark):
     assert parts.agg(F.sum("size") - 399 * F.count("*")).first()[0] == starts and 0 < parts.count() < starts / 20
 
 
+def test_long_copies_in_one_shard():
+    """Of copies far longer than a string, with small edits, exactly the starts that repeat are found, whatever order their suffixes had."""
+    for seed in (0, 1, 16):
+        rng = random.Random(seed)
+        letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+        p, contents = letters(3_000), []
+        for k in range(30):
+            t = p[(a := rng.randrange(1_000)) : a + rng.randrange(500, 2_000)]
+            contents.append(t[: (at := rng.randrange(len(t)))] + b"<%d>" % k + t[at:])
+        contents += [letters(900) for _ in range(10)]
+        count = collections.Counter(c[k : k + 400] for c in contents for k in range(len(c) - 399))
+        expected = {(i, k) for i, c in enumerate(contents) for k in range(len(c) - 399) if count[c[k : k + 400]] > 1}
+        assert {(i, k) for i, a, b in suffixes.shard_ranges(contents) for k in range(a, b + 1)} == expected
+
+
+def test_suffix_dedup_zero_bytes(spark):
+    """Zero bytes at a text's end do not run on into what stands behind it: 400 of them start once in 400."""
+    rows = [(0, "\0" * 400)] + [(k, "\0" * 399 + chr(96 + k)) for k in range(1, 20)] + [(20, "a" + "\0" * 401)]
+    for own in (rows[:20], rows):
+        df = spark.createDataFrame(own, "doc_id long, text string").repartition(2)
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup(df).collect())
+        assert got == brute_cut([(i, t.encode()) for i, t in own], 400)
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(60):

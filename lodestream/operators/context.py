@@ -22,11 +22,14 @@ def available(graph_tokens: int = 0, budget: int = BUDGET, prompt: int = PROMPT,
 
 
 def fragments(ranked: DataFrame, text: str, budget: int) -> DataFrame:
-    """The longest prefix by rank (query_id, rank, ...) whose tokens fit; a first fragment that is too long is cut to the share that fits."""
-    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """The longest prefix by rank (query_id, rank, ...) whose tokens fit; a first fragment that is too long is cut to the share that fits.
+
+    Fragments of one rank stand or fall together. The share is divided once, so a cut at a whole number of characters is not one less.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("rank")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     n = estimate_tokens(F.col(text))
     out = ranked.withColumn("used", F.sum(n).over(w)).withColumn("first", F.min("rank").over(Window.partitionBy("query_id")) == F.col("rank"))
-    cut = F.substring(F.col(text), F.lit(1), F.floor(F.length(text) * (budget / F.greatest(n, F.lit(1)))).cast("int"))
+    cut = F.substring(F.col(text), F.lit(1), F.floor(F.length(text) * budget / F.greatest(n, F.lit(1))).cast("int"))
     return out.where((F.col("used") <= budget) | F.col("first")).withColumn(text, F.when(F.col("used") <= budget, F.col(text)).otherwise(cut)).drop("first")
 
 

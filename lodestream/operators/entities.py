@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestream.functions.text import entity_type, role_not_person, valid_entity_name, words
 from lodestream.operators.dense import cosine
 from lodestream.operators.ranking import first_by
+from lodestream.operators.storage import merged
 
 # Least similarity of names, of meanings, and how many candidates meanings are compared with.
 FUZZY, SEMANTIC, MOST_CANDIDATES = 90, 0.88, 50
@@ -180,23 +181,23 @@ def resolve(new: DataFrame, known: DataFrame) -> DataFrame:
 
 def alias_tiers(asked: DataFrame, custom: DataFrame, people: DataFrame) -> DataFrame:
     """(query_id, person) for asked (query_id, name): custom aliases (alias, person) alone if there is one; else all people (person, name, email)
-    of whom a part of the name, the part of the address before @, or with three characters or more a piece of the name fits; else the same with a case ending cut off."""
+    of whom a part of the name, the part of the address before @, or with three characters or more a piece of the name fits; else the same with a case ending cut off. No side of a join is broadcast."""
     q = asked.select("query_id", F.lower(F.trim("name")).alias("q"))
     stem = F.regexp_replace("q", "(ой|ей|ом|ем|ами|ями|а|у|е|ы|и|ю|я)$", "")
-    own = q.join(custom.select(F.lower("alias").alias("q"), "person"), "q").select("query_id", "person", F.lit(0).alias("tier"))
+    own = q.join(merged(custom.select(F.lower("alias").alias("q"), "person")), "q").select("query_id", "person", F.lit(0).alias("tier"))
     p = people.select("person", F.lower("name").alias("name"), F.lower(F.split("email", "@")[0]).alias("mail"))
     parts = p.select("person", F.explode(F.array_distinct(F.concat(words(F.col("name")), F.array("mail")))).alias("part")).where("part <> ''")
 
     def fits(form: DataFrame, tier: int) -> DataFrame:
-        whole = form.join(parts.withColumnRenamed("part", "q"), "q").select("query_id", "person")
+        whole = form.join(merged(parts.withColumnRenamed("part", "q")), "q").select("query_id", "person")
         grams = lambda c: F.transform(F.sequence(F.lit(0), F.length(c) - 3), lambda i: F.substring(c, i + 1, F.lit(3)))
         names = p.where("length(name) >= 3").select("person", "name", F.explode(F.array_distinct(grams(F.col("name")))).alias("g"))
-        piece = form.where("length(q) >= 3").withColumn("g", F.substring("q", 1, 3)).join(names, "g").where(F.contains("name", "q")).select("query_id", "person")
+        piece = form.where("length(q) >= 3").withColumn("g", F.substring("q", 1, 3)).join(merged(names), "g").where(F.contains("name", "q")).select("query_id", "person")
         return whole.unionByName(piece).distinct().withColumn("tier", F.lit(tier))
 
     every = own.unionByName(fits(q, 1)).unionByName(fits(q.withColumn("s", stem).where("s <> q and length(s) >= 3").select("query_id", F.col("s").alias("q")), 2))
     low = every.groupBy("query_id").agg(F.min("tier").alias("low"))
-    return every.join(low, "query_id").where("tier = low").select("query_id", "person").distinct()
+    return every.join(merged(low), "query_id").where("tier = low").select("query_id", "person").distinct()
 
 
 def clean_extraction(entities: DataFrame, relations: DataFrame, names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:

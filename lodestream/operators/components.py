@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.operators.storage import discard, written
+from lodestream.operators.storage import discard, merged, written
 
 ROUNDS = 60
 
@@ -15,10 +15,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.where("v > u").join(merged(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return out.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u > v").distinct()
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    out = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = edges.join(merged(least), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 

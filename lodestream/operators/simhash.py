@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.text import shingles
 from lodestream.operators.components import components
-from lodestream.operators.storage import discard, written
+from lodestream.operators.storage import discard, merged, written
 
 #: Bits that near fingerprints differ in at most; rounds by joins before chains are replayed.
 NEAR, ROUNDS = 3, 6
@@ -48,7 +48,7 @@ def near_pairs(prints: DataFrame, most: int = NEAR, block: list[str] | None = No
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fingerprint").bitwiseAND(signed(m)).alias("value")) for i, m in enumerate(masks)])
     posted = one.select(*block, "id", "fingerprint", F.explode(bands).alias("k")).select(*block, "id", "fingerprint", "k.band", "k.value")
     other = posted.select(*block, F.col("id").alias("b"), F.col("fingerprint").alias("g"), "band", "value")
-    met = posted.withColumnRenamed("id", "a").join(other, [*block, "band", "value"]).where(F.col("a") < F.col("b"))
+    met = posted.withColumnRenamed("id", "a").join(merged(other), [*block, "band", "value"]).where(F.col("a") < F.col("b"))
     return met.select(*block, "a", "b", hamming(F.col("fingerprint"), F.col("g")).alias("distance")).where(F.col("distance") <= most).distinct()
 
 
@@ -56,7 +56,7 @@ def clusters(prints: DataFrame, most: int = NEAR) -> DataFrame:
     """(id, root) of every id that is near another or shares its fingerprint; root is the least id."""
     pairs = near_pairs(prints, most).select("a", "b")
     least = prints.where("fingerprint <> 0").groupBy("fingerprint").agg(F.min("id").alias("m"), F.count("*").alias("n")).where("n > 1")
-    same = prints.join(least, "fingerprint").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
+    same = prints.join(merged(least), "fingerprint").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))
     return components(pairs.unionByName(same)).select(F.col("node").alias("id"), "root")
 
 
@@ -74,38 +74,38 @@ def keep_greedily(prints: DataFrame, most: int = NEAR, rounds: int = ROUNDS) ->
     nodes of a fingerprint are near each other, the two least ranks of different documents say all about it. In rounds, a node stays
     that is before all undecided ones near it, and those near it go: a group of copies, however large, is settled by joins in a round or two.
     What is undecided after so many rounds are long chains, each node waiting for the one before; these are replayed
-    a chain a task, along their edges.
+    a chain a task, along their edges. No side of a join is broadcast.
     """
     prints = written(prints.select("id", "doc", "fingerprint"))  # read several times
     own = prints.where("fingerprint <> 0").groupBy(F.col("fingerprint").alias("f"), "doc").agg(F.min("id").alias("rank"))
     least = prints.where("fingerprint <> 0").groupBy("fingerprint").agg(F.min("id").alias("id"))
     pairs = near_pairs(prints.select("id", "fingerprint"), most).select("a", "b")
-    pairs = pairs.join(least.select(F.col("id").alias("a"), F.col("fingerprint").alias("f")), "a").join(least.select(F.col("id").alias("b"), F.col("fingerprint").alias("g")), "b").select("f", "g")
+    pairs = pairs.join(merged(least.select(F.col("id").alias("a"), F.col("fingerprint").alias("f"))), "a").join(merged(least.select(F.col("id").alias("b"), F.col("fingerprint").alias("g"))), "b").select("f", "g")
     shared = own.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f", F.col("f").alias("g"))
     ways = written(pairs.unionByName(pairs.select(F.col("g").alias("f"), F.col("f").alias("g"))).unionByName(pairs.select("f", F.col("f").alias("g"))).unionByName(pairs.select(F.col("g").alias("f"), "g")).unionByName(shared).distinct())
-    open_ = written(own.join(ways.select("f").distinct(), "f", "left_semi"))
+    open_ = written(own.join(merged(ways.select("f").distinct()), "f", "left_semi"))
     gone, used = [], [ways]
     for _ in range(rounds):
         if open_.isEmpty():
             break
         first = _two_first(open_)
-        seen = ways.join(first.withColumnRenamed("f", "g"), "g").select("f", F.explode(F.array(F.struct(F.col("r1").alias("rank"), F.col("d1").alias("doc")), F.struct(F.col("r2").alias("rank"), F.lit(None).cast(dict(own.dtypes)["doc"]).alias("doc")))).alias("x"))
+        seen = ways.join(merged(first.withColumnRenamed("f", "g")), "g").select("f", F.explode(F.array(F.struct(F.col("r1").alias("rank"), F.col("d1").alias("doc")), F.struct(F.col("r2").alias("rank"), F.lit(None).cast(dict(own.dtypes)["doc"]).alias("doc")))).alias("x"))
         # the second of a fingerprint is of any other document: its own is found by its rank
-        ranks = seen.where("x.rank is not null").select("f", "x.rank").distinct().join(open_.select("rank", "doc"), "rank").groupBy("f", "doc").agg(F.min("rank").alias("rank"))
-        met = open_.join(_two_first(ranks), "f")
+        ranks = seen.where("x.rank is not null").select("f", "x.rank").distinct().join(merged(open_.select("rank", "doc")), "rank").groupBy("f", "doc").agg(F.min("rank").alias("rank"))
+        met = open_.join(merged(_two_first(ranks)), "f")
         kept = written(met.where(F.coalesce(F.when(F.col("d1") != F.col("doc"), F.col("r1")).otherwise(F.col("r2")) > F.col("rank"), F.lit(True))).select("f", "doc", "rank"))
-        blocks = ways.join(kept.select(F.col("f").alias("g"), F.col("doc").alias("by")), "g").groupBy("f").agg(F.min("by").alias("low"), F.max("by").alias("high"))
-        left = open_.join(kept.select("rank"), "rank", "left_anti").join(blocks, "f", "left")
+        blocks = ways.join(merged(kept.select(F.col("f").alias("g"), F.col("doc").alias("by"))), "g").groupBy("f").agg(F.min("by").alias("low"), F.max("by").alias("high"))
+        left = open_.join(merged(kept.select("rank")), "rank", "left_anti").join(merged(blocks), "f", "left")
         hit = F.coalesce((F.col("low") != F.col("doc")) | (F.col("high") != F.col("doc")), F.lit(False))
         marked = written(left.select("f", "doc", "rank", hit.alias("hit")))
         gone.append(marked.where("hit").select("f", "doc"))
         used += [kept, marked, open_]
         open_ = marked.where("not hit").select("f", "doc", "rank")
     if not open_.isEmpty():
-        links = ways.join(open_.select("f").distinct(), "f", "left_semi").join(open_.select(F.col("f").alias("g")).distinct(), "g", "left_semi")
+        links = ways.join(merged(open_.select("f").distinct()), "f", "left_semi").join(merged(open_.select(F.col("f").alias("g")).distinct()), "g", "left_semi")
         root = components(links.where("f <> g").select(F.col("f").alias("a"), F.col("g").alias("b"))).select(F.col("node").alias("f"), "root")
         near = links.groupBy("f").agg(F.collect_list("g").alias("near"))
-        waiting = open_.join(near, "f").join(root, "f", "left").withColumn("root", F.coalesce("root", "f"))
+        waiting = open_.join(merged(near), "f").join(merged(root), "f", "left").withColumn("root", F.coalesce("root", "f"))
 
         def replay(pdf: pd.DataFrame) -> pd.DataFrame:
             kept: dict[int, set] = {}
@@ -125,6 +125,6 @@ def keep_greedily(prints: DataFrame, most: int = NEAR, rounds: int = ROUNDS) ->
     items = prints.select("id", "doc", F.col("fingerprint").alias("f"))
     if lost is None:
         return items.select("id", F.lit(True).alias("kept"))
-    out = written(items.join(lost.select("f", "doc", F.lit(False).alias("kept")), ["f", "doc"], "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept")))
+    out = written(items.join(merged(lost.select("f", "doc", F.lit(False).alias("kept"))), ["f", "doc"], "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept")))
     discard(prints, *[t for t in used if hasattr(t, "_lodestream_path")])
     return out

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import entities
+from lodestream.operators import entities, simhash
 
 
 @pytest.fixture
@@ -33,3 +33,11 @@ def test_alias_tiers(spark):
     out = entities.alias_tiers(asked, custom, people)
     assert "Broadcast" not in planned(out)
     assert {r.query_id: r.person for r in out.collect()} == {k: -1 if k % 10 == 0 else k for k in range(300)}
+
+
+def test_greedy_dedup_and_components(spark, plans):
+    """With rounds by joins and a chain that is replayed."""
+    rows = [(k, k, f) for k, f in enumerate([1, 1, 3, 7, 0x3F, 0xFF, 0xFFF, 0xFFFF, 0x3FFFF, 0xFF << 40, 0xFF << 40])]
+    out = simhash.keep_greedily(spark.createDataFrame(rows, "id long, doc long, fingerprint long"), rounds=1)
+    assert [r.kept for r in out.orderBy("id").collect()] == [True, False, False, False, True, False, True, True, False, True, False]
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions.text import html_text
+from lodestream.operators.storage import discard, merged, written
 from lodestream.sources import richtext
 
 COLUMNS = ["source_type", "source_id", "title", "content", "url", "author", "updated_at"]
@@ -72,6 +73,24 @@ def _or(v: Column, path: str, default: str) -> Column:
     return F.coalesce(richtext.text_at(v, path), F.lit(default))
 
 
+def _deep(rows: DataFrame, deep: Column, texts: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """rows with deep_, and beside deep ones what texts() gives for them by key_; None if there is no deep one."""
+    found = written(rows.where(deep).select("key_", "v_").dropDuplicates(["key_"]))
+    if found.isEmpty():
+        discard(found)
+        return None
+    out = written(texts(found))
+    discard(found)
+    return rows.withColumn("deep_", F.coalesce(deep, F.lit(False))).join(merged(out), "key_", "left")
+
+
+def _issue_texts(rows: DataFrame, nodes: Column) -> DataFrame:
+    """(key_, texts): the texts of all rich text of issues (key_, v_) by its place."""
+    trees = rows.select("key_", F.posexplode(nodes).alias("part", "node"))
+    trees = trees.where(richtext.is_object(F.col("node")) | richtext.is_string(F.col("node"))).select(F.struct("key_", "part").alias("id"), "node")
+    return richtext.document_texts(trees).groupBy(F.col("id.key_").alias("key_")).agg(F.map_from_entries(F.collect_list(F.struct("id.part", "text"))).alias("texts"))
+
+
 @register("jira")
 def jira(raw: DataFrame) -> DataFrame:
     """Issues as Markdown: fields, description, comments and the last changes; rich text of any depth becomes plain text."""
@@ -79,18 +98,23 @@ def jira(raw: DataFrame) -> DataFrame:
     at = richtext.text_at
     v, f = F.col("v_"), "$.fields"
     comments = F.coalesce(richtext.children_at(v, f"{f}.comment.comments"), F.array().cast("array<variant>"))
-    trees = own.dropDuplicates(["key_"]).select("key_", F.posexplode(F.concat(F.array(F.try_variant_get(v, f"{f}.description", "variant")), F.transform(comments, lambda c: F.try_variant_get(c, "$.body", "variant")))).alias("part", "node"))
-    trees = trees.where(richtext.is_object(F.col("node")) | richtext.is_string(F.col("node"))).select(F.struct("key_", "part").alias("id"), "node")
-    texts = richtext.document_texts(trees).groupBy(F.col("id.key_").alias("key_")).agg(F.map_from_entries(F.collect_list(F.struct("id.part", "text"))).alias("texts"))
-    text = lambda n: F.coalesce(F.try_element_at("texts", n), F.lit(""))
+    described_, bodies = F.try_variant_get(v, f"{f}.description", "variant"), F.transform(comments, lambda c: F.try_variant_get(c, "$.body", "variant"))
+    deep = F.exists(F.concat(F.array(described_), bodies), lambda n: richtext.deeper(n, richtext.document_children))
+    joined = _deep(own, deep, lambda rows: _issue_texts(rows, F.concat(F.array(described_), bodies)))
+    shallow = [richtext.document_text(described_), F.transform(bodies, lambda n: richtext.document_text(n))]
+    if joined is None:
+        joined = own.withColumns({"described_": shallow[0], "said_": shallow[1]})
+    else:
+        text = lambda n: F.coalesce(F.try_element_at("texts", n), F.lit(""))
+        joined = joined.withColumns({"described_": F.when(F.col("deep_"), text(F.lit(0))).otherwise(shallow[0]), "said_": F.when(F.col("deep_"), F.transform(comments, lambda c, i: text(i + 1))).otherwise(shallow[1])})
 
     title = F.concat(F.lit("["), _or(v, "$.key", ""), F.lit("] "), _or(v, f"{f}.summary", ""))
     fields = [F.concat(F.lit("**Status:** "), _or(v, f"{f}.status.name", ""))]
     for label, path in (("Type", "issuetype.name"), ("Priority", "priority.name"), ("Assignee", "assignee.displayName"), ("Reporter", "reporter.displayName"), ("Created", "created"), ("Updated", "updated")):
         fields.append(_field(label, at(v, f"{f}.{path}")))
     head = F.concat(F.array(F.concat(F.lit("# "), title), F.lit("")), F.filter(F.array(*fields), lambda x: x.isNotNull()), F.array(F.lit("")))
-    described = F.when(text(F.lit(0)) != "", F.array(F.lit("## Description"), F.lit(""), text(F.lit(0)), F.lit("")))
-    said = F.flatten(F.transform(comments, lambda c, i: F.array(F.concat(F.lit("**"), _or(c, "$.author.displayName", "Unknown"), F.lit("** ("), _or(c, "$.created", ""), F.lit("):")), text(i + 1), F.lit(""))))
+    described = F.when(F.col("described_") != "", F.array(F.lit("## Description"), F.lit(""), F.col("described_"), F.lit("")))
+    said = F.flatten(F.transform(comments, lambda c, i: F.array(F.concat(F.lit("**"), _or(c, "$.author.displayName", "Unknown"), F.lit("** ("), _or(c, "$.created", ""), F.lit("):")), F.get("said_", i), F.lit(""))))
     discussed = F.when(F.size(comments) > 0, F.concat(F.array(F.lit("## Comments"), F.lit("")), said))
     histories = F.coalesce(richtext.children_at(v, "$.changelog.histories"), F.array().cast("array<variant>"))
     told = lambda h, i: F.concat(F.lit("- "), _or(h, "$.created", ""), F.lit(": "), _or(h, "$.author.displayName", "Unknown"), F.lit(" changed **"), _or(i, "$.field", ""), F.lit("**: "), _or(i, "$.fromString", ""), F.lit(" → "), _or(i, "$.toString", ""))
@@ -99,7 +123,7 @@ def jira(raw: DataFrame) -> DataFrame:
     changed = F.when(F.size(changes) > 0, F.concat(F.array(F.lit("## Changelog"), F.lit("")), last, F.array(F.lit(""))))
     none = F.array().cast("array<string>")
     content = F.array_join(F.concat(head, F.coalesce(described, none), F.coalesce(discussed, none), F.coalesce(changed, none)), "\n")
-    return own.join(texts, "key_", "left").select(*_document("jira", at(v, "$.key"), title, content, at(v, "$.self"), at(v, f"{f}.reporter.displayName"), _time("$.fields.updated")))
+    return joined.select(*_document("jira", at(v, "$.key"), title, content, at(v, "$.self"), at(v, f"{f}.reporter.displayName"), _time("$.fields.updated")))
 
 
 @register("confluence")
@@ -116,9 +140,16 @@ def notion(raw: DataFrame) -> DataFrame:
     named = F.get(F.filter(properties, lambda p: richtext.text_at(p, "$.type") == "title"), 0)
     title = F.coalesce(richtext.text_at(v, "$.title"), F.array_join(F.transform(richtext.children_at(named, "$.title"), lambda t: _or(t, "$.plain_text", "")), ""), F.lit(""))
     rows = own.withColumn("title_", title)
-    pages = rows.where("v_ is not null").dropDuplicates(["key_"]).select(F.col("key_").alias("id"), F.lit(None).cast("string").alias("title"), F.coalesce(richtext.children_at(v, "$.blocks"), F.array().cast("array<variant>")).alias("blocks"))
-    texts = richtext.page_texts(pages).withColumnRenamed("id", "key_")
-    return rows.join(texts, "key_", "left").select(*_document("notion", _j("$.id"), F.col("title_"), F.coalesce("text", F.lit("")), _j("$.url"), _j("$.last_edited_by.name"), _time("$.last_edited_time")))
+    blocks = lambda: richtext.children_at(v, "$.blocks")
+    deep = F.exists(F.coalesce(blocks(), richtext.none()), lambda b: richtext.deeper(b, richtext.page_children, richtext.ROW_LEVELS - 1))
+    pages = lambda found: found.select(F.col("key_").alias("id"), F.lit(None).cast("string").alias("title"), F.coalesce(blocks(), richtext.none()).alias("blocks"))
+    joined = _deep(rows, deep, lambda found: richtext.page_texts(pages(found)).withColumnRenamed("id", "key_"))
+    text = richtext.page_text(blocks())
+    if joined is None:
+        joined = rows
+    else:
+        text = F.when(F.col("deep_"), F.col("text")).otherwise(text)
+    return joined.select(*_document("notion", _j("$.id"), F.col("title_"), F.coalesce(text, F.lit("")), _j("$.url"), _j("$.last_edited_by.name"), _time("$.last_edited_time")))
 
 
 @register("github")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.operators import entities, simhash
+from lodestream.sources import connectors
 
 
 @pytest.fixture
@@ -41,3 +42,22 @@ def test_greedy_dedup_and_components(spark, plans):
     out = simhash.keep_greedily(spark.createDataFrame(rows, "id long, doc long, fingerprint long"), rounds=1)
     assert [r.kept for r in out.orderBy("id").collect()] == [True, False, False, False, True, False, True, True, False, True, False]
     assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_rich_text(spark, plans):
+    """Shallow trees need neither a join nor a table of their own; of deep ones no level is broadcast."""
+    issue = '{"key":"A-%d","fields":{"summary":"s","description":DOC}}'
+    page = '{"id":"%d","title":"t","blocks":[BLOCK]}'
+    doc, block = '{"type":"paragraph","content":[{"type":"text","text":"told"}]}', '{"type":"quote","text":"so"}'
+    for _ in range(2):
+        raws = {"jira": issue.replace("DOC", doc), "notion": page.replace("BLOCK", block)}
+        for kind, end in (("jira", "told\n"), ("notion", "> so")):
+            out = connectors.read(kind, spark.createDataFrame([(raws[kind] % k,) for k in range(3)], "value string"))
+            assert "Broadcast" not in planned(out)
+            assert all(r.content.endswith(end) for r in out.collect()) and out.count() == 3
+        if "told" in doc and len(doc) < 100:
+            assert len(plans) == 2 and "Join" not in planned(out)  # what is looked for are deep trees
+        for _ in range(8):
+            doc, block = '{"type":"list","content":[%s]}' % doc, '{"type":"","children":[%s]}' % block if block.count("children") < 4 else block
+        block = '{"type":"child","children":[%s]}' % block.replace("so", "far") + "," + '{"type":"quote","text":"so"}'
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]

@@ -81,7 +81,7 @@ def x4_stream(spark, sf_dir):
     if span.low is None:
         return e.limit(0).select("session", "record", F.col("at").alias("cached_at"), F.col("at").alias("expires"))
     own = spark.newSession()
-    for k, v in {**session_cache.STATE_STORE, "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4"}.items():
+    for k, v in {**session_cache.STATE_STORE, "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": str(max(4, 2 * spark.sparkContext.defaultParallelism))}.items():
         own.conf.set(k, v)
     third = (F.unix_micros("at") - F.unix_micros(F.lit(span.low))) * 3 / (F.unix_micros(F.lit(span.high)) - F.unix_micros(F.lit(span.low)) + 1)
     for part in range(3):
